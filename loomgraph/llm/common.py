@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,7 +33,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it; a cluster gets it by --py-files."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        env["PYTHONPATH"] = f"{root}:{known}" if known else root
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -116,3 +126,11 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         np.cumsum(mixed(np.arange(1, 257, dtype=np.uint64))[data] * powers(_BASE, n), out=total[1:])
         back = powers(inverse, n)
         return mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string; made on the driver, for use in Python workers."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
