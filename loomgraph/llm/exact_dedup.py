@@ -160,15 +160,11 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None, text: str =
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of fully equal winners one."""
-    groups = exact_groups(docs, None, text, doc_id)
-    winners = groups.where("kept").select(F.col("keep_id").alias("_keep_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_sha", digest_of(text)).withColumn("_keep_id", F.col(doc_id).cast("long"))
-    once = winners.join(rows, (rows["_sha"] == winners["_sha"]) & rows["_keep_id"].eqNullSafe(winners["_keep_id"])).select(rows["*"])
-    repeated = cut(groups.where("kept").groupBy("text_sha256").count().where("count > 1").select(F.col("text_sha256").alias("_sha")), "repeated")
-    if repeated.isEmpty():
-        return once.drop("_sha", "_keep_id")
-    several = once.join(repeated, "_sha", "left_semi").dropDuplicates(["_sha"])
-    return once.join(repeated, "_sha", "left_anti").unionByName(several).drop("_sha", "_keep_id")
+    winners = exact_groups(docs, None, text, doc_id).where("kept").groupBy("text_sha256").agg(F.first("keep_id").alias("_keep_id"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("text_sha256", "_sha")
+    rows = docs.withColumn("_sha", digest_of(text))
+    once = cut(rows.join(winners, "_sha").where(F.col(doc_id).cast("long").eqNullSafe(F.col("_keep_id"))).select(*docs.columns, "_sha", "_rows"), "winners")
+    several = once.where("_rows > 1").dropDuplicates(["_sha"])
+    return once.where("_rows = 1").unionByName(several).drop("_sha", "_rows")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,8 +282,9 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **p
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_own"), "class_id")
     # Several rows of the least id in one class: the text with the least hash.
     stay = stay.groupBy("_id", "class_id").agg(F.min("_own").alias("_own")).select("_id", "_own")
-    once = marked.join(stay, F.coalesce(marked[doc_id].cast("long"), F.lit(NO_ID)).eqNullSafe(F.coalesce(stay["_id"], F.lit(NO_ID))) & (marked["_hash"] == stay["_own"])).select(marked["*"])
-    return once.dropDuplicates([doc_id, "_hash"]).drop("_hash")
+    stay = stay.select(F.coalesce("_id", F.lit(NO_ID)).alias("_id"), F.col("_own").alias("_hash"))
+    once = marked.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).join(stay, ["_id", "_hash"], "left_semi")
+    return once.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
