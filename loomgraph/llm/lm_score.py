@@ -32,10 +32,10 @@ from loomgraph.llm.common import arrow_schema, cut, documents, flat_bytes, power
 
 #: Bytes of context of each predictor (0: the whole word so far), and bits of its table.
 ORDERS = (1, 2, 3, 4, 5, 0)
-TABLE_BITS = (16, 18, 20, 21, 22, 22)
+TABLE_BITS = (16, 18, 20, 20, 21, 21)
 #: The tables from LONG on, those of whole words, learn from so many of the most frequent words, which fill them by about half.
 LONG = 5
-LONG_WORDS = 50_000
+LONG_WORDS = 25_000
 SLOTS = sum(1 << b for b in TABLE_BITS)
 FLOOR = 0.2
 #: Levels of a context's count: 0, then up to 1, 3, 15, 63, 255 and more. Gates: the upper four levels of the whole word so
@@ -43,7 +43,7 @@ FLOOR = 0.2
 LEVELS = (1, 2, 4, 16, 64, 256)
 GATES = 4 + 2 * (len(LEVELS) + 1)
 CELLS = 33
-HEAD = 200_000
+HEAD = 100_000
 SAMPLE = 3000
 EXPERTS = 6
 HINTS = 3000
@@ -128,11 +128,8 @@ def _counted(batches, least: int):
             for bit in range(8):
                 right = s.bits(bit)
                 for k, (table, slot) in enumerate(zip(tables, s.slots(bit), strict=True)):
-                    key = 2 * slot.astype(np.int64) + right
-                    if k < LONG:
-                        table += np.bincount(key, weight, len(table))
-                    elif len(often):
-                        np.add.at(table, key[often], weight[often])
+                    own = slice(None) if k < LONG else often
+                    np.add.at(table, (2 * slot + right)[own], weight[own])
     flat = np.concatenate([t.reshape(-1, 2) for t in tables]).astype(np.float32)
     for block in range(-(-SLOTS // BLOCK_SLOTS)):
         part = flat[block * BLOCK_SLOTS : (block + 1) * BLOCK_SLOTS]
@@ -407,7 +404,7 @@ def fit(words: DataFrame) -> dict:
     # Words come in the order of their hashes, so each task's share is a fair sample of all.
     found = known.mapInArrow(learned, "weights binary, seen binary, refined binary").collect()
     model = model_of(counts, [tuple(map(bytes, r)) for r in found])
-    shared.unpersist()
+    shared.destroy()
     return model
 
 
@@ -446,8 +443,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
             yield pa.record_batch([batch.column(0), pa.array(c), pa.ListArray.from_arrays(offsets, pa.array(logp.reshape(-1)))], ["word", "c", "logp"])
 
     costs = cut(words.mapInArrow(scored, "word binary, c long, logp array<double>"), "word-scores")
-    top = costs.orderBy(F.col("c").desc(), "word").limit(head).collect()
-    common = spark.sparkContext.broadcast(({bytes(r.word): k for k, r in enumerate(top)}, [r.c for r in top], [list(r.logp) for r in top], hint, shares))
+    top = costs.orderBy(F.col("c").desc(), "word").limit(head).toArrow()
+    logp = np.array(top["logp"].combine_chunks().flatten()).reshape(-1, n_experts)
+    common = spark.sparkContext.broadcast((b"\n".join(top["word"].to_pylist()), top["c"].to_numpy(), logp, hint, shares))
+    del top, logp
     schema = "doc_id long, hash long, expert int, word binary, times long, n_tokens long, n_bytes long, known long, base double, logp double"
     kinds = arrow_schema(schema)
 
@@ -455,9 +454,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
         import pyarrow as pa
         import xxhash
 
-        place, counts, logps, hint, shares = common.value
-        bases = np.log10(np.array(counts, np.float64) + 0.1).tolist()
-        known_ = [int(c > 0) for c in counts]
+        frequent, counts, logps, hint, shares = common.value
+        place = {w: k for k, w in enumerate(frequent.split(b"\n"))} if len(counts) else {}
+        bases = np.log10(counts + 0.1).tolist()
+        known_, logps = (counts > 0).astype(int).tolist(), logps.tolist()
         for batch in batches:
             data, at = flat_bytes(batch.column(1))
             raw = data.tobytes()
