@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomgraph import queries as _q
+from loomgraph.queries import lookup  # noqa: F401  registers
+
+QUERIES, ORACLES = _q.QUERIES, _q.ORACLES
