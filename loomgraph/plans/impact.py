@@ -143,7 +143,8 @@ def _ordered(items: DataFrame, order: list, limit: int) -> DataFrame:
     return placed.where(F.col("place") <= limit).drop("ord", "n")
 
 
-_NODES = [F.desc("score"), "depth", "path", "key"]
+def _by_score() -> list:
+    return [F.desc("score"), "depth", "path", "key"]
 
 
 def _reason() -> Column:
@@ -152,13 +153,13 @@ def _reason() -> Column:
 
 def context_radius(t: Traversal, limit: int = 24) -> DataFrame:
     label = F.when(F.col("depth") == 0, "must-read").when(F.col("kind") == "test", "test").otherwise("supporting")
-    return _ordered(t.nodes.withColumn("label", label), _NODES, limit).select("place", "key", "kind", "label", "score", "depth", _reason().alias("reason"))
+    return _ordered(t.nodes.withColumn("label", label), _by_score(), limit).select("place", "key", "kind", "label", "score", "depth", _reason().alias("reason"))
 
 
 def implementation_radius(t: Traversal, limit: int = 24) -> DataFrame:
     label = F.when(F.col("depth") == 0, "high").when(F.col("first_kind") == "unresolved_call", "inspect-only").when(F.col("depth") == 1, "medium").when(F.col("first_kind").isin("calls", "possible_call"), "downstream").otherwise("low")
     items = t.nodes.where("kind <> 'test'").withColumn("label", label)
-    return _ordered(items, _NODES, limit).select("place", "key", "kind", "label", "score", "depth")
+    return _ordered(items, _by_score(), limit).select("place", "key", "kind", "label", "score", "depth")
 
 
 def validation_radius(t: Traversal, limit: int = 24) -> DataFrame:
