@@ -134,3 +134,13 @@ def arrow_schema(ddl: str):
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def slices(batch, text: int, size: int = 1 << 18):
+    """Parts of an Arrow batch of about ``size`` bytes of text, so that arrays of many bytes a byte stay small: (first row, last row + 1, flat bytes, offsets)."""
+    data, at = flat_bytes(batch.column(text))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + size)) - 1), batch.num_rows)
+        yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        lo = hi

@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.common import SPACE, arrow_schema, documents, flat_bytes, ship, span_hashes, text_of, words
+from loomgraph.llm.common import SPACE, arrow_schema, documents, ship, slices, span_hashes, text_of, words
 
 SAMPLE = 12_000
 FEATURE_BITS = 16
@@ -154,8 +154,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> dict:
     def counted(batches):
         seen: dict[int, int] = {}
         for batch in batches:
-            for v, n in zip(*np.unique(votes(*flat_bytes(batch.column(0))), return_counts=True), strict=True):
-                seen[int(v)] = seen.get(int(v), 0) + int(n)
+            for _, _, data, at in slices(batch, 0):
+                for v, n in zip(*np.unique(votes(data, at), return_counts=True), strict=True):
+                    seen[int(v)] = seen.get(int(v), 0) + int(n)
         yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
 
     counts = {r.votes: r.n for r in rows.mapInArrow(counted, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
@@ -167,11 +168,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> dict:
 
     def featured(batches):
         for batch in batches:
-            data, at = flat_bytes(batch.column(0))
-            v = votes(data, at)
-            r, c, x = features(data, at)
-            bound = np.searchsorted(r, np.arange(len(at)))
-            yield pa.record_batch([pa.array(v), pa.array([c[a:b].astype(np.int32).tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)], pa.binary()), pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)], pa.binary())], ["votes", "cols", "values"])
+            for _, _, data, at in slices(batch, 0):
+                r, c, x = features(data, at)
+                bound = np.searchsorted(r, np.arange(len(at)))
+                parts = list(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True))
+                cols = [c[a:b].astype(np.int32).tobytes() for a, b in parts]
+                values = [x[a:b].astype(np.float32).tobytes() for a, b in parts]
+                yield pa.record_batch([pa.array(votes(data, at)), pa.array(cols, pa.binary()), pa.array(values, pa.binary())], ["votes", "cols", "values"])
 
     # Equal features are one example, however often they stand.
     found = chosen.dropDuplicates(["text"]).mapInArrow(featured, "votes long, cols binary, values binary").collect()
@@ -202,9 +205,8 @@ def judge(docs: DataFrame, model: dict | None = None, text: str = "text") -> Dat
     def judged(batches):
         known, weights = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
-                data, at = flat_bytes(batch.column(at_text))
+            for lo, hi, data, at in slices(whole, at_text):
+                batch = whole.slice(lo, hi - lo)
                 v = votes(data, at)
                 r, c, x = features(data, at)
                 z = np.bincount(r, x * weights[c], len(v))
