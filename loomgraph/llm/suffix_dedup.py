@@ -8,7 +8,7 @@ a window is found among the anchors with the same next KEY bytes. That is how su
    all of whose anchors have the same whole context (all bytes that their windows cover) has repeated windows only.
 2. The other keys' contexts, each distinct one once, go to tasks by key. A task sorts the suffixes of its
    contexts by the difference-cover algorithm: it names the triples at places 1 and 2 modulo 3 by sorting them, recurses on
-   the names until they are distinct or cover LENGTH bytes, sorts the remaining suffixes by their first byte and the rank
+   the names until they are distinct, sorts the remaining suffixes by their first byte and the rank
    of the next, merges both, and compares each window with the adjacent one in full.
 3. Windows found repeated go back to the documents, whose bytes are cut accordingly.
 
@@ -105,11 +105,8 @@ def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a << 32) | b
 
 
-def suffix_order(s: np.ndarray, enough: int, covered: int = 1) -> np.ndarray:
-    """The places of ``s`` (integers from 1) in the order of their suffixes, as far as ``enough`` symbols tell them apart.
-
-    covered: how many symbols of the first text one integer stands for.
-    """
+def suffix_order(s: np.ndarray) -> np.ndarray:
+    """The places of ``s`` (integers from 1) in the order of their suffixes."""
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
@@ -119,10 +116,7 @@ def suffix_order(s: np.ndarray, enough: int, covered: int = 1) -> np.ndarray:
     # The triples' names: pairs first, so that a key is never wider than 64 bits.
     pair, _ = _ranked(_paired(padded[sample], padded[sample + 1]))
     name, distinct = _ranked(_paired(pair, padded[sample + 2]))
-    if distinct == len(sample) or 3 * covered >= enough:
-        order = np.argsort(name, kind="stable")
-    else:
-        order = suffix_order(name, enough, 3 * covered)
+    order = np.argsort(name, kind="stable") if distinct == len(sample) else suffix_order(name)
     rank = np.zeros(n + 3, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     sorted_ = sample[order]
@@ -156,7 +150,7 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
     valid = np.zeros(len(data), bool)
     owner = np.repeat(start, windows) + (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
     valid[owner] = True
-    order = suffix_order(symbols, length)
+    order = suffix_order(symbols)
     order = order[valid[order]]
     found = np.zeros(len(data), bool)
     if len(order) > 1:
