@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.projection import Graph, graph, oracle
 from loomgraph.queries.data import EXTRA
+from loomgraph.storage import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,6 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def extra(spark: SparkSession, sf_dir: str) -> Graph:
     """The projection and the further inputs, registered as views."""
+    ship(spark)
     g = graph(spark, sf_dir)
     for name, text in EXTRA.items():
         spark.sql(text).createOrReplaceTempView(name)
