@@ -34,7 +34,7 @@ KEY = LENGTH - (WINDOW - 1)
 MAP_BITS = 27
 MAP_BLOCK = 1 << 20
 SLICE = 1 << 18
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 MOST = 12_000
 
 
@@ -172,16 +172,18 @@ def _bitmaps(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow as pa
 
     def marked(batches):
-        maps = np.zeros((2, 1 << MAP_BITS), bool)
+        maps = np.zeros((2, (1 << MAP_BITS) // 8), np.uint8)
         for batch in batches:
             at = _mapped(batch.column(0).to_numpy())
-            maps[0, at] = True
-            maps[1, at[batch.column(1).to_numpy(zero_copy_only=False)]] = True
+            bit = (128 >> (at & 7)).astype(np.uint8)
+            differ = batch.column(1).to_numpy(zero_copy_only=False)
+            np.bitwise_or.at(maps[0], at >> 3, bit)
+            np.bitwise_or.at(maps[1], at[differ] >> 3, bit[differ])
         for k in (0, 1):
             for block in range((1 << MAP_BITS) // MAP_BLOCK):
-                part = maps[k, block * MAP_BLOCK : (block + 1) * MAP_BLOCK]
+                part = maps[k, block * MAP_BLOCK // 8 : (block + 1) * MAP_BLOCK // 8]
                 if part.any():
-                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)])], ["map", "block", "bits"])
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], ["map", "block", "bits"])
 
     def joined(table):
         bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in table["bits"].to_pylist()])
