@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.projection import Graph, graph, oracle
+from loomgraph.projection import TABLES, Graph, graph, oracle
 from loomgraph.queries.data import EXTRA
 from loomgraph.storage import ship
 
@@ -14,13 +14,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def extra(spark: SparkSession, sf_dir: str) -> Graph:
-    """The projection and the further inputs, registered as views."""
-    ship(spark)
-    g = graph(spark, sf_dir)
-    for name, text in EXTRA.items():
-        spark.sql(text).createOrReplaceTempView(name)
-    return g
+_last: dict = {}
+
+
+def extra(spark: SparkSession, sf_dir: str) -> tuple[Graph, dict[str, DataFrame]]:
+    """The projection and the further inputs as lazy DataFrames. Their analysis is kept for the next query on the same session and tables."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if _last.get("key") != key:
+        ship(spark)
+        g = graph(spark, sf_dir)
+        for name, text in EXTRA.items():
+            spark.sql(text).createOrReplaceTempView(name)
+        _last.update(key=key, made=(g, {name: spark.table(name) for name in (*TABLES, *EXTRA)}))
+    return _last["made"]
 
 
 def query(sql: str | None = None, **more: str):
@@ -28,8 +34,8 @@ def query(sql: str | None = None, **more: str):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            g = extra(spark, sf_dir)
-            return f(g, spark.table)
+            g, inputs = extra(spark, sf_dir)
+            return f(g, inputs.__getitem__)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run

@@ -134,9 +134,10 @@ _TOTALS = ("worktree", "total_files", "cast(t = 1 as long) AS force", "cast(t =
 FROM (SELECT t.worktree, t.t, coalesce(c.changed, 0) AS changed, coalesce(c.wide, 0) AS wide, CAST(coalesce(c.changed, 0) AS DOUBLE) / t.total_files AS ratio FROM totals t
 LEFT JOIN (SELECT package_key AS worktree, count(*) AS changed, max(CASE WHEN new_path LIKE '%/go.mod' THEN 1 ELSE 0 END) AS wide FROM m_changes WHERE kind <> 'modified' GROUP BY package_key) c ON c.worktree = t.worktree)""", totals=TOTALS)
 def sync_decision(g, table):
-    g.spark.sql(TOTALS).createOrReplaceTempView("totals")
+    kind = F.expr("substr(package_key, length(package_key), 1)").cast("long") % 8
+    totals = table("m_files").groupBy(F.col("package_key").alias("worktree")).agg(F.count(F.lit(1)).alias("total_files")).withColumn("package_key", F.col("worktree")).withColumn("t", kind)
     changes = table("m_changes").where("kind <> 'modified'").select(F.col("package_key").alias("worktree"), "old_path", "new_path")
-    return C.sync_decision(changes, table("totals").selectExpr(*_TOTALS))
+    return C.sync_decision(changes, totals.selectExpr(*_TOTALS))
 
 
 @query("""SELECT coalesce(f.package_key, '') AS package_key, count(*) FILTER (WHERE gone = 0) AS changed, count(*) FILTER (WHERE gone = 1) AS deleted FROM (SELECT path, max(gone) AS gone FROM (SELECT old_path AS path, CASE WHEN kind IN ('deleted', 'renamed') THEN 1 ELSE 0 END AS gone FROM diff
