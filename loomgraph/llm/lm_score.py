@@ -335,17 +335,20 @@ def hints(rows: DataFrame, group: str | None) -> dict:
     total = [sum(c.values()) + HINTS for c in seen]
     frequent = [w for w, _ in sorted(sum(seen, Counter()).items(), key=lambda x: (-x[1], x[0]))[:HINTS]]
     prior = Counter(r[group] for r in sample)
-    return {"prior": [float(np.log(prior[g])) for g in groups], "words": {w: np.array([np.log((c[w] + 1) / n) for c, n in zip(seen, total, strict=True)]) for w in frequent}}
+    logs = np.array([[np.log((c[w] + 1) / n) for c, n in zip(seen, total, strict=True)] for w in frequent])
+    return {"prior": [float(np.log(prior[g])) for g in groups], "words": {w: k for k, w in enumerate(frequent)}, "logs": logs}
 
 
 def expert_of(hints: dict, counts: Counter) -> int:
     """The expert under which the frequent words of a text are likeliest."""
     if not hints["words"]:
         return 0
-    total, known = np.array(hints["prior"]), hints["words"]
-    for w in known.keys() & counts.keys():
-        total = total + counts[w] * known[w]
-    return int(total.argmax())
+    known = hints["words"]
+    both = known.keys() & counts.keys()
+    if not both:
+        return int(np.argmax(hints["prior"]))
+    times = np.array([counts[w] for w in both], np.float64)
+    return int((times @ hints["logs"][[known[w] for w in both]] + hints["prior"]).argmax())
 
 
 def vocabulary(rows: DataFrame, hint: dict) -> DataFrame:
@@ -381,6 +384,17 @@ def vocabulary(rows: DataFrame, hint: dict) -> DataFrame:
     return found.groupBy("word").agg(*[F.sum(F.when(F.col("expert") == k, F.col("c"))).alias(f"c{k}") for k in range(n_experts)])
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least c such that no more than ``most`` rows of ``counts`` (c) have it or more; by a histogram of the counts."""
+    total, least = 0, None
+    for c, n in sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        total += n
+        if total > most:
+            return c + 1 if least is None else least
+        least = c
+    return 0 if least is None else least
+
+
 def _all(words: DataFrame):
     return sum((F.coalesce(c, F.lit(0)) for c in words.columns[1:]), F.lit(0))
 
@@ -392,8 +406,7 @@ def fit(words: DataFrame) -> dict:
     # A task for each 250,000 words, no more than there are cores: each adds tables of the full size.
     known = words.select("word", *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in counts_of]).where(_all(words) > 0)
     known = known.coalesce(max(1, min(spark.sparkContext.defaultParallelism, words.count() // 250_000)))
-    often = words.select(_all(words).alias("c")).where("c > 0").orderBy(F.col("c").desc()).limit(LONG_WORDS + 1).agg(F.min("c"), F.count(F.lit(1))).first()
-    least = int(often[0]) + 1 if often[1] > LONG_WORDS else 1
+    least = max(1, least_count(words.select(_all(words).alias("c")).where("c > 0"), LONG_WORDS))
     blocks = known.mapInArrow(lambda batches: _counted(batches, least), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary")
     counts = tables_of([(r.block, r.counts) for r in blocks.collect()])
     shared = spark.sparkContext.broadcast(counts)
@@ -443,7 +456,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
             yield pa.record_batch([batch.column(0), pa.array(c), pa.ListArray.from_arrays(offsets, pa.array(logp.reshape(-1)))], ["word", "c", "logp"])
 
     costs = cut(words.mapInArrow(scored, "word binary, c long, logp array<double>"), "word-scores")
-    top = costs.orderBy(F.col("c").desc(), "word").limit(head).toArrow()
+    top = costs.where(F.col("c") >= least_count(costs.select("c"), head)).toArrow()
     logp = np.array(top["logp"].combine_chunks().flatten()).reshape(-1, n_experts)
     common = spark.sparkContext.broadcast((b"\n".join(top["word"].to_pylist()), top["c"].to_numpy(), logp, hint, shares))
     del top, logp
