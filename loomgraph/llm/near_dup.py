@@ -219,7 +219,7 @@ def _verified(similarity: float, pairs: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, ngram: int = NGRAM, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), pairs: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, ngram: int = NGRAM, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), pairs: bool = False, roots: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id, n_links, n_copies (and the columns named in ``keep``).
 
     Two rows are linked when the Jaccard similarity of their sets of n-grams (lower-cased words between ASCII white
@@ -235,6 +235,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     3. The forests' components are the classes.
 
     pairs: return v, hub (digests of linked set classes) and similarity instead; membership is in set_table.
+    roots: add root, a digest that is the class's own; class_id is not where ids are null or repeated.
     Null text counts as empty. Texts without words are copies of each other and linked with nothing else; a shorter
     text than an n-gram is one n-gram of all its words. A null id is less than all others only for choosing whose text
     is compared; class_id is null where a class has no id. Repeated rows are copies. Other columns are ignored.
@@ -266,22 +267,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
         return judged.select("v", "hub", "similarity")
     judged = cut(judged, "links")
     forest = judged.select("v", "hub").unionByName(judged.select(F.col("hub").alias("v"), "hub")).distinct()
-    roots = components(cut(forest, "forest"), "classes")
+    tops = components(cut(forest, "forest"), "classes")
     links = judged.groupBy("v").agg(F.sum("links").alias("links"))
-    named = classes.select(F.col("digest").alias("v"), "min_id", "copies").join(roots, "v", "left").join(links, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    named = classes.select(F.col("digest").alias("v"), "min_id", "copies").join(tops, "v", "left").join(links, "v", "left").withColumn("root", F.coalesce("root", "v"))
     named = cut(named, "named")
     ids = named.groupBy("root").agg(F.min("min_id").alias("class_id"))
-    found = named.join(ids, "root").select(F.col("v").alias("digest"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return marked.select("doc_id", "digest", *keep).join(found, "digest").select("doc_id", "class_id", "n_links", "n_copies", *keep)
+    own = ("root",) if roots else ()
+    found = named.join(ids, "root").select(F.col("v").alias("digest"), *own, "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    return marked.select("doc_id", "digest", *keep).join(found, "digest").select("doc_id", "class_id", "n_links", "n_copies", *keep, *own)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **parameters) -> DataFrame:
     """The rows of ``docs`` whose id is their class's least one, with all columns; of repeated rows of one id and class one."""
     marked = docs.withColumn("_hash", F.xxhash64(text_of(text)))
-    found = near_duplicates(marked, text=text, doc_id=doc_id, keep=("_hash",), **parameters)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_own"), "class_id")
+    found = near_duplicates(marked, text=text, doc_id=doc_id, keep=("_hash",), roots=True, **parameters)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_own"), "root")
     # Several rows of the least id in one class: the text with the least hash.
-    stay = stay.groupBy("_id", "class_id").agg(F.min("_own").alias("_own")).select("_id", "_own")
+    stay = stay.groupBy("_id", "root").agg(F.min("_own").alias("_own")).select("_id", "_own")
     stay = stay.select(F.coalesce("_id", F.lit(NO_ID)).alias("_id"), F.col("_own").alias("_hash"))
     once = marked.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).join(stay, ["_id", "_hash"], "left_semi")
     return once.dropDuplicates(["_id", "_hash"]).select(*docs.columns)

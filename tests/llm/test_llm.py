@@ -163,6 +163,13 @@ def test_near_pairs_and_survivors(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(map(str, classes))
 
 
+def test_every_class_keeps_a_row_where_ids_are_null_or_repeated(spark):
+    own = [prose(200 + k, 60) for k in range(6)]
+    rows = [(None, t) for t in own[:3]] + [(None, own[0])] + [(7, t) for t in own[3:5]] + [(7, own[3]), (8, own[4]), (9, own[5])]
+    left = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert by_row(left) == Counter([*((None, t) for t in own[:3]), (7, own[3]), (7, own[4]), (9, own[5])])
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_dup.choose_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
