@@ -4,7 +4,7 @@ A gear hash rolls over the bytes; its upper bits are a function of the last 32 b
 their content and an insertion changes only the chunks that it touches. Chunks lie between MIN and MAX bytes. Each
 document sends one row for each distinct digest. Digests that occur more than once are found by a partial
 aggregate; their places go back to the documents by an equi-join that Spark can split where a digest is hot. Of a
-digest's places the first of the least doc_id stays, the others go, where runs of repeated chunks are long enough.
+digest's places the first of the least doc_id stays, all others go.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomgraph.llm.common import arrow_schema, cut, documents, flat_bytes, mixed, ship, text_of
 
 MIN, MAX, BITS = 24, 256, 5
-#: Runs of repeated chunks below so many bytes stay, unless they are the whole document.
-RUN = 128
+#: Runs of repeated chunks below so many bytes stay, unless they are the whole document. 0: every repeated chunk goes.
+RUN = 0
 _GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 

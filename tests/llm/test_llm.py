@@ -433,6 +433,17 @@ def test_chunk_dedup_equals_a_model(docs, none):
     assert chunk_dedup.without_repeats(["aéb"], [[(0, 2)]]) == ["b"]
 
 
+def test_short_repeated_passages_go(spark):
+    rows = []
+    for k in range(40):
+        rng = np.random.default_rng(300 + k)
+        own, shared, other = (" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 6)))) for _ in range(n)) for n in (60, 51, 60))
+        rows += [(2 * k, own + " " + shared), (2 * k + 1, shared + " " + other)]
+    later = [r for r in chunk_dedup.chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] % 2]
+    assert any(0 < r["n_repeated"] < 128 for r in later)
+    assert all(r["n_removed"] == r["n_repeated"] for r in later)
+
+
 def test_pipeline(spark, sf):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "mixing sources", "best-fit packing"]
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
