@@ -24,19 +24,19 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.llm.common import arrow_schema, cut, documents, flat_bytes, powers, ship, text_of
 
-#: Bytes of context of each predictor (0: the whole word so far), and bits of its table.
+#: Bytes of context of each predictor (0: the whole word so far), and the least bits of its table.
 ORDERS = (1, 2, 3, 4, 5, 0)
 TABLE_BITS = (16, 18, 20, 20, 21, 21)
-#: The tables from LONG on, those of whole words, learn from so many of the most frequent words, which fill them by about half.
-LONG = 5
-LONG_WORDS = 25_000
-SLOTS = sum(1 << b for b in TABLE_BITS)
+#: The tables from GROWING on have a bit more for each time that the vocabulary doubles beyond so many words.
+GROWING = 3
+TABLE_WORDS = 1_000_000
 FLOOR = 0.2
 #: Levels of a context's count: 0, then up to 1, 3, 15, 63, 255 and more. Gates: the upper four levels of the whole word so
 #: far; below them, the levels of its last 4 bytes, with and without the last 5 having been seen.
@@ -57,6 +57,12 @@ STEPS = 60
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def table_bits(n_words: int) -> tuple[int, ...]:
+    """Bits of each predictor's table for a vocabulary of so many words."""
+    more = max(0, n_words - 1) // TABLE_WORDS
+    return tuple(b + (more.bit_length() if k >= GROWING else 0) for k, b in enumerate(TABLE_BITS))
+
+
 class Spelling:
     """The flat bytes of words, each closed by a space, with their contexts' hashes under an expert."""
 
@@ -82,11 +88,11 @@ class Spelling:
             whole = (total[:n] - total[at]) * back[at] + np.uint64(expert * 0x9FB21C651E98DF25 % (1 << 64))
             self.hashes.append(((whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
 
-    def slots(self, bit: int) -> list[np.ndarray]:
+    def slots(self, bit: int, bits: tuple[int, ...]) -> list[np.ndarray]:
         """Of each predictor: the slot that the bit's context and the byte's higher bits lead to."""
         node = ((self.data.astype(np.uint32) | np.uint32(256)) >> np.uint32(bit + 1)) * np.uint32(0x9E3779B1)
         with np.errstate(over="ignore"):
-            return [((h + node) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - b) for h, b in zip(self.hashes, TABLE_BITS, strict=True)]
+            return [((h + node) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - b) for h, b in zip(self.hashes, bits, strict=True)]
 
     def bits(self, bit: int) -> np.ndarray:
         return (self.data >> bit) & 1
@@ -115,26 +121,27 @@ def _array(rows: np.ndarray):
     return pa.array(rows)
 
 
-def _counted(batches, least: int):
-    """words, counts -> blocks of the tables' counts: (block, counts of 0s then of 1s as float32). least: count of words that long contexts learn from."""
+def _counted(batches, n_words: int):
+    """words, counts -> blocks of the tables' counts: (block, counts of 0s then of 1s as float32). n_words: size of the whole vocabulary."""
     import pyarrow as pa
 
-    tables = [np.zeros(2 << b, np.float64) for b in TABLE_BITS]
+    bits = table_bits(n_words)
+    tables = [np.zeros(2 << b, np.float64) for b in bits]
     for batch in batches:
         for _, words, counts, expert in _word_batches(batch, 1 << 20):
             s = Spelling(words, expert)
             weight = np.repeat(counts.astype(np.float64), s.length)
-            often = np.flatnonzero(weight >= least)
             for bit in range(8):
                 right = s.bits(bit)
-                for k, (table, slot) in enumerate(zip(tables, s.slots(bit), strict=True)):
-                    own = slice(None) if k < LONG else often
-                    np.add.at(table, (2 * slot + right)[own], weight[own])
-    flat = np.concatenate([t.reshape(-1, 2) for t in tables]).astype(np.float32)
-    for block in range(-(-SLOTS // BLOCK_SLOTS)):
-        part = flat[block * BLOCK_SLOTS : (block + 1) * BLOCK_SLOTS]
-        if part.any():
-            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], ["block", "counts"])
+                for table, slot in zip(tables, s.slots(bit, bits), strict=True):
+                    np.add.at(table, 2 * slot + right, weight)
+    block = 0
+    for table in tables:  # each a number of whole blocks
+        for lo in range(0, len(table), 2 * BLOCK_SLOTS):
+            part = table[lo : lo + 2 * BLOCK_SLOTS]
+            if part.any():
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([zlib.compress(part.astype(np.float32).tobytes(), 1)])], ["block", "counts"])
+            block += 1
 
 
 def _added(table):
@@ -146,13 +153,13 @@ def _added(table):
     return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)])})
 
 
-def tables_of(parts: list[tuple[int, bytes]]) -> list[np.ndarray]:
+def tables_of(parts: Iterable[tuple[int, bytes]], n_words: int = 1) -> list[np.ndarray]:
     """The counts of each predictor: slots x 2."""
-    flat = np.zeros((SLOTS, 2), np.float32)
+    at = np.cumsum([0, *(1 << b for b in table_bits(n_words))])
+    flat = np.zeros((at[-1], 2), np.float32)
     for block, data in parts:
         part = np.frombuffer(zlib.decompress(data), np.float32).reshape(-1, 2)
         flat[block * BLOCK_SLOTS : block * BLOCK_SLOTS + len(part)] = part
-    at = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
@@ -204,7 +211,7 @@ def _cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, at - low
 
 
-def _learned(counts: list[np.ndarray], least: int):
+def _learned(counts: list[np.ndarray], n_words: int):
     """A mapInArrow function: words, counts -> one row with the task's weights, refinement counts and number of examples."""
 
     def run(batches):
@@ -214,20 +221,20 @@ def _learned(counts: list[np.ndarray], least: int):
         curve = np.tile(np.eye(len(ORDERS) + 1), (8, GATES, 1, 1)) * 10
         seen = np.zeros((8, GATES), np.float64)
         refined = np.zeros((8, GATES, CELLS, 2), np.float64)
+        bits = table_bits(n_words)
         pairs = [np.ascontiguousarray(c).view(np.uint64).reshape(-1) for c in counts]
 
         def step(words, times, expert):
             s = Spelling(words, expert)
             value = np.repeat(times.astype(np.float64), s.length).astype(np.float32)
-            long = (np.repeat(times, s.length) >= least).astype(np.float32)
             n, row = len(s.data), 2 * np.arange(len(s.data))
             for bit in range(8):
                 right = s.bits(bit)
                 x, own = np.ones((len(ORDERS) + 1, n), np.float32), row + right
                 level = []
-                for k, (pair, slot) in enumerate(zip(pairs, s.slots(bit), strict=True)):
+                for k, (pair, slot) in enumerate(zip(pairs, s.slots(bit, bits), strict=True)):
                     flat = pair[slot].view(np.float32)
-                    flat[own] -= 1 if k < LONG else long
+                    flat[own] -= 1
                     flat = np.maximum(flat, 0).reshape(-1, 2)
                     if k >= 3:
                         level.append(_levels(flat[:, 0] + flat[:, 1]))
@@ -294,8 +301,9 @@ def word_scores(model: dict, words: list[bytes], expert: int = 0) -> np.ndarray:
         return np.zeros(0)
     s = Spelling(words, expert)
     bits = np.zeros(len(s.data), np.float32)
+    sizes = tuple(len(table).bit_length() - 1 for table in model["stretch"])
     for bit in range(8):
-        st = [table[slot] for table, slot in zip(model["stretch"], s.slots(bit), strict=True)]
+        st = [table[slot] for table, slot in zip(model["stretch"], s.slots(bit, sizes), strict=True)]
         gate = _gate(*(st[k].view(np.int32) & 7 for k in (5, 4, 3)))
         x = _mixed(st, gate, model["weights"][bit])
         low, rest = _cells(x)
@@ -400,19 +408,19 @@ def _all(words: DataFrame):
 
 
 def fit(words: DataFrame) -> dict:
-    """The model of a vocabulary (word, c0, ...). Its tables are of a fixed size; they are what reaches the driver."""
+    """The model of a vocabulary (word, c0, ...). Its tables, whose sizes follow the vocabulary, are what reaches the driver."""
     spark = words.sparkSession
     counts_of = words.columns[1:]
     # A task for each 250,000 words, no more than there are cores: each adds tables of the full size.
     known = words.select("word", *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in counts_of]).where(_all(words) > 0)
-    known = known.coalesce(max(1, min(spark.sparkContext.defaultParallelism, words.count() // 250_000)))
-    least = max(1, least_count(words.select(_all(words).alias("c")).where("c > 0"), LONG_WORDS))
-    blocks = known.mapInArrow(lambda batches: _counted(batches, least), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary")
-    counts = tables_of([(r.block, r.counts) for r in blocks.collect()])
+    n_words = words.count()
+    known = known.coalesce(max(1, min(spark.sparkContext.defaultParallelism, n_words // 250_000)))
+    blocks = known.mapInArrow(lambda batches: _counted(batches, n_words), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary")
+    counts = tables_of(((r.block, r.counts) for r in blocks.toLocalIterator()), n_words)
     shared = spark.sparkContext.broadcast(counts)
 
     def learned(batches):
-        yield from _learned(shared.value, least)(batches)
+        yield from _learned(shared.value, n_words)(batches)
 
     # Words come in the order of their hashes, so each task's share is a fair sample of all.
     found = known.mapInArrow(learned, "weights binary, seen binary, refined binary").collect()

@@ -359,6 +359,12 @@ def test_lm_is_a_distribution():
     assert s[0] > s[1] > s[2]
 
 
+def test_lm_learns_whole_words_from_rare_words_too(spark):
+    frequent, rare = [(f"a{k}".encode(), 2) for k in range(25_000)], [(f"z{k}".encode(), 1) for k in range(1000)]
+    known = [(lm_score.fit(spark.createDataFrame(rows, "word binary, c0 long"))["stretch"][-1].view(np.int32) & 7 > 0).sum() for rows in (frequent, frequent + rare)]
+    assert known[1] > known[0]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the tables")
 def test_lm_beats_the_base_on_held_out_texts(spark):
     rows = registry.QUERIES["op2_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").collect()
