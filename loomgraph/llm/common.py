@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -14,14 +15,25 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Set here where it is unset, on a local master; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/checkpoints/loomgraph"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")  # one process: there is nothing to share with
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """``names``, each under as many underscores as no column of ``taken`` has, whatever the case."""
+    known = {c.lower() for c in taken}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in known for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it again.
 

@@ -16,10 +16,12 @@ but one count.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.common import cut, documents, text_of
+from loomgraph.llm.common import cut, documents, free, ship, text_of
 
 SHARD_KEYS = 20_000
 BUCKETS = SHARD_KEYS // 3
@@ -34,105 +36,118 @@ def _piece(digest: Column, at: int) -> Column:
     return F.conv(F.substring(digest, 1 + at, 11), 16, 10).cast("long")
 
 
-def _pieces(hexes: list[str]) -> np.ndarray:
+def _pieces(hexes: list[str], salt: int = 0) -> np.ndarray:
+    hexes = [hashlib.sha256(f"{x}:{salt}".encode()).hexdigest() for x in hexes] if salt else hexes
     return np.array([[int(x[a : a + 11], 16) for a in (11, 22, 33)] for x in hexes], np.int64).reshape(-1, 3)
 
 
-def displacements(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of n keys (three integers each): the buckets that have keys, their two displacements, and every key's slot.
+def _salted(digest: Column, salt: Column) -> Column:
+    return F.when(salt > 0, F.sha2(F.concat(digest, F.lit(":"), salt.cast("string")).cast("binary"), 256)).otherwise(digest)
+
 
-    slot = (b % n + d0 * (c % n) + d1) % n, bucket = a % BUCKETS. The largest buckets come first; for each,
-    d1 runs over all slots before d0 grows. A bucket of one key just takes the next free slot.
+def displacements(hexes: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of n different keys: the buckets that have keys, their two displacements and salts, and every key's slot.
+
+    A key is three integers a, b, c; b and c are those of the salted key. slot = (b % n + d0 * (c % n) + d1) % n,
+    bucket = a % buckets. The largest buckets come first; for each, d1 runs over all slots before d0 grows, and d0 before the
+    salt. A bucket of one key just takes the next free slot.
     """
-    n = len(pieces)
-    buckets = BUCKETS
+    n = len(hexes)
+    pieces = _pieces(hexes)
     bucket, b, c = pieces[:, 0] % buckets, pieces[:, 1] % n, pieces[:, 2] % n
     order = np.argsort(bucket, kind="stable")
     bound = np.searchsorted(bucket[order], np.arange(buckets + 1))
     size = np.diff(bound)
-    d0, d1, slot = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), np.zeros(n, np.int64)
-    free = np.ones(n, bool)
+    d0, d1, salt, slot = (np.zeros(k, np.int64) for k in (buckets, buckets, buckets, n))
+    free_ = np.ones(n, bool)
     shift = np.arange(min(n, 256), dtype=np.int64)
-    for k in np.argsort(-size, kind="stable"):
-        if size[k] < 2:
-            break
-        keys = order[bound[k] : bound[k + 1]]
-        found = False
+
+    def fitted(b: np.ndarray, c: np.ndarray) -> tuple[int, int, np.ndarray] | None:
         for e in range(n + 1):
-            base = (b[keys] + e * c[keys]) % n
+            base = (b + e * c) % n
             if len(set(base.tolist())) < len(base):
                 continue
             for lo in range(0, n, len(shift)):
                 tried = (base[:, None] + lo + shift) % n
-                fits = free[tried].all(axis=0)
+                fits = free_[tried].all(axis=0)
                 if fits.any():
                     at = int(fits.argmax())
-                    d0[k], d1[k], slot[keys], found = e, (lo + at) % n, tried[:, at], True
-                    free[tried[:, at]] = False
-                    break
-            if found:
-                break
-        if not found:
-            raise ValueError("two keys of a bucket can't be told apart")
+                    return e, (lo + at) % n, tried[:, at]
+        return None
+
+    for k in np.argsort(-size, kind="stable"):
+        if size[k] < 2:
+            break
+        keys = order[bound[k] : bound[k + 1]]
+        found = fitted(b[keys], c[keys])
+        while found is None:
+            salt[k] += 1
+            again = _pieces([hexes[i] for i in keys.tolist()], int(salt[k]))
+            found = fitted(again[:, 1] % n, again[:, 2] % n)
+        d0[k], d1[k], slot[keys] = found
+        free_[slot[keys]] = False
     single = np.flatnonzero(size == 1)
     keys = order[bound[single]]
-    slot[keys] = np.flatnonzero(free)
+    slot[keys] = np.flatnonzero(free_)
     d1[single] = (slot[keys] - b[keys]) % n
     used = np.flatnonzero(size)
-    return used, d0[used], d1[used], slot
+    return used, d0[used], d1[used], salt[used], slot
 
 
-def _build(table):
+def _build(table, buckets: int):
     """One shard: its seeds (slot null) and its slots (bucket null), as rows of one table."""
     import pyarrow as pa
 
     table = table.sort_by("digest")
     hexes = table["digest"].to_pylist()
-    used, d0, d1, slot = displacements(_pieces(hexes))
+    used, d0, d1, salt, slot = displacements(hexes, buckets)
     n, m = len(hexes), len(used)
     shard = table["shard"][0].as_py()
     none = lambda kind, k: pa.nulls(k, kind)
     i64 = pa.int64()
-    seeds = [pa.array([shard] * m, i64), pa.array(used, i64), pa.array(d0, i64), pa.array(d1, i64), pa.array([n] * m, i64), none(i64, m), none(pa.string(), m), none(i64, m), none(i64, m)]
-    slots = [pa.array([shard] * n, i64), none(i64, n), none(i64, n), none(i64, n), none(i64, n), pa.array(slot, i64), table["digest"].combine_chunks().cast(pa.string()), table["keep_id"].combine_chunks(), table["group_size"].combine_chunks()]
-    names = ["shard", "bucket", "d0", "d1", "n_slots", "slot", "digest", "keep_id", "group_size"]
+    seeds = [pa.array([shard] * m, i64), pa.array(used, i64), pa.array(d0, i64), pa.array(d1, i64), pa.array(salt, i64), pa.array([n] * m, i64), none(i64, m), none(pa.string(), m), none(i64, m), none(i64, m)]
+    slots = [pa.array([shard] * n, i64), none(i64, n), none(i64, n), none(i64, n), none(i64, n), none(i64, n), pa.array(slot, i64), table["digest"].combine_chunks().cast(pa.string()), table["keep_id"].combine_chunks(), table["group_size"].combine_chunks()]
+    names = ["shard", "bucket", "d0", "d1", "salt", "n_slots", "slot", "digest", "keep_id", "group_size"]
     return pa.concat_tables([pa.table(seeds, names), pa.table(slots, names)])
 
 
-def build_index(history: DataFrame, text: str = "text", doc_id: str = "doc_id") -> dict:
-    """The index over ``history``: seeds and slots as DataFrames (written tables), and the number of shards."""
+def build_index(history: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_keys: int = SHARD_KEYS, buckets: int = BUCKETS) -> dict:
+    """The index over ``history``: seeds and slots as DataFrames (written tables), and the numbers of shards and of buckets in each."""
+    ship(history.sparkSession)
     distinct = cut(
         history.select(digest_of(text).alias("digest"), F.col(doc_id).cast("long").alias("_id")).groupBy("digest").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
         "digests",
     )
-    shards = max(1, -(-distinct.count() // SHARD_KEYS))
+    shards = max(1, -(-distinct.count() // shard_keys))
     built = cut(
         distinct.withColumn("shard", F.pmod(_piece(F.col("digest"), 0), F.lit(shards)))
         .groupBy("shard")
-        .applyInArrow(_build, "shard long, bucket long, d0 long, d1 long, n_slots long, slot long, digest string, keep_id long, group_size long"),
+        .applyInArrow(lambda table: _build(table, buckets), "shard long, bucket long, d0 long, d1 long, salt long, n_slots long, slot long, digest string, keep_id long, group_size long"),
         "perfect-hash",
     )
     return {
         "shards": shards,
-        "seeds": built.where("slot is null").select("shard", "bucket", "d0", "d1", "n_slots"),
+        "buckets": buckets,
+        "seeds": built.where("slot is null").select("shard", "bucket", "d0", "d1", "salt", "n_slots"),
         "slots": built.where("slot is not null").select("shard", "slot", "digest", "keep_id", "group_size"),
     }
 
 
 def look_up(rows: DataFrame, index: dict) -> DataFrame:
-    """Adds keep_id and group_size of the history's group to rows that have a column text_sha256; null where the history lacks the digest."""
-    d = F.col("text_sha256")
-    seeds = index["seeds"].select(F.col("shard").alias("_shard"), F.col("bucket").alias("_bucket"), F.col("d0").alias("_d0"), F.col("d1").alias("_d1"), F.col("n_slots").alias("_n"))
+    """rows: text_sha256 and others, none of which begins with an underscore. Adds keep_id and group_size of the history's group; null where the history lacks the digest."""
+    d, n = F.col("text_sha256"), F.col("_n")
+    seeds = index["seeds"].select(F.col("shard").alias("_shard"), F.col("bucket").alias("_bucket"), F.col("d0").alias("_d0"), F.col("d1").alias("_d1"), F.col("salt").alias("_salt"), F.col("n_slots").alias("_n"))
     slots = index["slots"].select(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.col("digest").alias("_digest"), "keep_id", "group_size")
+    own = _salted(d, F.col("_salt"))
     return (
         rows.withColumn("_shard", F.pmod(_piece(d, 0), F.lit(index["shards"])))
-        .withColumn("_bucket", F.pmod(_piece(d, 11), F.lit(BUCKETS)))
+        .withColumn("_bucket", F.pmod(_piece(d, 11), F.lit(index["buckets"])))
         .join(seeds, ["_shard", "_bucket"], "left")
-        .withColumn("_slot", (F.pmod(_piece(d, 22), F.col("_n")) + F.col("_d0") * F.pmod(_piece(d, 33), F.col("_n")) + F.col("_d1")) % F.col("_n"))
+        .withColumn("_slot", (F.pmod(_piece(own, 22), n) + F.col("_d0") * F.pmod(_piece(own, 33), n) + F.col("_d1")) % n)
         .join(slots, ["_shard", "_slot"], "left")
         .withColumn("keep_id", F.when(F.col("_digest") == d, F.col("keep_id")))
         .withColumn("group_size", F.when(F.col("_digest") == d, F.col("group_size")))
-        .drop("_shard", "_bucket", "_slot", "_d0", "_d1", "_n", "_digest")
+        .drop("_shard", "_bucket", "_slot", "_d0", "_d1", "_salt", "_n", "_digest")
     )
 
 
@@ -159,12 +174,13 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None, text: str =
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of fully equal winners one."""
-    winners = exact_groups(docs, None, text, doc_id).where("kept").groupBy("text_sha256").agg(F.first("keep_id").alias("_keep_id"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("text_sha256", "_sha")
-    rows = docs.withColumn("_sha", digest_of(text))
-    once = cut(rows.join(winners, "_sha").where(F.col(doc_id).cast("long").eqNullSafe(F.col("_keep_id"))).select(*docs.columns, "_sha", "_rows"), "winners")
-    several = once.where("_rows > 1").dropDuplicates(["_sha"])
-    return once.where("_rows = 1").unionByName(several).drop("_sha", "_rows")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of winners that share id and text one."""
+    sha, keep, rows = free(docs.columns, "sha", "keep", "rows")
+    winners = exact_groups(docs, None, text, doc_id).where("kept").groupBy(F.col("text_sha256").alias(sha)).agg(F.first("keep_id").alias(keep), F.count(F.lit(1)).alias(rows))
+    own = docs.withColumn(sha, digest_of(text))
+    once = cut(own.join(winners, sha).where(F.col(doc_id).cast("long").eqNullSafe(F.col(keep))).select(*docs.columns, sha, rows), "winners")
+    several = once.where(F.col(rows) > 1).dropDuplicates([sha])
+    return once.where(F.col(rows) == 1).unionByName(several).select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
