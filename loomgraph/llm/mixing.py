@@ -7,8 +7,11 @@
    quotients target / (2k + 1). Below a safe divisor all but n of the seats are known at once; only as
    many quotients as can still win are ranked (at most 4n rows for n sources), so the number of blocks may be
    anything.
-3. Each source's quota is apportioned to its shards in the same way, by their sizes. A shard holds about
-   SHARD_DOCS documents, whatever the source's size, so a source that holds a third of all rows is many groups.
+3. Each source's quota is apportioned to its shards in the same way, by their sizes, in two steps: first to groups of
+   shards, then within each group. A shard holds about SHARD_DOCS documents and a group GROUP_SHARDS shards, whatever
+   the source's size, so a source that holds a third of all rows is many groups. Documents are dealt to shards by id and text, so
+   only rows that share both must share a shard. Rounding may leave a shard with more blocks than three times its
+   words; what is beyond, a block at most for each shard, is not taken.
 4. In a shard, the documents stand in a seeded order; its words are a line that is laid up to three times. The
    quota's blocks are taken from the start: whole rounds first, then a last part that ends inside a document.
 """
@@ -17,12 +20,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from loomgraph.llm.common import cut, documents, text_of
+from loomgraph.llm.common import cut, documents, free, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 16
 SHARD_DOCS = 4096
+GROUP_SHARDS = 4096
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,29 +79,38 @@ def sainte_lague(votes: DataFrame, group: list[str], order: str) -> DataFrame:
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: str = SEED, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken, and ``at``, the row's place in its shard's line.
 
-    Null text has no words and is taken 0 times; a null source is a source of its own, the last; null ids share
-    one place in the seeded order. Rows with the same id and size are alike: which of them is cut is not
-    defined, and does not matter to the rows returned. No words at all: every target and taken is 0.
+    Null text has no words and is taken 0 times; a null source is a source of its own, the last. The seeded order is by id
+    (null: the word null) and text. Rows with the same id and text are alike: which of them is cut is not
+    defined, and does not matter to the rows returned. No words at all: every target and taken is 0. An empty table gives
+    none. Other columns are ignored.
     """
-    sized = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size")), "sizes")
+    sized = cut(_sized(docs, doc_id, text, source), "sizes")
     return _mixed(sized, weights, most, block, seed, shard_docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), F.md5(text_of(text).cast("binary")).alias("hash"))
+
+
 def _mixed(sized: DataFrame, weights: tuple[int, ...], most: int, block: int, seed: str, shard_docs: int) -> DataFrame:
-    """sized: doc_id, source, size and what else the caller wants to keep."""
+    """sized: doc_id, source, size, hash (of the text)."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(sources.withColumn("shards", F.ceil(F.col("n_docs") / shard_docs)), weights, most)
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     # The blocks in all: as many as the words fill.
     ballots = targets.withColumn("votes", F.col("target")).withColumn("all_", F.lit(0)).withColumn("seats", F.floor(total / block).cast("long"))
     quotas = cut(sainte_lague(ballots, ["all_"], "rank").select(F.col("source").alias("_source"), "source_size", "target", "rank", "quota", "shards"), "quotas")
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "hash"))
     placed = (
         sized.join(quotas, F.col("source").eqNullSafe(quotas["_source"])).drop("_source")
         .withColumn("drawn", drawn).withColumn("shard", F.conv(F.substring("drawn", 1, 8), 16, 10).cast("long") % F.col("shards"))
+        .withColumn("part", F.col("shard") % F.ceil(F.col("shards") / GROUP_SHARDS))
     )
-    shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats")).withColumn("votes", F.col("shard_size").cast("double"))
-    taken = sainte_lague(shards, ["rank"], "shard").select("rank", "shard", F.col("shard_size"), F.least(F.col("quota") * block, F.col("shard_size") * most).alias("words"))
+    shards = placed.groupBy("rank", "part", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
+    parts = shards.groupBy("rank", "part").agg(F.sum("shard_size").cast("double").alias("votes"), F.first("quota").alias("seats"))
+    given = sainte_lague(parts, ["rank"], "part").select("rank", "part", F.col("quota").alias("seats"))
+    votes = shards.drop("quota").join(given, ["rank", "part"]).withColumn("votes", F.col("shard_size").cast("double"))
+    taken = sainte_lague(votes, ["rank", "part"], "shard").select("rank", "shard", F.col("shard_size"), F.least(F.col("quota") * block, F.col("shard_size") * most).alias("words"))
     line = Window.partitionBy("rank", "shard").orderBy("drawn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("words") - rounds * F.col("shard_size")
@@ -108,22 +121,26 @@ def _mixed(sized: DataFrame, weights: tuple[int, ...], most: int, block: int, se
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document stands as often as it is taken whole; a rest is one more row.
+    """The mix itself, with the columns of ``docs``, whatever their names: a document stands as often as it is taken whole; a rest is one more row.
 
-    The rest's text is its first words, joined by one space each. What is not taken is not there.
+    The rest's text is its first words, joined by one space each. What is not taken is not there. Of rows that share id, source
+    and text each gets one of their shares.
     """
     p = {"weights": WEIGHTS, "most": MOST, "block": BLOCK, "seed": SEED, "shard_docs": SHARD_DOCS} | parameters
-    sized = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text_of(text)).alias("hash")), "sizes")
-    # Rows that share an id, a size and a text's hash are told apart by their number, on both sides.
-    alike = Window.partitionBy("_id", "_size", "_hash").orderBy(F.lit(0))
-    taken = _mixed(sized, **p).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("hash").alias("_hash"), F.col("taken").alias("_taken")).withColumn("_n", F.row_number().over(alike.orderBy("_taken")))
-    rows = docs.withColumn("_id", F.col(doc_id).cast("long")).withColumn("_size", n_words(text)).withColumn("_hash", F.xxhash64(text_of(text)))
-    rows = rows.withColumn("_n", F.row_number().over(alike.orderBy(F.lit(0))))
-    same = [rows[c].eqNullSafe(taken[c]) for c in ("_id", "_size", "_hash", "_n")]
-    both = rows.join(taken, same[0] & same[1] & same[2] & same[3]).where("_taken > 0").select(*[rows[c] for c in docs.columns], rows["_size"].alias("_size"), taken["_taken"].alias("_taken"))
-    lengths = F.concat(F.array_repeat(F.col("_size"), (F.col("_taken") / F.col("_size")).cast("int")), F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(F.array().cast("array<bigint>")))
-    cut_text = F.when(F.col("_take") == F.col("_size"), F.col(text)).otherwise(F.array_join(F.slice(F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " "))
-    out = both.withColumn("_take", F.explode(lengths)).withColumn(text, cut_text)
+    own_id, own_source, size, own_hash, taken, number, take = free(docs.columns, "id", "source", "size", "hash", "taken", "n", "take")
+    keys = [own_id, own_source, own_hash]
+    # Rows that share id, source and text are told apart by their number, on both sides.
+    alike = Window.partitionBy(*keys)
+    shares = _mixed(cut(_sized(docs, doc_id, text, source), "sizes"), **p).select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("hash").alias(own_hash), F.col("size").alias(size), F.col("taken").alias(taken))
+    shares = shares.withColumn(number, F.row_number().over(alike.orderBy(taken)))
+    rows = docs.withColumns({own_id: F.col(doc_id).cast("long"), own_source: F.col(source).cast("string"), own_hash: F.md5(text_of(text).cast("binary"))})
+    rows = rows.withColumn(number, F.row_number().over(alike.orderBy(F.lit(0))))
+    same = [rows[c].eqNullSafe(shares[c]) for c in (own_id, own_source)] + [rows[c] == shares[c] for c in (own_hash, number)]
+    both = rows.join(shares, same[0] & same[1] & same[2] & same[3]).where(shares[taken] > 0).select(*[rows[c] for c in docs.columns], shares[size], shares[taken])
+    rest = F.col(taken) % F.col(size)
+    lengths = F.concat(F.array_repeat(F.col(size), (F.col(taken) / F.col(size)).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    cut_text = F.when(F.col(take) == F.col(size), F.col(text)).otherwise(F.array_join(F.slice(F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col(take).cast("int")), " "))
+    out = both.withColumn(take, F.explode(lengths)).withColumn(text, cut_text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast("long"))
     return out.select(*docs.columns)
@@ -147,7 +164,7 @@ _SEATS = """
 
 OP6_SQL = (
     r"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, md5(coalesce(text, '')) AS hash, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source),
 t1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM src),
 t2 AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM t1),
@@ -159,11 +176,15 @@ t5 AS (SELECT source, source_size, n_docs, rank, least(CAST(cap AS DOUBLE), (SEL
 t6 AS (SELECT *, target AS votes, 0 AS all_, CAST(floor((SELECT sum(source_size) FROM src) / 16) AS BIGINT) AS seats FROM t5),"""
     + _SEATS.format(name="q", votes="t6", group="all_", tie="rank")
     + """,
-placed AS (SELECT s.doc_id, s.size, q.source_size, q.target, q.rank, q.quota, md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')) AS drawn,
+placed AS (SELECT s.doc_id, s.size, q.source_size, q.target, q.rank, q.quota, md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null') || ':' || s.hash) AS drawn,
    CAST(ceil(q.n_docs / 4096) AS BIGINT) AS shards FROM sized s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
-placed2 AS (SELECT *, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) % shards AS shard FROM placed),
-sh AS (SELECT rank, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(sum(size) AS DOUBLE) AS votes, any_value(quota) AS seats FROM placed2 GROUP BY rank, shard),"""
-    + _SEATS.format(name="w", votes="sh", group="rank", tie="shard")
+placed2 AS (SELECT *, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) % shards AS shard, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) % shards % CAST(ceil(shards / 4096) AS BIGINT) AS part FROM placed),
+sh AS (SELECT rank, part, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(quota) AS quota FROM placed2 GROUP BY rank, part, shard),
+pa AS (SELECT rank, part, CAST(sum(shard_size) AS DOUBLE) AS votes, any_value(quota) AS seats FROM sh GROUP BY rank, part),"""
+    + _SEATS.format(name="u", votes="pa", group="rank", tie="part")
+    + """,
+sv AS (SELECT sh.rank, sh.part, sh.shard, sh.shard_size, CAST(sh.shard_size AS DOUBLE) AS votes, u.quota AS seats, concat(sh.rank, ':', sh.part) AS own FROM sh JOIN u ON sh.rank = u.rank AND sh.part = u.part),"""
+    + _SEATS.format(name="w", votes="sv", group="own", tie="shard")
     + """,
 took AS (SELECT rank, shard, shard_size, least(quota * 16, shard_size * 3) AS words FROM w),
 line AS (SELECT p.*, t.shard_size, t.words, coalesce(sum(size) OVER (PARTITION BY p.rank, p.shard ORDER BY drawn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_,
