@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.common import arrow_schema, documents, flat_bytes
+from loomgraph.llm.common import arrow_schema, documents, ship, slices
 
 UNIT = 576
 PAD = 255
@@ -32,7 +32,7 @@ OPEN_DB, CLOSE_DB = 1.0, 0.5
 #: The columns that media_table can return.
 COLUMNS = {
     "doc_id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long",
-    "media_sha256": "string", "feature": "string", "n_frames": "long", "segments": "array<struct<start_s:double,end_s:double>>", "clips": "binary", "media": "binary",
+    "media_sha256": "string", "feature": "string", "n_frames": "long", "segments": "array<struct<start_s:double,end_s:double>>", "clips": "binary", "clips_sha256": "string", "media": "binary",
 }
 
 
@@ -154,7 +154,7 @@ def described(data: bytes, columns: tuple[str, ...]) -> dict:
         "n_bytes": len(data), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]),
         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "media": media,
     }
-    if {"feature", "n_frames", "segments", "clips"} & set(columns):
+    if {"feature", "n_frames", "segments", "clips", "clips_sha256"} & set(columns):
         mel = log_mel(resampled((np.frombuffer(back, np.uint8).astype(np.float32) - 128) / 128))
         spans = segments(mel)
         step = HOP * DOWN / UP / RATE
@@ -162,8 +162,9 @@ def described(data: bytes, columns: tuple[str, ...]) -> dict:
         voiced = sum(b - a for a, b in spans)
         out |= {"n_frames": len(mel), "segments": [{"start_s": a * step, "end_s": b * step} for a, b in spans]}
         out["feature"] = f"frames={len(mel)};segments={len(spans)};voiced={voiced};mel={','.join(f'{x:.2f}' for x in quarter)}"
-        if "clips" in columns:
+        if {"clips", "clips_sha256"} & set(columns):
             out["clips"] = clips_to_arrow(*clips(mel))
+            out["clips_sha256"] = hashlib.sha256(out["clips"]).hexdigest()
     return {c: out[c] for c in columns}
 
 
@@ -172,21 +173,22 @@ def media_table(docs: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS), text
 
     ``media`` is the stored file, ``clips`` an Arrow stream of fixed-shape tensors with time spans (see
     ``clips_from_arrow``). Null text is empty text: its payload is 576 bytes of 255. A null id stays null. Repeated
-    rows get equal values. Other columns are ignored.
+    rows get equal values. Texts are described one at a time, whole, so a worker holds some 30 bytes for each byte of the
+    longest. Other columns are ignored. An empty table gives none.
     """
     import pyarrow as pa
 
+    ship(docs.sparkSession)
+
     of_text = tuple(c for c in columns if c != "doc_id")
     schema = ", ".join(f"{c} {COLUMNS[c]}" for c in columns)
     kinds = arrow_schema(schema)
 
     def described_batches(batches):
         for batch in batches:
-            data, at = flat_bytes(batch.column(1))
-            raw = data.tobytes()
-            for lo in range(0, len(at) - 1, 500):
-                hi = min(lo + 500, len(at) - 1)
-                rows = [described(raw[at[k] : at[k + 1]], of_text) for k in range(lo, hi)]
+            for lo, hi, data, at in slices(batch, 1, 1 << 20):
+                raw = data.tobytes()
+                rows = [described(raw[at[k] : at[k + 1]], of_text) for k in range(hi - lo)]
                 made = {c: [r[c] for r in rows] for c in of_text} | {"doc_id": batch.column(0).slice(lo, hi - lo)}
                 yield pa.record_batch([pa.array(made[f.name], f.type) if f.name != "doc_id" else made["doc_id"].cast(f.type) for f in kinds], schema=kinds)
 
@@ -195,6 +197,6 @@ def media_table(docs: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS), text
 
 
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "clips")
-    rows = media_table(documents(spark, sf_dir), shown)
-    return rows.selectExpr(*shown[:-1], "octet_length(clips) as clips_bytes")
+    """The digest columns and the segments' spans; the tensors by the digest of their Arrow stream."""
+    shown = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "segments", "clips_sha256")
+    return media_table(documents(spark, sf_dir), shown)
