@@ -1,317 +1,568 @@
-"""LM scoring (2): logistic mixing of hashed-context bit predictors, beside a smoothed unigram base.
+"""LM scoring (2): online logistic mixing of hashed-context bit predictors, beside a smoothed unigram base.
 
-A text is its tokens: lower-cased words between ASCII white space, then one end. The model spells a word byte by byte
-and bit by bit, closed by a space; the end is the empty word. So its probabilities are a distribution over token
+A text is its tokens: lower-cased words between ASCII white space, then one end. The model codes them in order, bit by bit, and
+gives each bit a probability from what went before it in the text; so its probabilities are a distribution over token
 sequences, the same that the base scores, and total bits per byte follow from them.
 
-* Six predictors read the bits' counts under hashed contexts: the last 1, 2, 3, 4 and 5 bytes of the word, and all of
-  it so far. The counts come from every training document; they are sums, so tasks add them up in any order.
-* Predictions are mixed in the logistic domain. A gate chooses the weights: the bit's place in its byte, and how
-  often the long contexts have been seen. The weights are learned online, batch after batch, from predictions that leave
-  out the token itself; tasks learn from their own words and the weights are averaged.
+* A frequent word is its path in a binary tree (a prefix code by counts, with the end and an escape). Four predictors read the
+  bits' counts under contexts: none (exact counts), and, hashed, the group that the text so far belongs to, the word before, and the
+  two words before. Groups stand for the values of a column (the language); which one a text belongs to is read from its
+  own words, as they come.
+* Any other word is the escape, and then its bytes, bit by bit, closed by a space. Five predictors read counts under
+  the last 1, 2, 3 and 4 bytes of the word, and all of it so far. This cost depends on the word alone, so every distinct one is
+  scored once, and words meet documents again in an equi-join.
+* Counts come from every training document. They are sums, so tasks add them up in any order.
+* Predictions are mixed in the logistic domain. A gate, by how often the long contexts have been seen, chooses the weights. The
+  weights are learned online, batch after batch in a fixed order, from predictions that leave out the bit itself, on all training
+  text. It is dealt to shards of a fixed size by hash; what they have learned is averaged in whole numbers, so neither cores nor the
+  order of tasks change a score.
 * A refinement table, learned adaptively in the same pass, maps the mixed prediction to the frequency with which it
   came true, by gate, with interpolation between its cells.
 
-A text is first given to an expert, by its frequent words; experts stand for the values of a column (the language).
-The choice is part of the code: it costs log10 of the expert's share. All contexts include the expert. The classifier behind
-the choice is fitted on SAMPLE training rows, those with the least hashes of their ids.
-
-A word's cost depends on the word and the expert alone, so every distinct pair is scored once, not every token. Words
-meet documents again in an equi-join; the most frequent ones, a fixed number, are looked up in a broadcast table instead.
+What reaches the driver is the frequent words (HEAD at most, of WORD_BYTES at most), the tables, whose sizes follow the
+training text up to 2 ** MOST_BITS slots each, and the weights. Beyond that size contexts share slots more often.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.common import arrow_schema, cut, documents, flat_bytes, powers, ship, text_of
+from loomgraph.llm.common import SPACE, arrow_schema, cut, documents, flat_bytes, powers, ship, slices, text_of
 
-#: Bytes of context of each predictor (0: the whole word so far), and the least bits of its table.
-ORDERS = (1, 2, 3, 4, 5, 0)
-TABLE_BITS = (16, 18, 20, 20, 21, 21)
-#: The tables from GROWING on have a bit more for each time that the vocabulary doubles beyond so many words.
-GROWING = 3
-TABLE_WORDS = 1_000_000
+#: Frequent words are the HEAD most frequent ones that stand twice at least and have no more than WORD_BYTES bytes.
+HEAD = 100_000
+WORD_BYTES = 64
+#: The most frequent values of the column are a group each, all others together are the last.
+GROUPS = 8
+#: A table has two to four slots for each training token (spelling: 16 to 32 for each word), between these numbers of bits.
+LEAST_BITS, MOST_BITS = 16, 21
 FLOOR = 0.2
-#: Levels of a context's count: 0, then up to 1, 3, 15, 63, 255 and more. Gates: the upper four levels of the whole word so
-#: far; below them, the levels of its last 4 bytes, with and without the last 5 having been seen.
-LEVELS = (1, 2, 4, 16, 64, 256)
-GATES = 4 + 2 * (len(LEVELS) + 1)
 CELLS = 33
-HEAD = 100_000
-SAMPLE = 3000
-EXPERTS = 6
-HINTS = 3000
-END = b" "
-BLOCK_SLOTS = 1 << 16
+#: Tokens of a learning shard, distinct words of a spelling shard, events of a batch.
+SHARD_TOKENS, SHARD_WORDS = 1 << 22, 1 << 19
 BATCH = 1 << 16
-#: The share of what the online Newton step remembers from batch to batch.
+WINDOW = 1 << 12
+#: The share of the curvature that the online Newton step remembers; it is measured on each of the first batches, then on every fourth.
 MEMORY = 0.95
-#: A task makes so many steps at least; with fewer batches it goes over them again.
-STEPS = 60
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+END = b" "
+BLOCK_SLOTS = 1 << 16
+#: Blocks that are added up in one task.
+FAN_IN = 256
+FIXED = 1 << 12
+_LOG = np.log(np.arange(1 << 16) + FLOOR).astype(np.float32)
+_K1, _K2, _K3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
-def table_bits(n_words: int) -> tuple[int, ...]:
-    """Bits of each predictor's table for a vocabulary of so many words."""
-    more = max(0, n_words - 1) // TABLE_WORDS
-    return tuple(b + (more.bit_length() if k >= GROWING else 0) for k, b in enumerate(TABLE_BITS))
+# Mixing
 
 
-class Spelling:
-    """The flat bytes of words, each closed by a space, with their contexts' hashes under an expert."""
+def squash(x: np.ndarray) -> np.ndarray:
+    """x: between -8 and 8."""
+    return 1 / (1 + np.exp(-x))
 
-    def __init__(self, words: list[bytes], expert: int = 0):
-        words = [b"" if w == END else w for w in words]
-        self.data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        self.length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.start = np.cumsum(self.length) - self.length
-        n = len(self.data)
-        place = np.arange(n) - np.repeat(self.start, self.length)
-        h = np.full(n, (0x1234567 + expert * 0x61C88647) & 0xFFFFFFFF, np.uint32)
-        self.hashes = []
-        with np.errstate(over="ignore"):
-            for k in range(1, max(ORDERS) + 1):
-                longer = np.flatnonzero(place >= k)
-                h[longer] = h[longer] * np.uint32(0x2C1B3C6D) + self.data[longer - k] + np.uint32(0x297A2D39)
-                if k in ORDERS:
-                    self.hashes.append(h.copy())
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
-            back = powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), n)
-            at = np.repeat(self.start, self.length)
-            whole = (total[:n] - total[at]) * back[at] + np.uint64(expert * 0x9FB21C651E98DF25 % (1 << 64))
-            self.hashes.append(((whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
 
-    def slots(self, bit: int, bits: tuple[int, ...]) -> list[np.ndarray]:
-        """Of each predictor: the slot that the bit's context and the byte's higher bits lead to."""
-        node = ((self.data.astype(np.uint32) | np.uint32(256)) >> np.uint32(bit + 1)) * np.uint32(0x9E3779B1)
-        with np.errstate(over="ignore"):
-            return [((h + node) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - b) for h, b in zip(self.hashes, bits, strict=True)]
+def _cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower cell of the refinement table for each mixed prediction, and how far it is from there to the next."""
+    at = (x + 8) * np.float32((CELLS - 1) / 16)
+    low = np.minimum(at.astype(np.int64), CELLS - 2)
+    return low, at - low
 
-    def bits(self, bit: int) -> np.ndarray:
-        return (self.data >> bit) & 1
 
+class Learner:
+    """Weights (gates x inputs and a bias) and refinement counts, learned batch after batch."""
+
+    def __init__(self, gates: int, inputs: int):
+        self.gates, self.inputs, self.steps = gates, inputs, np.zeros(gates, np.int64)
+        self.weights = start_weights(gates, inputs)
+        self.curve = np.tile(np.eye(inputs + 1), (gates, 1, 1)) * 10
+        self.seen = np.zeros(gates)
+        self.refined = np.zeros((gates, CELLS, 2))
+
+    def step(self, x: np.ndarray, gate: np.ndarray, hit: np.ndarray, value: np.ndarray | None = None) -> None:
+        """x: (inputs and a row of ones) x events. One Newton step of each gate that has events; predictions come before the step."""
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        gate, hit, x = gate[order], hit[order].astype(np.float32), x.take(order, axis=1)
+        value = None if value is None else value[order]
+        bound = np.searchsorted(gate, np.arange(self.gates + 1))
+        z = np.empty(len(order), np.float32)
+        own = np.flatnonzero(np.diff(bound))
+        parts = [slice(bound[g], bound[g + 1]) for g in own.tolist()]
+        for g, part in zip(own.tolist(), parts, strict=True):
+            z[part] = self.weights[g].astype(np.float32) @ x[:, part]
+        z = np.clip(z, -8, 8)
+        p = squash(z)
+        error, bend = hit - p, p * (1 - p)
+        if value is not None:
+            error, bend = error * value, bend * value
+        slope = np.stack([x[:, part] @ error[part] for part in parts])
+        for g, part in zip(own.tolist(), parts, strict=True):
+            if self.steps[g] < 8 or self.steps[g] % 4 == 0:  # the curvature changes slowly
+                self.curve[g] = self.curve[g] * MEMORY + (x[:, part] * bend[part]) @ x[:, part].T
+        self.steps[own] += 1
+        curve = self.curve[own]
+        ridge = 1 + 1e-3 * np.trace(curve, axis1=1, axis2=2)
+        self.weights[own] += np.linalg.solve(curve + np.eye(self.inputs + 1) * ridge[:, None, None], slope[:, :, None])[:, :, 0]
+        self.seen += np.diff(bound) if value is None else np.add.reduceat(np.append(value, 0).astype(np.float64), np.minimum(bound[:-1], len(value))) * (np.diff(bound) > 0)
+        low, rest = _cells(z)
+        key = 2 * (gate.astype(np.int64) * CELLS + low) + hit.astype(np.int64)
+        n = 2 * self.gates * CELLS
+        left = 1 - rest
+        if value is not None:
+            left, rest = left * value, rest * value
+        self.refined += (np.bincount(key, left, n) + np.bincount(key + 2, rest, n)).reshape(self.refined.shape)
+
+    def parts(self) -> np.ndarray:
+        """What is added up over shards, in whole numbers: weights by examples, examples, refinement counts."""
+        return np.rint(np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, self.refined.ravel()]) * FIXED).astype(np.int64)
+
+
+def start_weights(gates: int, inputs: int) -> np.ndarray:
+    out = np.full((gates, inputs + 1), 1 / inputs)
+    out[:, -1] = 0
+    return out
 
-def _word_batches(batch, size: int):
-    """Slices of a batch (word, count under each expert) with about ``size`` bytes of words: (rows, words, counts, expert).
 
-    A null count means that the word doesn't occur under the expert.
-    """
-    for expert in range(batch.num_columns - 1):
-        own = batch.column(expert + 1)
-        rows = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
-        words, counts = batch.column(0).take(_array(rows)).to_pylist(), own.take(_array(rows)).to_numpy()
-        lo, held = 0, 0
-        for k, w in enumerate(words):
-            held += len(w) + 1
-            if held >= size or k == len(words) - 1:
-                yield rows[lo : k + 1], words[lo : k + 1], counts[lo : k + 1], expert
-                lo, held = k + 1, 0
-
-
-def _array(rows: np.ndarray):
-    import pyarrow as pa
+def averaged(parts: np.ndarray, gates: int, inputs: int) -> dict:
+    """weights and refined (probabilities) of the sum of all shards' parts."""
+    total = parts.astype(np.float64) / FIXED
+    a, b = gates * (inputs + 1), gates * (inputs + 2)
+    weights, seen, refined = total[:a].reshape(gates, -1), total[a:b], total[b:].reshape(gates, CELLS, 2)
+    weights = np.where(seen[:, None] > 0, weights / np.maximum(seen, 1e-9)[:, None], start_weights(gates, inputs))
+    centre = squash(np.linspace(-8, 8, CELLS))
+    return {"weights": weights.astype(np.float32), "refined": ((refined[..., 1] + 20 * centre) / (refined.sum(axis=-1) + 20)).astype(np.float32)}
+
+
+_LN10 = np.float32(1 / np.log(10))
+
 
-    return pa.array(rows)
+def mixed_log10(model: dict, st: list[np.ndarray], gate: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """log10 of each bit's probability, from the predictors' stretched predictions."""
+    weights, gate = model["weights"], gate.astype(np.int64)
+    x = weights[:, -1].copy().take(gate, mode="clip")
+    for k, one in enumerate(st):
+        x += one * weights[:, k].copy().take(gate, mode="clip")
+    x = np.clip(x, -8, 8)
+    low, rest = _cells(x)
+    flat, key = model["refined"].reshape(-1), gate * CELLS + low
+    a, b = flat.take(key, mode="clip"), flat.take(key + 1, mode="clip")
+    p = np.float32(0.5) * (squash(x) + a + (b - a) * rest)
+    p = np.where(hit, p, 1 - p)
+    return np.log(np.maximum(p, np.float32(1e-5))) * _LN10
 
 
-def _counted(batches, n_words: int):
-    """words, counts -> blocks of the tables' counts: (block, counts of 0s then of 1s as float32). n_words: size of the whole vocabulary."""
+# Tables of counts
+
+
+def emitted(tables: list[np.ndarray], shard: int):
+    """Blocks of slots x 2 counts: (block, part, counts), for ``summed``."""
     import pyarrow as pa
 
-    bits = table_bits(n_words)
-    tables = [np.zeros(2 << b, np.float64) for b in bits]
-    for batch in batches:
-        for _, words, counts, expert in _word_batches(batch, 1 << 20):
-            s = Spelling(words, expert)
-            weight = np.repeat(counts.astype(np.float64), s.length)
-            for bit in range(8):
-                right = s.bits(bit)
-                for table, slot in zip(tables, s.slots(bit, bits), strict=True):
-                    np.add.at(table, 2 * slot + right, weight)
     block = 0
-    for table in tables:  # each a number of whole blocks
-        for lo in range(0, len(table), 2 * BLOCK_SLOTS):
-            part = table[lo : lo + 2 * BLOCK_SLOTS]
+    for table in tables:
+        for lo in range(0, len(table), BLOCK_SLOTS):
+            part = table[lo : lo + BLOCK_SLOTS]
             if part.any():
-                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([zlib.compress(part.astype(np.float32).tobytes(), 1)])], ["block", "counts"])
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([shard], pa.int64()), pa.array([zlib.compress(part.astype(np.int64).tobytes(), 1)])], ["block", "part", "counts"])
             block += 1
 
 
+BLOCKS = "block int, part long, counts binary"
+
+
 def _added(table):
     import pyarrow as pa
 
     total = 0
     for data in table["counts"].to_pylist():
-        total = total + np.frombuffer(zlib.decompress(data), np.float32).astype(np.float64)
-    return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)])})
+        total = total + np.frombuffer(zlib.decompress(data), np.int64)
+    return pa.table({"block": table["block"][:1], "part": table["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)])})
+
+
+def summed(blocks: DataFrame) -> DataFrame:
+    """Each block's sum over all parts; FAN_IN of them at a time, so that no task holds all parts of a block."""
+    blocks, most = cut(blocks, "blocks"), None
+    while most is None or most > 0:
+        blocks = cut(blocks.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("block", "part").applyInArrow(_added, BLOCKS), "blocks")
+        most = blocks.agg(F.coalesce(F.max("part"), F.lit(0)).alias("most")).first()["most"]
+    return blocks
 
 
-def tables_of(parts: Iterable[tuple[int, bytes]], n_words: int = 1) -> list[np.ndarray]:
-    """The counts of each predictor: slots x 2."""
-    at = np.cumsum([0, *(1 << b for b in table_bits(n_words))])
-    flat = np.zeros((at[-1], 2), np.float32)
+def tables_of(parts: Iterable[tuple[int, bytes]], sizes: list[int]) -> list[np.ndarray]:
+    """The counts of each predictor, packed: the number of 0s in the lower 16 bits, of 1s in the upper; larger ones are halved together."""
+    out = [np.zeros(n, np.uint32) for n in sizes]
+    first = np.cumsum([0, *(-(-n // BLOCK_SLOTS) for n in sizes)])
     for block, data in parts:
-        part = np.frombuffer(zlib.decompress(data), np.float32).reshape(-1, 2)
-        flat[block * BLOCK_SLOTS : block * BLOCK_SLOTS + len(part)] = part
-    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        k = int(np.searchsorted(first, block, side="right")) - 1
+        own = np.frombuffer(zlib.decompress(data), np.int64).reshape(-1, 2)
+        over = np.maximum(own.max(axis=1), 65_535)[:, None] / 65_535
+        small = np.minimum(np.rint(own / over), 65_535).astype(np.uint32)
+        small = np.where((own > 0) & (small == 0), 1, small).astype(np.uint32)
+        lo = (block - int(first[k])) * BLOCK_SLOTS
+        out[k][lo : lo + len(own)] = small[:, 0] | small[:, 1] << np.uint32(16)
+    return out
 
 
+#: Levels of a context's count: 0, then up to 1, 3, 15, 63, 255 and more.
+LEVELS = (1, 2, 4, 16, 64, 256)
 _LEVEL_OF = np.searchsorted(LEVELS, np.arange(LEVELS[-1] + 1), side="right").astype(np.int32)
 
 
-def _levels(n: np.ndarray) -> np.ndarray:
-    return _LEVEL_OF[np.minimum(n, LEVELS[-1]).astype(np.int32)]
+def level_of(n: np.ndarray) -> np.ndarray:
+    return _LEVEL_OF[np.minimum(n, LEVELS[-1])]
 
 
-def start_weights() -> np.ndarray:
-    """Where a context of the whole word is well known it alone counts; else all predictors do, alike."""
-    out = np.full((8, GATES, len(ORDERS) + 1), 0.25, np.float32)
-    out[:, :, -1] = 0
-    out[:, 2:4] = 0
-    out[:, 2:4, -2] = 1
-    return out
+def _coded(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Of counts: ln(p / (1 - p)) in 320ths, and the level of their sum in the lowest three bits, as 16 bits."""
+    x = np.clip(np.rint((_LOG[one] - _LOG[zero]) * 320), -4095, 4095).astype(np.int32) + 4096
+    return (np.where(zero + one == 0, 4096, x) << 3 | level_of(zero + one)).astype(np.uint16)
 
 
-def stretched(counts: np.ndarray) -> np.ndarray:
-    """ln(p / (1 - p)) of each slot's prediction; its lowest three bits hold the level of the slot's count instead."""
-    out = np.log((counts[:, 1] + FLOOR) / (counts[:, 0] + FLOOR)).astype(np.float32)
-    level = _levels(counts.sum(axis=1))
-    out[level == 0] = 0
-    return ((out.view(np.int32) & ~7) | level).view(np.float32)
+def stretched(packed: np.ndarray) -> np.ndarray:
+    """What a table of counts predicts, by slot."""
+    return _coded((packed & np.uint32(0xFFFF)).astype(np.int32), (packed >> np.uint32(16)).astype(np.int32))
 
 
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -14, 14)))
+def without_itself(packed: np.ndarray) -> np.ndarray:
+    """What the table predicts for one of its own bits without that bit: at 2 * slot for a 0, at 2 * slot + 1 for a 1."""
+    zero, one = (packed & np.uint32(0xFFFF)).astype(np.int32), (packed >> np.uint32(16)).astype(np.int32)
+    return np.stack([_coded(np.maximum(zero - 1, 0), one), _coded(zero, np.maximum(one - 1, 0))], axis=1).reshape(-1)
 
 
-def _gate(whole: np.ndarray, five: np.ndarray, four: np.ndarray) -> np.ndarray:
-    """Of the levels of three contexts."""
-    return np.where(whole > 2, whole - 3, 4 + 2 * four + (five > 0))
+def value_of(coded: np.ndarray) -> np.ndarray:
+    return ((coded >> 3).astype(np.float32) - 4096) * np.float32(1 / 320)
 
 
-def _mixed(st: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """weights: GATES x (predictors + 1)."""
-    out = weights[:, -1][gate]
-    for k, x in enumerate(st):
-        out = out + x * weights[:, k][gate]
-    return np.clip(out, -8, 8)
+# Spelling of words that aren't frequent
 
 
-def _cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lower cell of the refinement table for each mixed prediction, and how far it is from there to the next."""
-    at = (x + 8) * ((CELLS - 1) / 16)
-    low = np.minimum(at.astype(np.int64), CELLS - 2)
-    return low, at - low
+#: Bytes of context of each predictor (0: the whole word so far).
+ORDERS = (1, 2, 3, 4, 0)
+#: Gates of a bit: the upper four levels of the whole word so far; below them, the levels of its last 4 bytes, with and without the whole having been seen.
+SPELL_GATES = 4 + 2 * (len(LEVELS) + 1)
 
 
-def _learned(counts: list[np.ndarray], n_words: int):
-    """A mapInArrow function: words, counts -> one row with the task's weights, refinement counts and number of examples."""
+def spell_bits(n_words: int) -> tuple[int, ...]:
+    """Bits of each predictor's table for so many distinct words."""
+    most = min(MOST_BITS, max(LEAST_BITS, (16 * n_words).bit_length()))
+    return tuple(min(b, most) for b in (16, 18, most, most, most))
 
-    def run(batches):
-        import pyarrow as pa
 
-        weights = start_weights()
-        curve = np.tile(np.eye(len(ORDERS) + 1), (8, GATES, 1, 1)) * 10
-        seen = np.zeros((8, GATES), np.float64)
-        refined = np.zeros((8, GATES, CELLS, 2), np.float64)
-        bits = table_bits(n_words)
-        pairs = [np.ascontiguousarray(c).view(np.uint64).reshape(-1) for c in counts]
-
-        def step(words, times, expert):
-            s = Spelling(words, expert)
-            value = np.repeat(times.astype(np.float64), s.length).astype(np.float32)
-            n, row = len(s.data), 2 * np.arange(len(s.data))
+class Spelling:
+    """The flat bytes of words, each closed by a space, with their contexts' hashes."""
+
+    def __init__(self, words: list[bytes]):
+        self.data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+        self.length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.start = np.cumsum(self.length) - self.length
+        n = len(self.data)
+        place = np.arange(n) - np.repeat(self.start, self.length)
+        h = np.full(n, 0x1234567, np.uint32)
+        self.hashes = []
+        with np.errstate(over="ignore"):
+            for k in range(1, max(ORDERS) + 1):
+                longer = np.flatnonzero(place >= k)
+                h[longer] = h[longer] * np.uint32(0x2C1B3C6D) + self.data[longer - k] + np.uint32(0x297A2D39)
+                self.hashes.append(h.copy())
+            base = np.uint64(0x9E3779B97F4A7C15)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=total[1:])
+            back = powers(np.uint64(pow(int(base), -1, 1 << 64)), n)
+            at = np.repeat(self.start, self.length)
+            whole = (total[:n] - total[at]) * back[at]
+            self.hashes.append(((whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
+
+    def slots(self, bit: int, bits: tuple[int, ...]) -> list[np.ndarray]:
+        """Of each predictor: the slot that the bit's context and the byte's higher bits lead to."""
+        with np.errstate(over="ignore"):
+            node = ((self.data.astype(np.uint32) | np.uint32(256)) >> np.uint32(bit + 1)) * _K1
+            return [((h + node) * _K2) >> np.uint32(32 - b) for h, b in zip(self.hashes, bits, strict=True)]
+
+    def bits(self, bit: int) -> np.ndarray:
+        return (self.data >> bit) & 1
+
+
+def _spell_gate(bit: int, four: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Of the levels of two contexts."""
+    return bit * SPELL_GATES + _SPELL.take(whole.astype(np.int64) * 8 + four)
+
+
+_SPELL = np.array([whole - 3 if whole > 2 else 4 + 2 * min(four, len(LEVELS)) + (whole > 0) for whole in range(8) for four in range(8)])
+
+
+def _batches_of_words(words: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    lo, held = 0, 0
+    for k, w in enumerate(words):
+        held += len(w) + 1
+        if held >= size or k == len(words) - 1:
+            yield lo, k + 1
+            lo, held = k + 1, 0
+
+
+def _spell_counted(batches, bits: tuple[int, ...], shard: int):
+    """word, c -> blocks of the tables' counts."""
+    tables = [np.zeros((1 << b, 2), np.uint32) for b in bits]
+    for batch in batches:
+        words, counts = batch.column(0).to_pylist(), np.minimum(batch.column(1).to_numpy(), 1 << 24).astype(np.uint32)
+        for lo, hi in _batches_of_words(words, 1 << 20):
+            s = Spelling(words[lo:hi])
+            weight = np.repeat(counts[lo:hi], s.length)
             for bit in range(8):
                 right = s.bits(bit)
-                x, own = np.ones((len(ORDERS) + 1, n), np.float32), row + right
-                level = []
-                for k, (pair, slot) in enumerate(zip(pairs, s.slots(bit, bits), strict=True)):
-                    flat = pair[slot].view(np.float32)
-                    flat[own] -= 1
-                    flat = np.maximum(flat, 0).reshape(-1, 2)
-                    if k >= 3:
-                        level.append(_levels(flat[:, 0] + flat[:, 1]))
-                    x[k] = np.log((flat[:, 1] + np.float32(FLOOR)) / (flat[:, 0] + np.float32(FLOOR)))
-                gate = _gate(level[2], level[1], level[0]).astype(np.int8)
-                order = np.argsort(gate, kind="stable")
-                gate, x, value_, hit = gate[order], x[:, order], value[order], right[order].astype(np.float32)
-                bound = np.searchsorted(gate, np.arange(GATES + 1))
-                slope = np.zeros((GATES, len(ORDERS) + 1))
-                curve[bit] *= MEMORY
-                z = np.empty(n, np.float32)
-                for g in np.flatnonzero(np.diff(bound)):
-                    part = slice(bound[g], bound[g + 1])
-                    z[part] = weights[bit, g] @ x[:, part]
-                z = np.clip(z, -8, 8)
-                p = squash(z)
-                error, bend = (hit - p) * value_, p * (1 - p) * value_
-                for g in np.flatnonzero(np.diff(bound)):
-                    part = slice(bound[g], bound[g + 1])
-                    slope[g] = x[:, part] @ error[part]
-                    curve[bit, g] += (x[:, part] * bend[part]) @ x[:, part].T
-                    seen[bit, g] += value_[part].sum()
-                ridge = np.eye(len(ORDERS) + 1) * (1 + 1e-3 * np.trace(curve[bit], axis1=1, axis2=2))[:, None, None]
-                weights[bit] += np.linalg.solve(curve[bit] + ridge, slope[:, :, None])[:, :, 0].astype(np.float32)
-                low, rest = _cells(z)
-                key = 2 * (gate * np.int64(CELLS) + low) + hit.astype(np.int64)
-                table = np.bincount(key, value_ * (1 - rest), 2 * GATES * CELLS) + np.bincount(key + 2, value_ * rest, 2 * GATES * CELLS)
-                refined[bit] += table.reshape(GATES, CELLS, 2)
-
-        done, first = 0, []
-        for batch in batches:
-            for _, words, times, expert in _word_batches(batch, BATCH):
-                step(words, times, expert)
-                done += 1
-                if done <= STEPS:
-                    first.append((words, times, expert))
-        while first and done < STEPS:
-            refined *= 0.5  # what the table learned under earlier weights fades
-            for one in first[: STEPS - done]:
-                step(*one)
-                done += 1
-        yield pa.record_batch([pa.array([x.astype(np.float64).tobytes()]) for x in (weights, seen, refined)], ["weights", "seen", "refined"])
-
-    return run
-
-
-def model_of(counts: list[np.ndarray], learned: list[tuple[bytes, bytes, bytes]]) -> dict:
-    """Averages what the tasks have learned, by the examples behind each set of weights."""
-    weights, seen, refined = np.zeros((8, GATES, len(ORDERS) + 1)), np.zeros((8, GATES)), np.zeros((8, GATES, CELLS, 2))
-    for w, n, r in learned:
-        n = np.frombuffer(n).reshape(8, GATES)
-        weights += np.frombuffer(w).reshape(weights.shape) * n[:, :, None]
-        seen += n
-        refined += np.frombuffer(r).reshape(refined.shape)
-    weights = np.where(seen[:, :, None] > 0, weights / np.maximum(seen, 1e-9)[:, :, None], start_weights())
-    centre = squash(np.linspace(-8, 8, CELLS))
-    table = (refined[..., 1] + 20 * centre) / (refined.sum(axis=-1) + 20)
-    return {"stretch": [stretched(c) for c in counts], "weights": weights.astype(np.float32), "refined": table.astype(np.float32)}
+                for table, slot in zip(tables, s.slots(bit, bits), strict=True):
+                    np.add.at(table.reshape(-1), 2 * slot.astype(np.int64) + right, weight)
+    yield from emitted(tables, shard)
+
+
+def _spell_learned(batches, packed: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
+    """word, c -> the shard's parts."""
+    learner, own = Learner(8 * SPELL_GATES, len(ORDERS)), [without_itself(x) for x in packed]
+    for batch in batches:
+        words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        for lo, hi in _batches_of_words(words, BATCH // 4):
+            s = Spelling(words[lo:hi])
+            value = np.repeat(counts[lo:hi], s.length).astype(np.float32)
+            x = np.ones((len(ORDERS) + 1, len(value)), np.float32)
+            for bit in range(8):
+                hit = s.bits(bit)
+                found = [table.take(2 * slot.astype(np.int64) + hit, mode="clip") for table, slot in zip(own, s.slots(bit, bits), strict=True)]
+                for k, v in enumerate(found):
+                    x[k] = value_of(v)
+                learner.step(x, _spell_gate(bit, *(v & 7 for v in found[3:])), hit, value)
+    return learner.parts()
 
 
-def word_scores(model: dict, words: list[bytes], expert: int = 0) -> np.ndarray:
-    """log10 of each word's probability under the expert."""
+def word_scores(model: dict, words: list[bytes]) -> np.ndarray:
+    """log10 of each word's probability by its spelling."""
     if not words:
         return np.zeros(0)
-    s = Spelling(words, expert)
-    bits = np.zeros(len(s.data), np.float32)
+    s = Spelling(words)
+    total = np.zeros(len(s.data))
     sizes = tuple(len(table).bit_length() - 1 for table in model["stretch"])
     for bit in range(8):
-        st = [table[slot] for table, slot in zip(model["stretch"], s.slots(bit, sizes), strict=True)]
-        gate = _gate(*(st[k].view(np.int32) & 7 for k in (5, 4, 3)))
-        x = _mixed(st, gate, model["weights"][bit])
-        low, rest = _cells(x)
-        flat, key = model["refined"][bit].reshape(-1), gate * CELLS + low
-        p = 0.5 * squash(x) + 0.5 * (flat[key] * (1 - rest) + flat[key + 1] * rest)
-        p = np.clip(p, 1e-5, 1 - 1e-5)
-        bits += np.log10(np.where(s.bits(bit) == 1, p, 1 - p)).astype(np.float32)
-    return np.add.reduceat(bits.astype(np.float64), s.start)
+        st = [table.take(slot.astype(np.int64), mode="clip") for table, slot in zip(model["stretch"], s.slots(bit, sizes), strict=True)]
+        total += mixed_log10(model, [value_of(v) for v in st], _spell_gate(bit, *(v & 7 for v in st[3:])), s.bits(bit))
+    return np.add.reduceat(total, s.start)
+
+
+# Tokens
+
+
+class Code:
+    """Frequent words as paths of a binary tree, and what a text's tokens say about its group.
+
+    Symbols: 0 the end, 1 the escape, 2 .. the words in order. counts: symbols x groups.
+    """
+
+    def __init__(self, words: list[bytes], counts: np.ndarray):
+        self.words, self.counts = words, counts
+        n = len(words) + 2
+        self.n = n
+        total = np.maximum(counts.sum(axis=1), 1)
+        heap = [(int(c), k) for k, c in enumerate(total)]
+        heapq.heapify(heap)
+        parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8)
+        for node in range(n, 2 * n - 1):
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[x] = parent[y] = node
+            side[y] = 1
+            heapq.heappush(heap, (a + b, node))
+        climb, at = [], np.arange(n)
+        root = 2 * n - 2
+        while (at != root).any():
+            climb.append((np.where(at == root, -1, parent[at] - n), side[at]))
+            at = np.where(at == root, root, parent[at])
+        nodes, bits = np.stack([a for a, _ in climb[::-1]], axis=1), np.stack([b for _, b in climb[::-1]], axis=1)
+        here = nodes >= 0
+        self.length = here.sum(axis=1)
+        self.start = np.cumsum(self.length) - self.length
+        nodes, self.bits = nodes[here], bits[here]
+        with np.errstate(over="ignore"):
+            self.nodes = (nodes.astype(np.uint32) + np.uint32(1)) * _K1
+        # What the exact counts of each node predict.
+        times = np.repeat(counts.sum(axis=1), self.length)
+        one = np.bincount(nodes, times * self.bits, n - 1)[nodes]
+        zero = np.bincount(nodes, times, n - 1)[nodes] - one
+        self.plain = np.where(one + zero > 0, np.log((one + FLOOR) / (zero + FLOOR)), 0).astype(np.float32)
+        # A twentieth of each group's distribution is that of all: a few odd words don't decide, and a group without texts is like all.
+        group, share = counts.sum(axis=0), total / total.sum()
+        self.logs = np.log(0.95 * np.where(group > 0, counts / np.maximum(group, 1), share[:, None]) + 0.05 * share[:, None])
+        self.prior = np.log(group + 1.0)
+
+    def place(self) -> dict[bytes, int]:
+        return {w: k + 2 for k, w in enumerate(self.words)}
+
+
+def pieces_of(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in parts of about ``size`` bytes that end at white space, so that the words of a very long one are never held at once."""
+    if len(raw) <= size:
+        yield raw
+        return
+    space = np.flatnonzero(SPACE[np.frombuffer(raw, np.uint8)])
+    lo = 0
+    while lo < len(raw):
+        k = int(np.searchsorted(space, lo + size))
+        hi = int(space[k]) if k < len(space) else len(raw)
+        yield raw[lo:hi]
+        lo = hi
+
+
+def ids_of(raw: bytes, place: dict[bytes, int], rare: Counter | None = None) -> np.ndarray:
+    """The symbols of a text's tokens, the end last. rare: counts the words that have none."""
+    parts = []
+    for piece in pieces_of(raw):
+        words = piece.lower().split()
+        own = np.array([place.get(w, 1) for w in words], np.int32)
+        if rare is not None:
+            rare.update([words[k] for k in np.flatnonzero(own == 1).tolist()])
+        parts.append(own)
+    parts.append(np.zeros(1, np.int32))
+    return np.concatenate(parts)
+
+
+def token_contexts(code: Code, symbol: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each hashed predictor's context of all tokens, and whether the group is sure. starts: where texts begin (ascending, from 0)."""
+    n = len(symbol)
+    none = np.uint32(code.n)
+    one, two = np.full(n, none, np.uint32), np.full(n, none, np.uint32)
+    one[1:] = symbol[:-1]
+    one[starts] = none
+    two[1:] = one[:-1]
+    two[starts] = none
+    group, sure = np.zeros(n, np.uint32), np.zeros(n, bool)
+    text = np.searchsorted(starts, np.arange(n), side="right") - 1
+    carry = np.zeros(code.logs.shape[1])
+    for lo in range(0, n, 1 << 14):
+        hi = min(n, lo + (1 << 14))
+        own = code.logs[symbol[lo:hi]]
+        total = np.cumsum(own, axis=0) - own  # of the tokens before, in this window
+        heads = starts[(starts >= lo) & (starts < hi)] - lo
+        t = text[lo:hi] - text[lo]
+        base = np.concatenate([(-carry)[None] if not len(heads) or heads[0] else np.zeros((0, own.shape[1])), total[heads]])
+        total = total - base[t]
+        best = total + code.prior
+        row = np.arange(hi - lo)
+        first = best.argmax(axis=1)
+        top = best[row, first]
+        best[row, first] = -np.inf
+        gap = np.round(top - best.max(axis=1), 6)
+        sure[lo:hi] = gap >= 4
+        group[lo:hi] = 3 * first + (gap >= 1) + (gap >= 4)
+        carry = total[-1] + own[-1]
+    with np.errstate(over="ignore"):
+        contexts = [(group + np.uint32(1)) * np.uint32(0x27D4EB2F), (one + np.uint32(7)) * _K2, ((one + np.uint32(3)) * _K3 + two) * np.uint32(0x2C1B3C6D)]
+        return [c ^ (c >> np.uint32(15)) for c in contexts], sure
+
+
+TOKEN_INPUTS = 4
+#: Gates: whether the group is sure, four levels of the two words before, five of the word before.
+TOKEN_GATES = 2 * 4 * 5
+_TWO, _ONE = np.array([0, 1, 2, 2, 3, 3, 3, 3]) * 5, np.array([0, 1, 1, 2, 3, 4, 4, 4])
+
+
+def token_bits(n_tokens: int) -> tuple[int, ...]:
+    """Bits of each hashed predictor's table for so many training tokens."""
+    return (min(MOST_BITS, max(LEAST_BITS, (2 * n_tokens).bit_length())),) * (TOKEN_INPUTS - 1)
+
+
+def events(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], bits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The bits of all tokens in order: how many of each token, their places in the code, the bits, and each hashed predictor's slots."""
+    times = code.length[symbol]
+    at = np.arange(int(times.sum())) + np.repeat(code.start[symbol] - (np.cumsum(times) - times), times)
+    slots = []
+    with np.errstate(over="ignore"):
+        node = code.nodes.take(at, mode="clip")
+        for c, b in zip(contexts, bits, strict=True):
+            h = np.repeat(c, times)
+            h += node
+            h *= _K3
+            h >>= np.uint32(32 - b)
+            slots.append(h.astype(np.int64))
+    return times, at, code.bits.take(at, mode="clip"), slots
+
+
+def _token_gate(sure: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Of the levels of the word before and the two words before."""
+    return sure * 20 + _TWO.take(two) + _ONE.take(one)
+
+
+def _windows(n: int) -> Iterator[slice]:
+    return (slice(lo, min(n, lo + WINDOW)) for lo in range(0, n, WINDOW))
+
+
+def token_scores(model: dict, code: Code, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability, but for the spelling of words that have no symbol."""
+    contexts, sure = token_contexts(code, symbol, starts)
+    sizes = tuple(len(table).bit_length() - 1 for table in model["stretch"])
+    each = np.zeros(len(symbol))
+    for w in _windows(len(symbol)):
+        times, at, hit, slots = events(code, symbol[w], [c[w] for c in contexts], sizes)
+        found = [table.take(slot, mode="clip") for table, slot in zip(model["stretch"], slots, strict=True)]
+        gate = _token_gate(np.repeat(sure[w], times), found[1] & 7, found[2] & 7)
+        each[w] = np.add.reduceat(mixed_log10(model, [code.plain.take(at, mode="clip"), *map(value_of, found)], gate, hit), np.cumsum(times) - times)
+    return np.add.reduceat(each, starts)
+
+
+def _token_counted(batches, code: Code, bits: tuple[int, ...], shard: int):
+    """ids of training texts (binary) -> blocks of the tables' counts."""
+    tables = [np.zeros((1 << b, 2), np.uint32) for b in bits]
+    for symbol, starts in _joined(batches):
+        contexts, _ = token_contexts(code, symbol, starts)
+        for w in _windows(len(symbol)):
+            _, _, hit, slots = events(code, symbol[w], [c[w] for c in contexts], bits)
+            for table, slot in zip(tables, slots, strict=True):
+                np.add.at(table.reshape(-1), 2 * slot + hit, np.uint32(1))
+    yield from emitted(tables, shard)
+
+
+def _token_learned(batches, code: Code, packed: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
+    """ids of a shard's training texts, in order -> the shard's parts."""
+    learner, own = Learner(TOKEN_GATES, TOKEN_INPUTS), [without_itself(x) for x in packed]
+    for symbol, starts in _joined(batches):
+        contexts, sure = token_contexts(code, symbol, starts)
+        for w in _windows(len(symbol)):
+            times, at, hit, slots = events(code, symbol[w], [c[w] for c in contexts], bits)
+            found = [table.take(2 * slot + hit, mode="clip") for table, slot in zip(own, slots, strict=True)]
+            x = np.ones((TOKEN_INPUTS + 1, len(at)), np.float32)
+            x[0] = code.plain.take(at, mode="clip")
+            for k, v in enumerate(found):
+                x[k + 1] = value_of(v)
+            learner.step(x, _token_gate(np.repeat(sure[w], times), found[1] & 7, found[2] & 7), hit)
+    return learner.parts()
+
+
+def _joined(batches, size: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed ids of texts, in their order, whole texts of ``size`` tokens or more together: flat ids, starts. What is together follows the rows' order alone, not the batches."""
+    held, total = [], 0
+    flat = lambda: (np.concatenate(held), np.cumsum([0, *map(len, held[:-1])]))
+    for batch in batches:
+        data, at = flat_bytes(batch.column(batch.schema.get_field_index("ids")))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            held.append(unpacked_ids(data[a:b]))
+            total += len(held[-1])
+            if total >= size:
+                yield flat()
+                held, total = [], 0
+    if held:
+        yield flat()
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """The lower 16 bits of all ids, then the upper ones, of which most are 0: so they compress."""
+    return (ids & 0xFFFF).astype(np.uint16).tobytes() + (ids >> 16).astype(np.uint8).tobytes()
+
+
+def unpacked_ids(data: np.ndarray) -> np.ndarray:
+    n = len(data) // 3
+    return np.frombuffer(data[: 2 * n].tobytes(), np.uint16).astype(np.int32) | data[2 * n :].astype(np.int32) << 16
+
+
+# Jobs
 
 
 def is_held_out(doc_id) -> bool:
@@ -319,83 +570,58 @@ def is_held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def _tokens(batch):
-    """Of each row: its id and its tokens but for the end."""
-    data, at = flat_bytes(batch.column(1))
-    raw = data.tobytes()
-    for k, doc_id in enumerate(batch.column(0).to_pylist()):
-        yield doc_id, raw[at[k] : at[k + 1]].lower().split()
+def groups_of(rows: DataFrame, group: str | None) -> dict:
+    """The most frequent values of the column: value -> group. All others are the last group."""
+    if group is None:
+        return {}
+    found = rows.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(GROUPS - 1).collect()
+    return {r[group]: k for k, r in enumerate(found)}
 
 
-def hints(rows: DataFrame, group: str | None) -> dict:
-    """Of frequent words: the log-probability under each expert. One expert without hints where there is no column to learn from."""
-    if group is None:
-        return {"prior": [0.0], "words": {}}
-    trained = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
-    sample = rows.where(trained & F.col(group).isNotNull()).select("doc_id", "text", group).orderBy(F.xxhash64("doc_id"), "doc_id", group).limit(SAMPLE).collect()
-    groups = [g for g, _ in sorted(Counter(r[group] for r in sample).items(), key=lambda x: (-x[1], str(x[0])))[:EXPERTS]]
-    if len(groups) < 2:
-        return {"prior": [0.0], "words": {}}
-    seen = [Counter() for _ in groups]
-    for r in sample:
-        if r[group] in groups:
-            seen[groups.index(r[group])].update(r["text"].encode().lower().split())
-    total = [sum(c.values()) + HINTS for c in seen]
-    frequent = [w for w, _ in sorted(sum(seen, Counter()).items(), key=lambda x: (-x[1], x[0]))[:HINTS]]
-    prior = Counter(r[group] for r in sample)
-    logs = np.array([[np.log((c[w] + 1) / n) for c, n in zip(seen, total, strict=True)] for w in frequent])
-    return {"prior": [float(np.log(prior[g])) for g in groups], "words": {w: k for k, w in enumerate(frequent)}, "logs": logs}
-
-
-def expert_of(hints: dict, counts: Counter) -> int:
-    """The expert under which the frequent words of a text are likeliest."""
-    if not hints["words"]:
-        return 0
-    known = hints["words"]
-    both = known.keys() & counts.keys()
-    if not both:
-        return int(np.argmax(hints["prior"]))
-    times = np.array([counts[w] for w in both], np.float64)
-    return int((times @ hints["logs"][[known[w] for w in both]] + hints["prior"]).argmax())
-
-
-def vocabulary(rows: DataFrame, hint: dict) -> DataFrame:
-    """rows: doc_id, text. word (binary), c0, c1 ...: its numbers of training tokens under each expert; 0 where only held-out texts have it, null where none has."""
-    n_experts = len(hint["prior"])
+def vocabulary(rows: DataFrame, groups: dict) -> DataFrame:
+    """rows: doc_id, text, value. word (binary), c0, c1 ...: its numbers of training tokens in each group; 0 where only held-out texts have it."""
 
     def counted(batches):
         import pyarrow as pa
 
-        seen: list[Counter] = [Counter() for _ in range(n_experts)]
+        seen: list[Counter] = [Counter() for _ in range(GROUPS)]
 
         def flush():
             for k, own in enumerate(seen):
-                yield pa.record_batch([pa.array(list(own), pa.binary()), pa.array([k] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["word", "expert", "c"])
+                yield pa.record_batch([pa.array(list(own), pa.binary()), pa.array([k] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["word", "own", "c"])
                 own.clear()
 
-        for batch in batches:
-            for doc_id, tokens in _tokens(batch):
-                tokens.append(END)
-                counts = Counter(tokens)
-                own = seen[expert_of(hint, counts)]
-                if is_held_out(doc_id):
-                    for w in counts:
-                        if w not in own:
-                            own[w] = 0
-                else:
-                    own.update(counts)
-            if sum(map(len, seen)) > 800_000:
-                yield from flush()
+        for whole in batches:
+            for lo, hi, data, at in slices(whole, 1, 1 << 20):
+                raw, batch = data.tobytes(), whole.slice(lo, hi - lo)
+                for k, (doc_id, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    own, held = seen[groups.get(value, GROUPS - 1)], is_held_out(doc_id)
+                    for piece in pieces_of(raw[at[k] : at[k + 1]]):
+                        if held:
+                            for w in piece.lower().split():
+                                if w not in own:
+                                    own[w] = 0
+                        else:
+                            own.update(piece.lower().split())
+                    own[END] += not held
+                if sum(map(len, seen)) > 800_000:
+                    yield from flush()
         yield from flush()
 
-    found = rows.select("doc_id", "text").mapInArrow(counted, "word binary, expert int, c long")
-    return found.groupBy("word").agg(*[F.sum(F.when(F.col("expert") == k, F.col("c"))).alias(f"c{k}") for k in range(n_experts)])
+    found = rows.mapInArrow(counted, "word binary, own int, c long")
+    return found.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("own") == k, F.col("c"))), F.lit(0)).alias(f"c{k}") for k in range(GROUPS)])
+
+
+def _all():
+    return sum((F.col(f"c{k}") for k in range(GROUPS)), F.lit(0))
 
 
 def least_count(counts: DataFrame, most: int) -> int:
-    """The least c such that no more than ``most`` rows of ``counts`` (c) have it or more; by a histogram of the counts."""
+    """The least c such that no more than ``most`` rows of ``counts`` (c) have it or more; by counts of the rows at powers of 2 and, between two of them, at each eighth."""
     total, least = 0, None
-    for c, n in sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+    # A count and its three leading bits after the first: at most eight values for each power of 2.
+    rounded = F.expr("CASE WHEN c > 0 THEN c - c % shiftleft(1L, greatest(0, CAST(floor(log2(c)) AS INT) - 3)) ELSE 0L END")
+    for c, n in sorted(((r["c"], r["n"]) for r in counts.select(rounded.alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
         total += n
         if total > most:
             return c + 1 if least is None else least
@@ -403,37 +629,127 @@ def least_count(counts: DataFrame, most: int) -> int:
     return 0 if least is None else least
 
 
-def _all(words: DataFrame):
-    return sum((F.coalesce(c, F.lit(0)) for c in words.columns[1:]), F.lit(0))
+def code_of(words: DataFrame, head: int = HEAD) -> Code:
+    """The code of the most frequent words of a vocabulary."""
+    short = words.select("*", _all().alias("c")).where((F.col("word") != F.lit(END)) & (F.octet_length("word") <= WORD_BYTES) & (F.col("c") >= 2))
+    names = [f"c{k}" for k in range(GROUPS)]
+    top = short.where(F.col("c") >= least_count(short.select("c"), head)).toArrow().to_pydict()
+    counts = np.stack([np.array(top[c], np.int64) for c in names], axis=1) if top["word"] else np.zeros((0, GROUPS), np.int64)
+    order = sorted(range(len(top["word"])), key=lambda k: (-top["c"][k], top["word"][k]))
+    totals = words.agg(*[F.sum(c).alias(c) for c in names]).first()
+    end = words.where(F.col("word") == F.lit(END)).select(*names).first() or [0] * GROUPS
+    all_ = np.array([x or 0 for x in totals], np.int64)
+    escape = all_ - np.array(list(end), np.int64) - counts.sum(axis=0)
+    return Code([top["word"][k] for k in order], np.concatenate([np.array([list(end)], np.int64), escape[None], counts[order]]))
+
+
+def _collected(parts: DataFrame, gates: int, inputs: int) -> dict:
+    """parts: place, value. Added up in whole numbers."""
+    out = np.zeros(gates * (inputs + 2) + 2 * gates * CELLS, np.int64)
+    for r in parts.groupBy("place").agg(F.sum("value").alias("value")).collect():
+        out[r["place"]] = r["value"]
+    return averaged(out, gates, inputs)
 
 
-def fit(words: DataFrame) -> dict:
-    """The model of a vocabulary (word, c0, ...). Its tables, whose sizes follow the vocabulary, are what reaches the driver."""
+def _as_rows(parts: np.ndarray):
+    import pyarrow as pa
+
+    own = np.flatnonzero(parts)
+    return pa.record_batch([pa.array(own.astype(np.int32)), pa.array(parts[own])], ["place", "value"])
+
+
+def fit_spelling(words: DataFrame) -> dict:
+    """The model of words (word, c) by their spelling."""
     spark = words.sparkSession
-    counts_of = words.columns[1:]
-    # A task for each 250,000 words, no more than there are cores: each adds tables of the full size.
-    known = words.select("word", *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in counts_of]).where(_all(words) > 0)
     n_words = words.count()
-    known = known.coalesce(max(1, min(spark.sparkContext.defaultParallelism, n_words // 250_000)))
-    blocks = known.mapInArrow(lambda batches: _counted(batches, n_words), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary")
-    counts = tables_of(((r.block, r.counts) for r in blocks.toLocalIterator()), n_words)
-    shared = spark.sparkContext.broadcast(counts)
+    bits = spell_bits(n_words)
+    shards = max(1, n_words // SHARD_WORDS)
+    # Shards follow the words' hashes, so each is a fair sample of all, and the same on any cluster.
+    dealt = words.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("word", F.lit(1)), "word")
+
+    def counted(batches):
+        for shard, own in _by_shard(batches):
+            yield from _spell_counted(own, bits, shard)
+
+    packed = tables_of(((r.block, r.counts) for r in summed(dealt.mapInArrow(counted, BLOCKS)).toLocalIterator()), [1 << b for b in bits])
+    shared = spark.sparkContext.broadcast(packed)
+
+    def learned(batches):
+        for _, own in _by_shard(batches):
+            yield _as_rows(_spell_learned(own, shared.value, bits))
+
+    model = _collected(dealt.mapInArrow(learned, "place int, value long"), 8 * SPELL_GATES, len(ORDERS))
+    shared.destroy()
+    return model | {"stretch": [stretched(x) for x in packed]}
+
+
+def _by_shard(batches) -> Iterator[tuple[int, Iterator]]:
+    """Rows sorted by their last column, shard: each shard's number and its batches."""
+    from itertools import chain, groupby
+
+    def parts():
+        for batch in batches:
+            shard = batch.column(batch.num_columns - 1).to_numpy()
+            edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if b > a:
+                    yield int(shard[a]), batch.slice(a, b - a)
+
+    for shard, own in groupby(parts(), key=lambda x: x[0]):
+        first = next(own)[1]
+        yield shard, chain([first], (x for _, x in own))
+
+
+def fit_tokens(rows: DataFrame, code: Code, n_train: int) -> dict:
+    """The model of the tokens of training texts. rows: doc_id, text."""
+    spark = rows.sparkSession
+    bits = token_bits(n_train)
+    shards = max(1, n_train // SHARD_TOKENS)
+    shared_code = spark.sparkContext.broadcast(code)
+
+    def coded(batches):
+        import pyarrow as pa
+        import xxhash
+
+        place = shared_code.value.place()
+        for whole in batches:
+            for lo, hi, data, at in slices(whole, 1, 1 << 20):
+                raw = data.tobytes()
+                ids, keys = [], []
+                for k, doc_id in enumerate(whole.column(0).slice(lo, hi - lo).to_pylist()):
+                    if not is_held_out(doc_id):
+                        ids.append(packed_ids(ids_of(raw[at[k] : at[k + 1]], place)))
+                        keys.append(xxhash.xxh3_64_intdigest(ids[-1], doc_id & 0xFFFFFFFF) - (1 << 63))
+                keys = np.array(keys, np.int64)
+                yield pa.record_batch([pa.array(keys), pa.array(ids, pa.binary()), pa.array((keys % shards).astype(np.int32))], ["key", "ids", "shard"])
+
+    dealt = cut(rows.select("doc_id", "text").mapInArrow(coded, "key long, ids binary, shard int"), "coded")
+
+    def counted(batches):
+        from pyspark import TaskContext
+
+        yield from _token_counted(batches, shared_code.value, bits, TaskContext.get().partitionId())
+
+    packed = tables_of(((r.block, r.counts) for r in summed(dealt.select("ids").mapInArrow(counted, BLOCKS)).toLocalIterator()), [1 << b for b in bits])
+    shared = spark.sparkContext.broadcast(packed)
 
     def learned(batches):
-        yield from _learned(shared.value, n_words)(batches)
+        for _, own in _by_shard(batches):
+            yield _as_rows(_token_learned(own, shared_code.value, shared.value, bits))
 
-    # Words come in the order of their hashes, so each task's share is a fair sample of all.
-    found = known.mapInArrow(learned, "weights binary, seen binary, refined binary").collect()
-    model = model_of(counts, [tuple(map(bytes, r)) for r in found])
+    # Shards and the order within them follow the texts' hashes, so they are the same on any cluster. Equal keys have equal ids.
+    again = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key")
+    model = _collected(again.mapInArrow(learned, "place int, value long"), TOKEN_GATES, TOKEN_INPUTS)
     shared.destroy()
-    return model
+    shared_code.destroy()
+    return model | {"stretch": [stretched(x) for x in packed]}
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: str | None = "lang", head: int = HEAD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     The model and the base learn from the rows whose id's crc32 isn't a multiple of 10; ``group`` names the column whose values
-    experts stand for (None: one expert); it is read from the sample alone. Null text is empty text, one end token. A null
+    groups stand for (None: one group); only training rows' values are used. Null text is empty text, one end token. A null
     id is held out. Repeated rows get equal scores and count as often as they stand. Without any training text all counts
     are 0: the base then gives each token log10(0.1 / 0.1). An empty table gives none. bits_per_byte is null for an empty
     text. Other columns are ignored.
@@ -441,94 +757,78 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
     spark = docs.sparkSession
     ship(spark)
     group = group if group in docs.columns else None
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), *([F.col(group).cast("string").alias("lang")] if group else []))
-    hint = hints(rows, "lang" if group else None)
-    rows = rows.select("doc_id", "text")
-    n_experts = len(hint["prior"])
-    words = cut(vocabulary(rows, hint), "vocabulary")
-    total = words.agg(F.coalesce(F.sum(_all(words)), F.lit(0)), F.count(F.when(_all(words) > 0, 1))).first()
+    value = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), value.alias("value"))
+    words = cut(vocabulary(rows, groups_of(rows, "value" if group else None)), "vocabulary")
+    total = words.agg(F.coalesce(F.sum(_all()), F.lit(0)), F.count(F.when(_all() > 0, 1))).first()
     n_train, n_distinct = int(total[0]), int(total[1])
-    ends = words.where(F.col("word") == F.lit(END)).first()
-    shares = [float(np.log10(((ends[k + 1] or 0) + 1 if ends else 1) / (sum(x or 0 for x in ends[1:]) + n_experts if ends else n_experts))) for k in range(n_experts)]
-    model = spark.sparkContext.broadcast(fit(words))
+    code = code_of(words, head)
+    known = spark.createDataFrame([(w,) for w in [END, *code.words]], "word binary")
+    rare = cut(words.select("word", _all().alias("c")).join(known, "word", "left_anti"), "rare")
+    spelling = spark.sparkContext.broadcast(fit_spelling(rare.where("c > 0")))
 
-    def scored(batches):
+    def spelled(batches):
         import pyarrow as pa
 
         for batch in batches:
-            logp, c = np.full((batch.num_rows, n_experts), np.nan), np.zeros(batch.num_rows, np.int64)
-            for at, part, times, expert in _word_batches(batch, 1 << 18):
-                logp[at, expert] = word_scores(model.value, part, expert)
-                c[at] += times
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_experts)
-            yield pa.record_batch([batch.column(0), pa.array(c), pa.ListArray.from_arrays(offsets, pa.array(logp.reshape(-1)))], ["word", "c", "logp"])
-
-    costs = cut(words.mapInArrow(scored, "word binary, c long, logp array<double>"), "word-scores")
-    top = costs.where(F.col("c") >= least_count(costs.select("c"), head)).toArrow()
-    logp = np.array(top["logp"].combine_chunks().flatten()).reshape(-1, n_experts)
-    common = spark.sparkContext.broadcast((b"\n".join(top["word"].to_pylist()), top["c"].to_numpy(), logp, hint, shares))
-    del top, logp
-    schema = "doc_id long, hash long, expert int, word binary, times long, n_tokens long, n_bytes long, known long, base double, logp double"
+            own = batch.column(0).to_pylist()
+            cost = np.concatenate([word_scores(spelling.value, own[lo:hi]) for lo, hi in _batches_of_words(own, 1 << 18)]) if own else np.zeros(0)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cost)], ["word", "c", "cost"])
+
+    costs = cut(rare.mapInArrow(spelled, "word binary, c long, cost double"), "word-scores")
+    spelling.destroy()
+    rows = rows.select("doc_id", "text")
+    model = fit_tokens(rows, code, n_train)
+    shared = spark.sparkContext.broadcast((code, model))
+    schema = "doc_id long, hash long, word binary, times long, n_tokens long, n_bytes long, known long, base double, logp double"
     kinds = arrow_schema(schema)
 
     def parts(batches):
         import pyarrow as pa
         import xxhash
 
-        frequent, counts, logps, hint, shares = common.value
-        place = {w: k for k, w in enumerate(frequent.split(b"\n"))} if len(counts) else {}
-        bases = np.log10(counts + 0.1).tolist()
-        known_, logps = (counts > 0).astype(int).tolist(), logps.tolist()
-        for batch in batches:
-            data, at = flat_bytes(batch.column(1))
-            raw = data.tobytes()
-            out: list[list] = [[] for _ in kinds]
-            for k, one in enumerate(batch.column(0).to_pylist()):
-                own = raw[at[k] : at[k + 1]]
-                h = xxhash.xxh3_64_intdigest(own) - (1 << 63)
-                tokens = own.lower().split()
-                tokens.append(END)
-                times = Counter(tokens)
-                expert = expert_of(hint, times)
-                base, logp = 0.0, shares[expert]
-                known, rare, rare_times = 0, [], []
-                for w, n in times.items():
-                    i = place.get(w)
-                    if i is None:
-                        rare.append(w)
-                        rare_times.append(n)
-                    else:
-                        base += n * bases[i]
-                        logp += n * logps[i][expert]
-                        known += n * known_[i]
-                m = len(rare)
-                # The row's own line has a word that no vocabulary holds, another for each text.
-                out[0] += [one] * (m + 1)
-                out[1] += [h] * (m + 1)
-                out[2] += [expert] * (m + 1)
-                out[3] += [*rare, b" " + h.to_bytes(8, "big", signed=True)]
-                out[4] += [*rare_times, 0]
-                out[5] += [0] * m + [len(tokens)]
-                out[6] += [0] * m + [len(own)]
-                out[7] += [0] * m + [known]
-                out[8] += [0.0] * m + [base]
-                out[9] += [0.0] * m + [logp]
-                if len(out[0]) > 200_000:
-                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
-                    out = [[] for _ in kinds]
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
+        code, model = shared.value
+        place, counts = code.place(), code.counts.sum(axis=1)
+        base = np.log10(counts + 0.1)
+        base[1], has = 0, counts > 0
+        has[1] = False
+        for whole in batches:
+            for lo, hi, data, at in slices(whole, 1):
+                raw = data.tobytes()
+                out: list[list] = [[] for _ in kinds]
+                found, starts = [], []
+                size = 0
+                for k, one in enumerate(whole.column(0).slice(lo, hi - lo).to_pylist()):
+                    own = raw[at[k] : at[k + 1]]
+                    h = xxhash.xxh3_64_intdigest(own) - (1 << 63)
+                    others: Counter = Counter()
+                    ids = ids_of(own, place, others)
+                    found.append(ids)
+                    starts.append(size)
+                    size += len(ids)
+                    m = len(others)
+                    # The row's own line has a word that no vocabulary holds, another for each text.
+                    for x, v in zip(out, ([one] * (m + 1), [h] * (m + 1), [*others, b" " + h.to_bytes(8, "big", signed=True)], [*others.values(), 0], [0] * m + [len(ids)], [0] * m + [len(own)]), strict=False):
+                        x += v
+                    out[6] += [0] * m + [int(has[ids].sum())]
+                    out[7] += [0.0] * m + [float(base[ids].sum())]
+                    out[8] += [0.0] * m + [None]
+                if found:
+                    logs = iter(token_scores(model, code, np.concatenate(found), np.array(starts)).tolist())
+                    out[8] = [next(logs) if x is None else x for x in out[8]]
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
 
     lines = rows.mapInArrow(parts, schema)
     n, c = F.col("times"), F.coalesce("c", F.lit(0))
-    joined = lines.join(costs.select("word", "c", F.col("logp").alias("cost")), "word", "left").select(
+    joined = lines.join(costs, "word", "left").select(
         "doc_id", "hash", "n_tokens", "n_bytes",
         (F.col("known") + F.when(c > 0, n).otherwise(0)).alias("known"),
         (F.col("base") + n * F.log10(c + 0.1)).alias("base"),
-        (F.col("logp") + F.when(n > 0, n * F.col("cost")[F.col("expert")]).otherwise(0.0)).alias("logp"),
+        (F.col("logp") + F.when(n > 0, n * F.col("cost")).otherwise(0.0)).alias("logp"),
     )
     # Rows that share id and text are summed together and told apart again by their number.
     own = joined.groupBy("doc_id", "hash").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "n_bytes", "known", "base", "logp")], F.count(F.when(F.col("n_tokens") > 0, 1)).alias("rows"))
-    each = own.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    each = own.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     per = {x: F.col(x) / F.col("rows") for x in ("n_tokens", "n_bytes", "known", "base", "logp")}
     tokens = per["n_tokens"].cast("long")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -542,3 +842,5 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
+
+
