@@ -394,25 +394,84 @@ def test_lm_scores(spark, docs, none):
     assert lm_score.score(none).count() == 0
 
 
-def test_lm_is_a_distribution():
+def lm_model(words, ids):
+    """A code of the words and the model of their sequences (lists of ids), all in memory."""
+    import pyarrow as pa
+
+    counts = np.zeros((len(words) + 2, lm_score.GROUPS), np.int64)
+    for k, own in enumerate(ids):
+        np.add.at(counts, (own, k % 2), 1)
+    code = lm_score.Code(words, counts)
+    bits = lm_score.token_bits(1)
+    batch = pa.record_batch([pa.array([lm_score.packed_ids(np.array(x, np.int32)) for x in ids], pa.binary())], ["ids"])
+    blocks = [(r["block"][0].as_py(), r["counts"][0].as_py()) for r in lm_score._token_counted([batch], code, bits, 0)]
+    packed = lm_score.tables_of(blocks, [1 << b for b in bits])
+    parts = lm_score._token_learned([batch], code, packed, bits)
+    return code, lm_score.averaged(parts, lm_score.TOKEN_GATES, lm_score.TOKEN_INPUTS) | {"stretch": [lm_score.stretched(x) for x in packed]}
+
+
+def test_lm_tokens_are_a_distribution_that_depends_on_order():
+    """After any tokens the probabilities of all symbols sum to one."""
+    words = [b"the", b"cat", b"sat", b"mat", b"on"]
+    code, model = lm_model(words, [[2, 3, 4, 6, 2, 5, 0], [2, 5, 4, 0], [2, 3, 4, 0], [1, 3, 0]] * 50)
+    for before in ([], [2], [2, 3], [1, 4], [2, 3, 4, 6]):
+        two = [np.array([*before, s], np.int32) for s in range(code.n)]
+        starts = np.cumsum([0, *map(len, two[:-1])])
+        scores = lm_score.token_scores(model, code, np.concatenate(two), starts)
+        first = lm_score.token_scores(model, code, np.array(before, np.int32), np.array([0])) if before else 0
+        assert abs((10 ** (scores - first)).sum() - 1) < 1e-3
+    one = lambda *ids: lm_score.token_scores(model, code, np.array(ids, np.int32), np.array([0]))[0]
+    assert one(2, 3, 4, 6, 2, 5, 0) > one(5, 2, 6, 4, 3, 2, 0) + 1
+
+
+def test_lm_contexts_do_not_depend_on_windows():
+    """A text's contexts are its own, in whatever company and however many windows it takes."""
+    rng = np.random.default_rng(0)
+    code, _ = lm_model([b"a", b"b", b"c"], [[2, 3, 0], [4, 4, 0]])
+    texts_ = [rng.integers(0, 5, n).astype(np.int32) for n in (5, 70_000, 1, 140_000, 3)]
+    starts = np.cumsum([0, *map(len, texts_[:-1])])
+    contexts, sure = lm_score.token_contexts(code, np.concatenate(texts_), starts)
+    for a, t in zip(starts.tolist(), texts_):
+        alone = lm_score.token_contexts(code, t, np.array([0]))
+        assert all((x[a : a + len(t)] == y).all() for x, y in zip(contexts, alone[0])) and (sure[a : a + len(t)] == alone[1]).all()
+    ids = np.array([0, 1, 65_535, 65_536, 99_999], np.int32)
+    assert (lm_score.unpacked_ids(np.frombuffer(lm_score.packed_ids(ids), np.uint8)) == ids).all()
+
+
+def test_lm_spelling_is_a_distribution():
     """After any prefix the probabilities of all bytes sum to one, so those of words do not exceed it."""
     import pyarrow as pa
 
-    known = pa.record_batch([pa.array([b"abc", b"abd", b" "], pa.binary()), pa.array([5, 2, 3])], ["word", "c0"])
-    counts = lm_score.tables_of([(r["block"][0].as_py(), r["counts"][0].as_py()) for r in lm_score._counted([known], 1)])
-    learned = [tuple(c[0].as_py() for c in r.columns) for r in lm_score._learned(counts, 1)([known])]
-    model = lm_score.model_of(counts, learned)
+    known, bits = pa.record_batch([pa.array([b"abc", b"abd"], pa.binary()), pa.array([5, 2])], ["word", "c"]), lm_score.spell_bits(2)
+    packed = lm_score.tables_of([(r["block"][0].as_py(), r["counts"][0].as_py()) for r in lm_score._spell_counted([known], bits, 0)], [1 << b for b in bits])
+    parts = lm_score._spell_learned([known], packed, bits)
+    model = lm_score.averaged(parts, 8 * lm_score.SPELL_GATES, len(lm_score.ORDERS)) | {"stretch": [lm_score.stretched(x) for x in packed]}
     one = [bytes([a]) for a in range(256) if a not in b" \t\n\r\x0b\x0c"]
-    total = sum(10**x for x in lm_score.word_scores(model, [*one, lm_score.END]))
+    total = sum(10**x for x in lm_score.word_scores(model, one))
     assert 0 < total <= 1 + 1e-3
     s = lm_score.word_scores(model, [b"abc", b"abd", b"zzz"])
-    assert s[0] > s[1] > s[2]
+    assert s[0] > s[2] and s[1] > s[2]
+
+
+def test_lm_pieces_of_long_texts():
+    raw = ("ab  c\n" * 1000 + "x" * 5000 + " y").encode()
+    assert b"".join(lm_score.pieces_of(raw, 100)) == raw and [w for p in lm_score.pieces_of(raw, 100) for w in p.split()] == raw.split()
+
+
+def test_lm_sums_blocks_in_several_steps(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FAN_IN", 3)
+    import zlib as z
+
+    one = z.compress(np.array([1, 2], np.int64).tobytes())
+    blocks = spark.createDataFrame([(k % 2, k, one) for k in range(40)], "block int, part long, counts binary")
+    got = {r["block"]: np.frombuffer(z.decompress(r["counts"]), np.int64).tolist() for r in lm_score.summed(blocks).collect()}
+    assert got == {0: [20, 40], 1: [20, 40]}
 
 
-def test_lm_learns_whole_words_from_rare_words_too(spark):
-    frequent, rare = [(f"a{k}".encode(), 2) for k in range(25_000)], [(f"z{k}".encode(), 1) for k in range(1000)]
-    known = [(lm_score.fit(spark.createDataFrame(rows, "word binary, c0 long"))["stretch"][-1].view(np.int32) & 7 > 0).sum() for rows in (frequent, frequent + rare)]
-    assert known[1] > known[0]
+def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+    one = {(r["doc_id"], r["n_bytes"], r["score"]) for r in lm_score.score(docs.coalesce(1), head=50).collect()}
+    other = {(r["doc_id"], r["n_bytes"], r["score"]) for r in lm_score.score(docs.repartition(7), head=50).collect()}
+    assert {(i, n, round(s, 6)) for i, n, s in one} == {(i, n, round(s, 6)) for i, n, s in other}
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the tables")
