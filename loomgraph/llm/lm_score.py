@@ -5,9 +5,9 @@ gives each bit a probability from what went before it in the text; so its probab
 sequences, the same that the base scores, and total bits per byte follow from them.
 
 * A frequent word is its path in a binary tree (a prefix code by counts, with the end and an escape). Four predictors read the
-  bits' counts under contexts: none (exact counts), and, hashed, the group that the text so far belongs to, the word before, and the
-  two words before. Groups stand for the values of a column (the language); which one a text belongs to is read from its
-  own words, as they come.
+  bits' counts under contexts: none (exact counts), and, hashed, the group that the text so far belongs to, the word before, and
+  the group with the last bytes of the word before. Groups stand for the values of a column (the language); which one a text
+  belongs to is read from its own words, as they come. What these contexts share is scored once in a batch of texts.
 * Any other word is the escape, and then its bytes, bit by bit, closed by a space. Five predictors read counts under
   the last 1, 2, 3 and 4 bytes of the word, and all of it so far. This cost depends on the word alone, so every distinct one is
   scored once, and words meet documents again in an equi-join.
@@ -33,7 +33,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.common import SPACE, arrow_schema, cut, documents, flat_bytes, powers, ship, slices, text_of
+from loomgraph.llm.common import SPACE, arrow_schema, cut, documents, flat_bytes, mixed, powers, ship, slices, text_of
 
 #: Frequent words are the HEAD most frequent ones that stand twice at least and have no more than WORD_BYTES bytes.
 HEAD = 100_000
@@ -159,6 +159,21 @@ def mixed_log10(model: dict, st: list[np.ndarray], gate: np.ndarray, hit: np.nda
 # Tables of counts
 
 
+def compressed(counts: np.ndarray) -> bytes:
+    """Whole numbers, most of them small: one byte each, and the large ones with their places."""
+    large = np.flatnonzero(counts > 254)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return zlib.compress(len(large).to_bytes(4, "little") + large.astype(np.uint32).tobytes() + counts[large].astype(np.int64).tobytes() + small.tobytes(), 1)
+
+
+def expanded(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).astype(np.int64)
+    out[np.frombuffer(raw, np.uint32, n, 4)] = np.frombuffer(raw[4 + 4 * n : 4 + 12 * n], np.int64)
+    return out
+
+
 def emitted(tables: list[np.ndarray], shard: int):
     """Blocks of slots x 2 counts: (block, part, counts), for ``summed``."""
     import pyarrow as pa
@@ -168,7 +183,7 @@ def emitted(tables: list[np.ndarray], shard: int):
         for lo in range(0, len(table), BLOCK_SLOTS):
             part = table[lo : lo + BLOCK_SLOTS]
             if part.any():
-                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([shard], pa.int64()), pa.array([zlib.compress(part.astype(np.int64).tobytes(), 1)])], ["block", "part", "counts"])
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([shard], pa.int64()), pa.array([compressed(part.reshape(-1))])], ["block", "part", "counts"])
             block += 1
 
 
@@ -180,13 +195,13 @@ def _added(table):
 
     total = 0
     for data in table["counts"].to_pylist():
-        total = total + np.frombuffer(zlib.decompress(data), np.int64)
-    return pa.table({"block": table["block"][:1], "part": table["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)])})
+        total = total + expanded(data)
+    return pa.table({"block": table["block"][:1], "part": table["part"][:1], "counts": pa.array([compressed(total)])})
 
 
 def summed(blocks: DataFrame) -> DataFrame:
     """Each block's sum over all parts; FAN_IN of them at a time, so that no task holds all parts of a block."""
-    blocks, most = cut(blocks, "blocks"), None
+    most = None
     while most is None or most > 0:
         blocks = cut(blocks.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("block", "part").applyInArrow(_added, BLOCKS), "blocks")
         most = blocks.agg(F.coalesce(F.max("part"), F.lit(0)).alias("most")).first()["most"]
@@ -199,7 +214,7 @@ def tables_of(parts: Iterable[tuple[int, bytes]], sizes: list[int]) -> list[np.n
     first = np.cumsum([0, *(-(-n // BLOCK_SLOTS) for n in sizes)])
     for block, data in parts:
         k = int(np.searchsorted(first, block, side="right")) - 1
-        own = np.frombuffer(zlib.decompress(data), np.int64).reshape(-1, 2)
+        own = expanded(data).reshape(-1, 2)
         over = np.maximum(own.max(axis=1), 65_535)[:, None] / 65_535
         small = np.minimum(np.rint(own / over), 65_535).astype(np.uint32)
         small = np.where((own > 0) & (small == 0), 1, small).astype(np.uint32)
@@ -279,9 +294,11 @@ class Spelling:
 
     def slots(self, bit: int, bits: tuple[int, ...]) -> list[np.ndarray]:
         """Of each predictor: the slot that the bit's context and the byte's higher bits lead to."""
+        # The bits of a half byte share a page of 16 neighbouring slots.
+        byte = self.data.astype(np.uint32) | np.uint32(256)
+        page, place = (np.uint32(1), byte >> np.uint32(bit + 1)) if bit > 3 else (byte >> np.uint32(4), (byte & np.uint32(15) | np.uint32(16)) >> np.uint32(bit + 1))
         with np.errstate(over="ignore"):
-            node = ((self.data.astype(np.uint32) | np.uint32(256)) >> np.uint32(bit + 1)) * _K1
-            return [((h + node) * _K2) >> np.uint32(32 - b) for h, b in zip(self.hashes, bits, strict=True)]
+            return [((h + page * _K1) * _K2 >> np.uint32(36 - b)) << np.uint32(4) | place for h, b in zip(self.hashes, bits, strict=True)]
 
     def bits(self, bit: int) -> np.ndarray:
         return (self.data >> bit) & 1
@@ -324,7 +341,7 @@ def _spell_learned(batches, packed: list[np.ndarray], bits: tuple[int, ...]) ->
     learner, own = Learner(8 * SPELL_GATES, len(ORDERS)), [without_itself(x) for x in packed]
     for batch in batches:
         words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        for lo, hi in _batches_of_words(words, BATCH // 4):
+        for lo, hi in _batches_of_words(words, BATCH // 8):
             s = Spelling(words[lo:hi])
             value = np.repeat(counts[lo:hi], s.length).astype(np.float32)
             x = np.ones((len(ORDERS) + 1, len(value)), np.float32)
@@ -382,12 +399,19 @@ class Code:
         self.length = here.sum(axis=1)
         self.start = np.cumsum(self.length) - self.length
         nodes, self.bits = nodes[here], bits[here]
+        # Four bits in a row share a page of 16 neighbouring slots: its hash, with the place in the page in the lowest four bits.
+        entry = np.arange(len(nodes))
+        deep = (entry - np.repeat(self.start, self.length)) % 4
+        slot = np.ones(len(nodes), np.uint32)
+        for j in (3, 2, 1):
+            slot = np.where(deep >= j, 2 * slot + self.bits[np.maximum(entry - j, 0)].astype(np.uint32), slot)
         with np.errstate(over="ignore"):
-            self.nodes = (nodes.astype(np.uint32) + np.uint32(1)) * _K1
+            self.nodes = ((nodes[entry - deep].astype(np.uint32) + np.uint32(1)) * _K1 & ~np.uint32(15)) | slot.astype(np.uint32)
         # What the exact counts of each node predict.
         times = np.repeat(counts.sum(axis=1), self.length)
         one = np.bincount(nodes, times * self.bits, n - 1)[nodes]
         zero = np.bincount(nodes, times, n - 1)[nodes] - one
+        self.suffix = np.array([1, 2, *(zlib.crc32(w[-2:]) & 0xFFFFFF for w in words), 0], np.uint32)  # of the last bytes; at last of no word
         self.plain = np.where(one + zero > 0, np.log((one + FLOOR) / (zero + FLOOR)), 0).astype(np.float32)
         # A twentieth of each group's distribution is that of all: a few odd words don't decide, and a group without texts is like all.
         group, share = counts.sum(axis=0), total / total.sum()
@@ -425,16 +449,10 @@ def ids_of(raw: bytes, place: dict[bytes, int], rare: Counter | None = None) ->
     return np.concatenate(parts)
 
 
-def token_contexts(code: Code, symbol: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each hashed predictor's context of all tokens, and whether the group is sure. starts: where texts begin (ascending, from 0)."""
+def token_groups(code: Code, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of all tokens: 3 times the group that the text before it fits best, and 0 to 2 for how sure that is. starts: where texts begin (ascending, from 0)."""
     n = len(symbol)
-    none = np.uint32(code.n)
-    one, two = np.full(n, none, np.uint32), np.full(n, none, np.uint32)
-    one[1:] = symbol[:-1]
-    one[starts] = none
-    two[1:] = one[:-1]
-    two[starts] = none
-    group, sure = np.zeros(n, np.uint32), np.zeros(n, bool)
+    out = np.zeros(n, np.int64)
     text = np.searchsorted(starts, np.arange(n), side="right") - 1
     carry = np.zeros(code.logs.shape[1])
     for lo in range(0, n, 1 << 14):
@@ -451,18 +469,35 @@ def token_contexts(code: Code, symbol: np.ndarray, starts: np.ndarray) -> tuple[
         top = best[row, first]
         best[row, first] = -np.inf
         gap = np.round(top - best.max(axis=1), 6)
-        sure[lo:hi] = gap >= 4
-        group[lo:hi] = 3 * first + (gap >= 1) + (gap >= 4)
+        out[lo:hi] = 3 * first + (gap >= 1) + (gap >= 4)
         carry = total[-1] + own[-1]
+    return out
+
+
+def distinct(code: Code, symbol: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different tokens in their contexts, in order of a hash: group, word before, symbol, how often each stands, and which of them each token is."""
+    before = np.full(len(symbol), code.n, np.int64)
+    before[1:] = symbol[:-1]
+    before[starts] = code.n
+    group = token_groups(code, symbol, starts)
+    with np.errstate(over="ignore"):
+        key = mixed((((group << 20) | before) << 20 | symbol).astype(np.uint64))
+    _, first, place, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return group[first], before[first], symbol[first], times, place
+
+
+def contexts_of(code: Code, group: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """Each hashed predictor's context."""
+    group, before, end = group.astype(np.uint32), before.astype(np.uint32), code.suffix[before]
     with np.errstate(over="ignore"):
-        contexts = [(group + np.uint32(1)) * np.uint32(0x27D4EB2F), (one + np.uint32(7)) * _K2, ((one + np.uint32(3)) * _K3 + two) * np.uint32(0x2C1B3C6D)]
-        return [c ^ (c >> np.uint32(15)) for c in contexts], sure
+        contexts = [(group + np.uint32(1)) * np.uint32(0x27D4EB2F), (before + np.uint32(7)) * _K2, (end + np.uint32(3)) * np.uint32(0x2C1B3C6D) + (group // np.uint32(3)) * np.uint32(0x51ED270B)]
+        return [c ^ (c >> np.uint32(15)) for c in contexts]
 
 
 TOKEN_INPUTS = 4
-#: Gates: whether the group is sure, four levels of the two words before, five of the word before.
+#: Gates: whether the group is sure, four levels of the group with the last bytes, five of the word before.
 TOKEN_GATES = 2 * 4 * 5
-_TWO, _ONE = np.array([0, 1, 2, 2, 3, 3, 3, 3]) * 5, np.array([0, 1, 1, 2, 3, 4, 4, 4])
+_LAST, _ONE = np.array([0, 1, 2, 2, 3, 3, 3, 3]) * 5, np.array([0, 1, 1, 2, 3, 4, 4, 4])
 
 
 def token_bits(n_tokens: int) -> tuple[int, ...]:
@@ -477,18 +512,22 @@ def events(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], bits: tup
     slots = []
     with np.errstate(over="ignore"):
         node = code.nodes.take(at, mode="clip")
+        place = node & np.uint32(15)
+        node ^= place
         for c, b in zip(contexts, bits, strict=True):
             h = np.repeat(c, times)
             h += node
             h *= _K3
-            h >>= np.uint32(32 - b)
+            h >>= np.uint32(36 - b)
+            h <<= np.uint32(4)
+            h |= place
             slots.append(h.astype(np.int64))
     return times, at, code.bits.take(at, mode="clip"), slots
 
 
-def _token_gate(sure: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Of the levels of the word before and the two words before."""
-    return sure * 20 + _TWO.take(two) + _ONE.take(one)
+def _token_gate(sure: np.ndarray, one: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of the levels of the word before and the group with its last bytes."""
+    return sure * 20 + _LAST.take(last) + _ONE.take(one)
 
 
 def _windows(n: int) -> Iterator[slice]:
@@ -497,46 +536,50 @@ def _windows(n: int) -> Iterator[slice]:
 
 def token_scores(model: dict, code: Code, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 of each text's probability, but for the spelling of words that have no symbol."""
-    contexts, sure = token_contexts(code, symbol, starts)
+    group, before, own, _, place = distinct(code, symbol, starts)
+    contexts, sure = contexts_of(code, group, before), group % 3 == 2
     sizes = tuple(len(table).bit_length() - 1 for table in model["stretch"])
-    each = np.zeros(len(symbol))
-    for w in _windows(len(symbol)):
-        times, at, hit, slots = events(code, symbol[w], [c[w] for c in contexts], sizes)
+    each = np.zeros(len(own))
+    for w in _windows(len(own)):
+        times, at, hit, slots = events(code, own[w], [c[w] for c in contexts], sizes)
         found = [table.take(slot, mode="clip") for table, slot in zip(model["stretch"], slots, strict=True)]
         gate = _token_gate(np.repeat(sure[w], times), found[1] & 7, found[2] & 7)
         each[w] = np.add.reduceat(mixed_log10(model, [code.plain.take(at, mode="clip"), *map(value_of, found)], gate, hit), np.cumsum(times) - times)
-    return np.add.reduceat(each, starts)
+    return np.add.reduceat(each[place], starts)
 
 
 def _token_counted(batches, code: Code, bits: tuple[int, ...], shard: int):
     """ids of training texts (binary) -> blocks of the tables' counts."""
     tables = [np.zeros((1 << b, 2), np.uint32) for b in bits]
     for symbol, starts in _joined(batches):
-        contexts, _ = token_contexts(code, symbol, starts)
-        for w in _windows(len(symbol)):
-            _, _, hit, slots = events(code, symbol[w], [c[w] for c in contexts], bits)
+        group, before, own, many, _ = distinct(code, symbol, starts)
+        contexts, many = contexts_of(code, group, before), many.astype(np.uint32)
+        for w in _windows(len(own)):
+            times, _, hit, slots = events(code, own[w], [c[w] for c in contexts], bits)
+            value = np.repeat(many[w], times)
             for table, slot in zip(tables, slots, strict=True):
-                np.add.at(table.reshape(-1), 2 * slot + hit, np.uint32(1))
+                np.add.at(table.reshape(-1), 2 * slot + hit, value)
     yield from emitted(tables, shard)
 
 
 def _token_learned(batches, code: Code, packed: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
     """ids of a shard's training texts, in order -> the shard's parts."""
-    learner, own = Learner(TOKEN_GATES, TOKEN_INPUTS), [without_itself(x) for x in packed]
+    learner, tables = Learner(TOKEN_GATES, TOKEN_INPUTS), [without_itself(x) for x in packed]
     for symbol, starts in _joined(batches):
-        contexts, sure = token_contexts(code, symbol, starts)
-        for w in _windows(len(symbol)):
-            times, at, hit, slots = events(code, symbol[w], [c[w] for c in contexts], bits)
-            found = [table.take(2 * slot + hit, mode="clip") for table, slot in zip(own, slots, strict=True)]
+        group, before, own, many, _ = distinct(code, symbol, starts)
+        contexts, sure, many = contexts_of(code, group, before), group % 3 == 2, many.astype(np.float32)
+        for w in _windows(len(own)):
+            times, at, hit, slots = events(code, own[w], [c[w] for c in contexts], bits)
+            found = [table.take(2 * slot + hit, mode="clip") for table, slot in zip(tables, slots, strict=True)]
             x = np.ones((TOKEN_INPUTS + 1, len(at)), np.float32)
             x[0] = code.plain.take(at, mode="clip")
             for k, v in enumerate(found):
                 x[k + 1] = value_of(v)
-            learner.step(x, _token_gate(np.repeat(sure[w], times), found[1] & 7, found[2] & 7), hit)
+            learner.step(x, _token_gate(np.repeat(sure[w], times), found[1] & 7, found[2] & 7), hit, np.repeat(many[w], times))
     return learner.parts()
 
 
-def _joined(batches, size: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _joined(batches, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Packed ids of texts, in their order, whole texts of ``size`` tokens or more together: flat ids, starts. What is together follows the rows' order alone, not the batches."""
     held, total = [], 0
     flat = lambda: (np.concatenate(held), np.cumsum([0, *map(len, held[:-1])]))
@@ -793,7 +836,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
         base[1], has = 0, counts > 0
         has[1] = False
         for whole in batches:
-            for lo, hi, data, at in slices(whole, 1):
+            for lo, hi, data, at in slices(whole, 1, 1 << 22):
                 raw = data.tobytes()
                 out: list[list] = [[] for _ in kinds]
                 found, starts = [], []
