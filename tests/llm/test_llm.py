@@ -430,10 +430,13 @@ def test_lm_contexts_do_not_depend_on_windows():
     code, _ = lm_model([b"a", b"b", b"c"], [[2, 3, 0], [4, 4, 0]])
     texts_ = [rng.integers(0, 5, n).astype(np.int32) for n in (5, 70_000, 1, 140_000, 3)]
     starts = np.cumsum([0, *map(len, texts_[:-1])])
-    contexts, sure = lm_score.token_contexts(code, np.concatenate(texts_), starts)
+    groups = lm_score.token_groups(code, np.concatenate(texts_), starts)
     for a, t in zip(starts.tolist(), texts_):
-        alone = lm_score.token_contexts(code, t, np.array([0]))
-        assert all((x[a : a + len(t)] == y).all() for x, y in zip(contexts, alone[0])) and (sure[a : a + len(t)] == alone[1]).all()
+        assert (groups[a : a + len(t)] == lm_score.token_groups(code, t, np.array([0]))).all()
+    group, before, own, many, place = lm_score.distinct(code, np.concatenate(texts_), starts)
+    assert many.sum() == len(place) == starts[-1] + 3 and (own[place] == np.concatenate(texts_)).all() and (group[place] == groups).all() and (before[place][starts] == code.n).all()
+    counts = rng.integers(0, 3, 1000) * rng.integers(0, 1000, 1000)
+    assert (lm_score.expanded(lm_score.compressed(counts)) == counts).all()
     ids = np.array([0, 1, 65_535, 65_536, 99_999], np.int32)
     assert (lm_score.unpacked_ids(np.frombuffer(lm_score.packed_ids(ids), np.uint8)) == ids).all()
 
@@ -460,12 +463,10 @@ def test_lm_pieces_of_long_texts():
 
 def test_lm_sums_blocks_in_several_steps(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "FAN_IN", 3)
-    import zlib as z
-
-    one = z.compress(np.array([1, 2], np.int64).tobytes())
+    one = lm_score.compressed(np.array([1, 300]))
     blocks = spark.createDataFrame([(k % 2, k, one) for k in range(40)], "block int, part long, counts binary")
-    got = {r["block"]: np.frombuffer(z.decompress(r["counts"]), np.int64).tolist() for r in lm_score.summed(blocks).collect()}
-    assert got == {0: [20, 40], 1: [20, 40]}
+    got = {r["block"]: lm_score.expanded(r["counts"]).tolist() for r in lm_score.summed(blocks).collect()}
+    assert got == {0: [20, 6000], 1: [20, 6000]}
 
 
 def test_lm_scores_do_not_depend_on_partitions(spark, docs):
