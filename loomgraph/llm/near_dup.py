@@ -1,23 +1,43 @@
-"""N-gram Jaccard join (4): MinHash banding, then verification on full n-gram sets."""
+"""N-gram Jaccard join (4): MinHash banding, then verification on full n-gram sets.
+
+1. Rows of equal sets (by a 128-bit digest) are one set class. MinHash bands, whose number and rows are chosen for the
+   target recall at the least cost, give buckets; a shuffle on band hashes finds those of several set classes.
+2. Two classes are candidates when they share a bucket. Buckets that hang together are compared as one unit, if they have
+   no more than BLOCK members and MOST_WORDS words; larger ones bucket by bucket, and a larger bucket in pairs of blocks of that
+   size. A pair is looked at in the first band that it shares, so in either way just the same pairs are, once each.
+3. A unit's texts are compared in one task on their n-grams themselves, not on hashes. What leaves the task is each
+   member's number of links and a spanning forest of them, so it grows with the members, not with their pairs.
+4. The forests' components are the classes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.common import cut, documents, flat_bytes, lowered, mixed, powers, span_hashes, text_of, words
+from loomgraph.llm.common import cut, documents, free, lowered, mixed, powers, ship, slices, span_hashes, text_of, words
 
 NGRAM = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 
 
-def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_rows: int = 4) -> tuple[int, int]:
-    """(bands, rows): the fewest bands that find a pair of that similarity with probability ``recall``, at the given rows."""
-    bands = 1
-    while 1 - (1 - similarity**most_rows) ** bands < recall:
-        bands += 1
-    return bands, most_rows
+def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, unlike: float = 0.3, price: float = 1000.0) -> tuple[int, int]:
+    """(bands, rows): for each number of rows the fewest bands that find a pair of that similarity with probability ``recall``; of these the ones of least cost.
+
+    The cost is one for each hash, and ``price`` times the probability that a pair of similarity ``unlike`` becomes a candidate.
+    """
+    best, least = (1, 1), float("inf")
+    for rows in range(1, 13):
+        bands = 1
+        while 1 - (1 - similarity**rows) ** bands < recall:
+            bands += 1
+        cost = bands * rows + price * (1 - (1 - unlike**rows) ** bands)
+        if cost < least:
+            best, least = (bands, rows), cost
+    return best
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, ngram: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +94,10 @@ def mixed_once(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-#: The most set classes of a block; larger candidate groups are compared block by block.
-BLOCK = 512
-NO_ID = -(1 << 63)
+#: The most set classes, and words, that are compared at once; more are compared block by block.
+BLOCK = 1024
+MOST_WORDS = 1 << 20
+SALTS = 16
 
 
 def digests(sets: np.ndarray, at: np.ndarray) -> list[str]:
@@ -92,53 +113,78 @@ def digests(sets: np.ndarray, at: np.ndarray) -> list[str]:
     return [f"{a:016x}{b:016x}" for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
-def set_table(rows: DataFrame, bands: int, per_band: int, ngram: int, sets: bool) -> DataFrame:
-    """rows: text and others that stay. Adds digest, n_grams and either bands (array of long) or the set itself (binary); the text goes."""
+def set_table(rows: DataFrame, bands: int, per_band: int, ngram: int) -> DataFrame:
+    """rows: text and others that stay. Adds digest, n_grams, n_words and bands (array of long); the text goes."""
     import pyarrow as pa
 
     rest = [c for c in rows.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest) + ", digest string, n_grams long, " + ("grams binary" if sets else "bands array<long>")
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest) + ", digest string, n_grams long, n_words long, bands array<long>"
+    at_text = rows.columns.index("text")
 
     def made(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                data, offsets = flat_bytes(batch.column(batch.schema.get_field_index("text")))
+            for lo, hi, data, offsets in slices(whole, at_text, 1 << 21):
+                batch = whole.slice(lo, hi - lo)
                 found, at = shingle_sets(data, offsets, ngram)
-                if sets:
-                    raw = found.tobytes()
-                    last = pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-                else:
-                    hashes = band_hashes(found, at, bands, per_band).view(np.int64)
-                    last = pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * bands), pa.array(hashes.reshape(-1)))
+                hashes = band_hashes(found, at, bands, per_band).view(np.int64)
+                last = pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * bands), pa.array(hashes.reshape(-1)))
                 own = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-                yield pa.record_batch([*own, pa.array(digests(found, at)), pa.array(np.diff(at)), last], [*rest, "digest", "n_grams", "grams" if sets else "bands"])
+                yield pa.record_batch([*own, pa.array(digests(found, at)), pa.array(np.diff(at)), pa.array(np.diff(words(data, offsets)[2])), last], [*rest, "digest", "n_grams", "n_words", "bands"])
 
     return rows.mapInArrow(made, schema)
 
 
+def salted(rows: DataFrame, key: str, own: str, few: DataFrame) -> DataFrame:
+    """rows left join few on ``key``, where many rows may share one key: each goes to one of SALTS copies of it by the hash of ``own``. few: one row for each key."""
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """edges: v, hub (strings; members of a hub belong together). One row for each v: v, root (the least v that it is connected with).
 
     Each round every hub takes the least root of its members, every member the least of its hubs', and then the root of
-    its root, so roots travel twice as far each round. Rows are one for each edge; nothing is collected but a count.
+    its root, so roots travel twice as far each round. Rows are one for each edge; nothing is collected but a count. Only roots that
+    have moved are looked up, by salted keys, so the members of a large component are spread.
     """
     roots = cut(edges.groupBy("v").agg(F.min("v").alias("root")), f"{label}-roots")
     while True:
         hubs = edges.join(roots, "v").groupBy("hub").agg(F.min("root").alias("low"))
         near = edges.join(hubs, "hub").groupBy("v").agg(F.min("low").alias("low"))
-        moved = roots.join(near, "v").select("v", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("moved"))
-        beyond = moved.select(F.col("v").alias("root"), F.col("root").alias("far"))
-        roots = cut(moved.join(beyond, "root").select("v", F.least("root", "far").alias("root"), (F.col("moved") | (F.col("far") < F.col("root"))).alias("moved")), f"{label}-roots")
+        moved = cut(roots.join(near, "v").select("v", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("moved")), f"{label}-moved")
+        far = moved.select("root").distinct().join(moved.select(F.col("v").alias("root"), F.col("root").alias("far")).where("far < root"), "root")
+        roots = cut(salted(moved, "root", "v", far).select("v", F.coalesce("far", "root").alias("root"), (F.col("moved") | F.col("far").isNotNull()).alias("moved")), f"{label}-roots")
         if roots.where("moved").isEmpty():
             return roots.select("v", "root")
 
 
+def gram_sets(texts: list[bytes], ngram: int) -> list[np.ndarray]:
+    """Each text's set of n-grams of lower-cased words, as numbers: equal n-grams of the texts have equal numbers. By the words themselves, without hashes."""
+    known: dict[bytes, int] = {}
+    split = [t.lower().split() for t in texts]
+    ids = np.fromiter((known.setdefault(w, len(known) + 1) for own in split for w in own), np.int64, sum(map(len, split)))
+    size = np.array([len(x) for x in split])
+    row = np.repeat(np.arange(len(split)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(ids))
+    gram = np.zeros(len(ids), np.int64)
+    for k in range(ngram):
+        part = np.zeros(len(ids), np.int64)
+        part[: len(ids) - k] = ids[k:]
+        part[left <= k] = 0
+        # Named anew at each word, so that a number never outgrows 64 bits.
+        _, gram = np.unique(gram * (len(known) + 1) + part, return_inverse=True)
+    first = np.cumsum(size) - size
+    whole = (left >= ngram) | (np.arange(len(ids)) == np.repeat(first, size))
+    key = np.unique(row[whole] * (int(gram.max(initial=0)) + 1) + gram[whole])
+    bound = np.searchsorted(key, np.arange(len(split) + 1) * (int(gram.max(initial=0)) + 1))
+    return [key[a:b] % (int(gram.max(initial=0)) + 1) for a, b in zip(bound[:-1], bound[1:], strict=True)]
+
+
 def intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
     """Sizes of the intersections of the first ``split`` sets with all others (rows: the first, columns: all)."""
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    gram = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    gram = np.concatenate(sets) if n else np.zeros(0, np.int64)
     _, gram, times = np.unique(gram, return_inverse=True, return_counts=True)
     shared = times[gram] > 1
     owner, gram = owner[shared], gram[shared]
@@ -155,29 +201,38 @@ def intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
     return out
 
 
-def _verified(similarity: float, pairs: bool):
-    """A mapInArrow function over rows sorted by unit: (unit, side, v, copies, n_grams, grams)."""
+def first_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of band hashes against rows of band hashes: the first band that a pair shares; the number of bands if none."""
+    out = np.full((len(a), len(b)), a.shape[1], np.int16)
+    for k in range(a.shape[1] - 1, -1, -1):
+        out[a[:, k][:, None] == b[:, k][None, :]] = k
+    return out
+
+
+def _verified(similarity: float, ngram: int, pairs: bool):
+    """A mapInArrow function over rows sorted by unit: (unit, band, side, v, copies, bands, text). band: of the bucket that the unit is (-1: several buckets)."""
     import pyarrow as pa
 
     def judged(rows: list[tuple]) -> list[tuple]:
         # side 0: the block itself; side 1: the other block of a pair of blocks, or none: then all pairs within the block
-        rows = list({(r[1], r[2]): r for r in rows}.values())
-        rows.sort(key=lambda r: (r[1], r[2]))
-        own = [r for r in rows if r[1] == 0]
-        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
-        size = np.array([r[4] for r in rows], np.float64)
-        split, n = len(own), len(rows)
+        rows = sorted({(r[2], r[3]): r for r in rows}.values(), key=lambda r: (r[2], r[3]))
+        n, split = len(rows), sum(r[2] == 0 for r in rows)
+        sets = gram_sets([r[6].encode() for r in rows], ngram)
+        size = np.array([len(x) for x in sets], np.float64)
+        bands = np.array([r[5] for r in rows], np.int64).reshape(n, -1)
         same = intersections(sets, split)
         near = same >= similarity * (size[:split, None] + size[None, :] - same) - 1e-6
+        first = first_bands(bands[:split], bands)
+        near &= first == rows[0][1] if rows[0][1] >= 0 else first < bands.shape[1]
         if n > split:
             near[:, :split] = False
         else:
             near = np.triu(near, 1)
         a, b = np.nonzero(near & (same > 0))
-        copies = np.array([r[3] for r in rows], np.int64)
+        copies = np.array([r[4] for r in rows], np.int64)
         links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
         if pairs:
-            return [(rows[i][2], rows[j][2], None, float(same[i, j] / (size[i] + size[j] - same[i, j]))) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            return [(rows[i][3], rows[j][3], None, float(same[i, j] / (size[i] + size[j] - same[i, j]))) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         root = list(range(n))
 
         def find(x):
@@ -190,17 +245,19 @@ def _verified(similarity: float, pairs: bool):
             x, y = find(i), find(j)
             if x != y:
                 root[max(x, y)] = min(x, y)
-        return [(rows[i][2], rows[find(i)][2], int(links[i]), None) for i in range(n) if links[i]]
+        return [(rows[i][3], rows[find(i)][3], int(links[i]), None) for i in range(n) if links[i]]
 
-    def units(batches):
+    def units(batches) -> Iterator[list[tuple]]:
         held, unit = [], None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if row[0] != unit and held:
-                    yield held
-                    held = []
-                unit = row[0]
-                held.append(row)
+            for lo in range(0, batch.num_rows, 100):  # so that few texts stand twice in memory
+                part = batch.slice(lo, 100)
+                for row in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True):
+                    if row[0] != unit and held:
+                        yield held
+                        held = []
+                    unit = row[0]
+                    held.append(row)
         if held:
             yield held
 
@@ -219,74 +276,80 @@ def _verified(similarity: float, pairs: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, ngram: int = NGRAM, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), pairs: bool = False, roots: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, n_links, n_copies (and the columns named in ``keep``).
+def unit_table(edges: DataFrame, classes: DataFrame, block: int, most_words: int) -> DataFrame:
+    """v and its units: a list of (unit, band, side). edges: v, band, hub; classes: v, n_words. See the module's text for what a unit is."""
+    groups = components(edges.select("v", "hub"), "candidates")
+    sized = groups.join(classes.select("v", "n_words"), "v")
+    total = sized.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("words"))
+    large = total.where((F.col("size") > block) | (F.col("words") > most_words)).select("root", F.lit(True).alias("large"))
+    placed = cut(salted(groups, "root", "v", large), "placed")
+    whole = placed.where("large is null").select("v", F.struct(F.col("root").alias("unit"), F.lit(-1).alias("band"), F.lit(0).alias("side")).alias("u"))
+    members = edges.join(placed.where("large").select("v"), "v").join(classes.select("v", "n_words"), "v")
+    # Buckets of the same members have the same pairs; the first of them stands for all.
+    marks = F.xxhash64("v")
+    buckets = members.groupBy("band", "hub").agg(F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("words"), F.bit_xor(marks).alias("a"), F.sum(F.shiftright(F.xxhash64("v", F.lit(1)), 24)).alias("b"))
+    first = buckets.groupBy("size", "words", "a", "b").agg(F.min(F.struct("band", "hub")).alias("s")).select("s.hub", "size", "words")
+    blocks = first.withColumn("blocks", F.ceil(F.greatest(F.col("size") / block, F.col("words") / most_words)).cast("int")).select("hub", "blocks")
+    # A block meets itself and, as side 0, each later block.
+    dealt = salted(members.select("v", "band", "hub"), "hub", "v", blocks).where("blocks is not null").withColumn("mine", F.pmod(F.xxhash64("v", F.lit(2)), F.col("blocks")).cast("int"))
+    others = F.expr("transform(sequence(0, blocks - 1), x -> struct(concat_ws(':', hub, least(x, mine), greatest(x, mine)) as unit, band, cast(x < mine as int) as side))")
+    return whole.unionByName(dealt.select("v", F.explode(others).alias("u"))).groupBy("v").agg(F.collect_list("u").alias("units"))
+
 
-    Two rows are linked when the Jaccard similarity of their sets of n-grams (lower-cased words between ASCII white
-    space) is ``similarity`` or more. A class is a connected component of links; its id is its least doc_id.
-    n_links counts the other rows that the row is linked with, copies included; n_copies the rows of the same set.
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, ngram: int = NGRAM, block: int = BLOCK, most_words: int = MOST_WORDS, text: str = "text", doc_id: str = "doc_id", pairs: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id, n_links, n_copies, text_hash (xxhash64) and root.
 
-    1. Rows of equal sets are one set class. Bands of MinHash values give buckets; the number of bands follows from
-       ``recall`` at ``similarity``. Buckets of several set classes are joined to candidate groups by their least
-       members, without forming pairs.
-    2. A group's set classes are compared in one task, all with all, by full sets; a group of more than ``block`` is
-       compared block by block. A task returns each member's number of links and a spanning forest of them, so what
-       leaves it grows with its members, not with their pairs.
-    3. The forests' components are the classes.
+    Two rows are linked when they share a MinHash band and the Jaccard similarity of their sets of n-grams (lower-cased words
+    between ASCII white space) is ``similarity`` or more; a pair of just that similarity shares one with probability ``recall``.
+    A class is a connected component of links; its id is its least doc_id, and ``root``, a digest, is its own where ids are
+    null or repeated. n_links counts the other rows that the row is linked with, copies included; n_copies the rows of
+    the same set.
 
     pairs: return v, hub (digests of linked set classes) and similarity instead; membership is in set_table.
-    roots: add root, a digest that is the class's own; class_id is not where ids are null or repeated.
     Null text counts as empty. Texts without words are copies of each other and linked with nothing else; a shorter
-    text than an n-gram is one n-gram of all its words. A null id is less than all others only for choosing whose text
-    is compared; class_id is null where a class has no id. Repeated rows are copies. Other columns are ignored.
+    text than an n-gram is one n-gram of all its words. class_id is null where a class has no id. Repeated rows are copies. Texts
+    are read whole; one is a unit's block of its own if it has more than ``most_words`` words. Other columns are ignored. An
+    empty table gives none.
     """
     bands, per_band = choose_bands(similarity, recall)
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), *keep)
-    marked = cut(set_table(rows, bands, per_band, ngram, False), "sets")
-    least = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = marked.groupBy("digest").agg(F.min(least).alias("low"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams"))
+    ship(spark)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    marked = cut(set_table(rows, bands, per_band, ngram), "sets")
+    # The text to compare is named by id and hash; only copies share both.
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = marked.groupBy(F.col("digest").alias("v")).agg(F.min(name).alias("named"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"), F.max("n_grams").alias("n_grams"), F.max("n_words").alias("n_words"))
     classes = cut(classes, "set-classes")
-    members = classes.where("n_grams > 0").select(F.col("digest").alias("v"), F.posexplode("bands").alias("band", "hash")).select("v", F.concat_ws(":", "band", "hash").alias("hub"))
+    members = classes.where("n_grams > 0").select("v", F.posexplode("bands").alias("band", "hash")).select("v", "band", F.concat_ws(":", "band", "hash").alias("hub"))
     full = members.groupBy("hub").count().where("count > 1").select("hub")
     edges = cut(members.join(full, "hub"), "buckets")
-    groups = components(edges, "candidates")
-    # Blocks: each member a number within its group, by a count over slices of the group, which are bounded in size.
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = groups.join(sizes, "root").withColumn("blocks", blocks).withColumn("mine", (F.pmod(F.xxhash64("v"), F.col("blocks"))).cast("int"))
-    text_rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("low"), text_of(text).alias("text"))
-    wanted = placed.join(classes.select(F.col("digest").alias("v"), "low", "copies"), "v")
-    grams = set_table(wanted.join(text_rows, "low").select("v", "root", "blocks", "mine", "copies", "text"), bands, per_band, ngram, True).where("digest = v")
-    # A block meets itself and, as side 0, each later block.
-    others = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, mine) as a, greatest(x, mine) as b, cast(x < mine as int) as side))")
-    units = grams.withColumn("u", F.explode(others)).select(F.concat_ws(":", "root", "u.a", "u.b").alias("unit"), F.col("u.side").alias("side"), "v", "copies", "n_grams", "grams")
+    units = cut(unit_table(edges, classes, block, most_words), "units")
+    wanted = classes.join(units, "v").select("v", F.col("named.none").alias("none"), F.coalesce("named.doc_id", F.lit(0)).alias("id"), F.col("named.text_hash").alias("text_hash"), "copies", "bands", "units")
+    texts = rows.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash", "text")
+    fetched = texts.join(wanted, ["none", "id", "text_hash"]).dropDuplicates(["v"]).select("v", "copies", "bands", "text", F.explode("units").alias("u"))
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    judged = units.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(_verified(similarity, pairs), "v string, hub string, links long, similarity double")
+    dealt = fetched.select("u.unit", "u.band", "u.side", "v", "copies", "bands", "text").repartition(tasks, "unit").sortWithinPartitions("unit")
+    judged = dealt.mapInArrow(_verified(similarity, ngram, pairs), "v string, hub string, links long, similarity double")
     if pairs:
         return judged.select("v", "hub", "similarity")
     judged = cut(judged, "links")
     forest = judged.select("v", "hub").unionByName(judged.select(F.col("hub").alias("v"), "hub")).distinct()
     tops = components(cut(forest, "forest"), "classes")
     links = judged.groupBy("v").agg(F.sum("links").alias("links"))
-    named = classes.select(F.col("digest").alias("v"), "min_id", "copies").join(tops, "v", "left").join(links, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    named = classes.select("v", "min_id", "copies").join(tops, "v", "left").join(links, "v", "left").withColumn("root", F.coalesce("root", "v"))
     named = cut(named, "named")
     ids = named.groupBy("root").agg(F.min("min_id").alias("class_id"))
-    own = ("root",) if roots else ()
-    found = named.join(ids, "root").select(F.col("v").alias("digest"), *own, "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return marked.select("doc_id", "digest", *keep).join(found, "digest").select("doc_id", "class_id", "n_links", "n_copies", *keep, *own)
+    found = salted(named, "root", "v", ids).select(F.col("v").alias("digest"), "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    return marked.select("doc_id", "digest", "text_hash").join(found, "digest").select("doc_id", "class_id", "n_links", "n_copies", "text_hash", "root")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **parameters) -> DataFrame:
-    """The rows of ``docs`` whose id is their class's least one, with all columns; of repeated rows of one id and class one."""
-    marked = docs.withColumn("_hash", F.xxhash64(text_of(text)))
-    found = near_duplicates(marked, text=text, doc_id=doc_id, keep=("_hash",), roots=True, **parameters)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_own"), "root")
-    # Several rows of the least id in one class: the text with the least hash.
-    stay = stay.groupBy("_id", "root").agg(F.min("_own").alias("_own")).select("_id", "_own")
-    stay = stay.select(F.coalesce("_id", F.lit(NO_ID)).alias("_id"), F.col("_own").alias("_hash"))
-    once = marked.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).join(stay, ["_id", "_hash"], "left_semi")
-    return once.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    """A row of each class, with all columns, whatever their names: the one of the least id, a null id after all others; of several the text of the least hash; of repeated rows one."""
+    none, own, digest = free(docs.columns, "none", "id", "hash")
+    found = near_duplicates(docs, text=text, doc_id=doc_id, **parameters)
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).alias(own), F.col("text_hash").alias(digest))).alias("s")).select("s.*")
+    marked = docs.withColumns({none: F.col(doc_id).cast("long").isNull(), own: F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), digest: F.xxhash64(text_of(text))})
+    return marked.join(stay, [none, own, digest], "left_semi").dropDuplicates([none, own, digest]).select(*docs.columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
