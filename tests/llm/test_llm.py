@@ -172,11 +172,12 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_near_duplicates(spark, none, block):
+@pytest.mark.parametrize("block, most_words", [(1024, 1 << 20), (4, 1 << 20), (1024, 300)])
+def test_near_duplicates(spark, none, block, most_words):
+    """In one unit, bucket by bucket, and in pairs of blocks."""
     rows = near_rows()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, links string")
-    got = near_dup.near_duplicates(docs, block=block)
+    got = near_dup.near_duplicates(docs, block=block, most_words=most_words)
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == near_model(rows)
     assert near_dup.near_duplicates(none).count() == 0
 
@@ -199,9 +200,24 @@ def test_every_class_keeps_a_row_where_ids_are_null_or_repeated(spark):
     assert by_row(left) == Counter([*((None, t) for t in own[:3]), (7, own[3]), (7, own[4]), (9, own[5])])
 
 
+def test_survivors_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f", "x", "y", "z"), (3, "a b c d e f", "p", "q", "r")], "doc_id long, text string, _hash string, _id string, root string")
+    assert [tuple(r) for r in near_dup.one_of_each(docs).collect()] == [(3, "a b c d e f", "p", "q", "r")]
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_dup.choose_bands(0.8, 0.999)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
+    assert rows > 1 and 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
+    assert near_dup.choose_bands(0.5, 0.9) != near_dup.choose_bands(0.9, 0.9)
+
+
+def test_gram_sets_are_exact():
+    texts_ = [prose(k, n).encode() for k, n in ((1, 0), (2, 3), (3, 40), (3, 41), (4, 5))] + [b"", b"One two"]
+    sets = near_dup.gram_sets(texts_, 5)
+    want = [shingles(t.decode()) for t in texts_]
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            assert len(np.intersect1d(sets[a], sets[b])) == len(want[a] & want[b])
 
 
 def test_removed_bytes(spark, docs, none):
