@@ -5,8 +5,8 @@ dots of versions don't matter. All keywords are looked for at once; a rule's pat
 stands. Detections are ordered by priority, then length, then rule; one whose words lie within a detection that
 already stands is suppressed, so "licensed under the apache license version 2 0" is one detection, not three.
 
-The table below has licences by family; six kinds of rules are written for each (declaration, notice, grant,
-title, address, dedication), which makes a few hundred patterns.
+The notices are written by hand, from the headers and clauses that licences have. A table of titles adds what every
+licence may have: its declaration, the sentence that grants it, its title and its address.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import re
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.common import arrow_schema, documents, flat_bytes
+from loomgraph.llm.common import arrow_schema, documents, ship, slices
 
 #: label | keyword that every match holds | title, as a pattern over words | identifier, as a pattern | address, as a pattern
 LICENCES = r"""
@@ -96,31 +97,186 @@ elastic-2.0|elastic|elastic licen[sc]e(?: 2 0)?|elastic 2 0|elastic co licensing
 KINDS = (
     ("declaration", 90, 1.0, r"spdx licen[sc]e identifier {i}"),
     ("notice", 80, 0.95, r"(?:re)?(?:licen[sc]ed|released|distributed|available|published|covered) (?:under|by) (?:the )?(?:terms of (?:the )?)?{t}"),
-    ("grant", 75, 0.95, r"(?:under|subject to) the (?:terms|conditions)(?: and conditions)? of (?:the )?{t}"),
     ("address", 70, 0.9, r"(?:https? )?(?:www )?{u}"),
-    ("field", 65, 0.85, r"licen[sc]e(?:s|d under)? (?:the )?{i}"),
     ("title", 50, 0.8, r"{t}"),
 )
-#: Whole clauses: label, keyword, pattern.
+#: Notices and clauses: label, keyword, pattern.
 CLAUSES = r"""
-mit|hereby|permission is hereby granted free of charge to any person obtaining a copy of this software
+mit|hereby|permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files the software)?
+mit|sublicense|to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies
+mit|substantial|the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 mit|merchantability|the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
-isc|purpose|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-bsd|redistribution|redistribution and use in source and binary forms with or without modification are permitted
-bsd-3-clause|endorse|neither the name of .{1,80}? nor the names of its contributors may be used to endorse
-bsd-4-clause|advertising|all advertising materials mentioning features or use of this software must display
-gpl|redistribute|this program is free software you can redistribute it and or modify it
-lgpl|redistribute|this library is free software you can redistribute it and or modify it
-apache-2.0|compliance|you may not use this file except in compliance with the licen[sc]e
-mpl-2.0|source|this source code form is subject to the terms of the mozilla public licen[sc]e
+mit|holders|in no event shall the authors or copyright holders be liable for any claim damages or other liability
+mit|mit|licensed under the mit license see (?:the )?(?:license|copying)(?: file)?
+mit|root|(?:mit|x11) style licen[sc]e that can be found in the license file in the root
+mit-0|hereby|permission is hereby granted free of charge .{1,120}? without restriction .{1,160}? to permit persons to whom the software is furnished to do so the software is provided
+x11|advertising|the name of the x consortium shall not be used in advertising
+x11|consortium|x consortium be liable for any claim damages or other liability
+isc|purpose|permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted
+isc|disclaims|the software is provided as is and the author disclaims all warranties with regard to this software
+isc|tortious|whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software
+0bsd|fee|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided
+bsd|redistribution|redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?
+bsd|retain|redistributions of source code must retain the (?:above )?copyright notice this list of conditions and the following disclaimer
+bsd|reproduce|redistributions in binary form must reproduce the (?:above )?copyright notice this list of conditions and the following disclaimer
+bsd|contributors|this software is provided by the copyright holders and contributors as is and any express or implied warranties
+bsd|consequential|be liable for any direct indirect incidental special exemplary or consequential damages
+bsd|regents|this software is provided by the regents and contributors as is
+bsd-3-clause|endorse|neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products
+bsd-3-clause|endorse|the names? of .{1,60}? may not be used to endorse or promote products derived from this software without specific prior written permission
+bsd-3-clause|governed|use of this source code is governed by a bsd style licen[sc]e(?: that can be found in the license file)?
+bsd-4-clause|advertising|all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd-2-clause-patent|receiving|each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual worldwide
+bsd-1-clause|retain|redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer this software is provided
+bsd-3-clause-clear|patent|no express or implied licen[sc]es to any party s patent rights are granted by this licen[sc]e
+gpl|redistribute|this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e
+gpl|redistribute|(?:this|it) is free software you (?:can|may) redistribute it and or modify it
+gpl-3.0-or-later|later|gnu general public licen[sc]e as published by the free software foundation either version 3 (?:of the licen[sc]e )?or at your option any later version
+gpl-2.0-or-later|later|gnu general public licen[sc]e as published by the free software foundation either version 2 (?:of the licen[sc]e )?or at your option any later version
+gpl-1.0-or-later|later|gnu general public licen[sc]e as published by the free software foundation either version 1 (?:of the licen[sc]e )?or at your option any later version
+gpl-2.0-only|foundation|gnu general public licen[sc]e version 2 as published by the free software foundation
+gpl-3.0-only|foundation|gnu general public licen[sc]e version 3 as published by the free software foundation
+gpl-2.0-only|only|gpl (?:v|version )?2 only
+gpl-3.0-only|only|gpl (?:v|version )?3 only
+gpl-2.0-or-later|later|gpl (?:v|version )?2 or (?:any )?later
+gpl-3.0-or-later|later|gpl (?:v|version )?3 or (?:any )?later
+gpl|fitness|distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e
+gpl|received|you should have received a copy of the gnu general public licen[sc]e along with (?:this|the) (?:program|software|library|package)
+gpl|copyleft|the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works
+gpl|preamble|gnu general public licen[sc]e version [123](?: 0)? .{0,60}?preamble
+gpl|verbatim|everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document
+gpl-2.0-classpath|linking|linking this library statically or dynamically with other modules is making a combined work
+gpl-classpath-exception|classpath|(?:with (?:the )?)?classpath exception(?: 2 0)?
+gpl-gcc-exception|runtime|gcc runtime library exception(?: 3 1)?
+gpl-autoconf-exception|autoconf|(?:with (?:the )?)?autoconf exception
+gpl-bison-exception|bison|special exception .{1,120}? bison parser skeleton
+gpl-font-exception|embeds|as a special exception if you create a document which uses this font and embeds this font
+gpl-linking-exception|exception|as a special exception .{1,80}? permission to link (?:the code of )?(?:this|the) (?:program|library|portions)
+gpl-openssl-exception|openssl|permission to link .{1,60}? with the openssl (?:project s openssl )?library
+lgpl|redistribute|this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e
+lgpl-2.1-or-later|later|gnu lesser general public licen[sc]e as published by the free software foundation either version 2 1 (?:of the licen[sc]e )?or at your option any later version
+lgpl-3.0-or-later|later|gnu lesser general public licen[sc]e as published by the free software foundation either version 3 (?:of the licen[sc]e )?or at your option any later version
+lgpl-2.0-or-later|library|gnu library general public licen[sc]e as published by the free software foundation either version 2 (?:of the licen[sc]e )?or at your option any later version
+lgpl-2.1-only|lesser|gnu lesser general public licen[sc]e version 2 1 as published by the free software foundation
+lgpl|lesser|see the gnu lesser general public licen[sc]e for more details
+lgpl|received|you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e along with this (?:library|program)
+lgpl-2.1|lgpl|licensed under (?:the )?lgpl ?(?:v|version )?2 1
+agpl-3.0-or-later|affero|gnu affero general public licen[sc]e as published by the free software foundation either version 3 (?:of the licen[sc]e )?or at your option any later version
+agpl-3.0-only|affero|gnu affero general public licen[sc]e version 3 as published by the free software foundation
+agpl-3.0|affero|see the gnu affero general public licen[sc]e for more details
+agpl-3.0|interacting|all users interacting with it remotely through a computer network
+apache-2.0|compliance|you may not use this (?:file|work|software) except in compliance with the licen[sc]e
+apache-2.0|obtain|you may obtain a copy of the licen[sc]e at (?:https? )?(?:www )?apache org licenses license 2 0
+apache-2.0|agreed|unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis
+apache-2.0|governing|see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e
+apache-2.0|contributor|licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements
+apache-2.0|reproduction|terms and conditions for use reproduction and distribution 1 definitions
+apache-2.0|irrevocable|perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e to reproduce prepare derivative works
+apache-1.1|apache|this product includes software developed by the apache (?:software foundation|group)
+apache-2.0-llvm|llvm|apache licen[sc]e v(?:ersion )?2 0 with llvm exceptions
+llvm|llvm|part of the llvm project under the apache licen[sc]e
+mpl-2.0|mozilla|this source code form is subject to the terms of the mozilla public licen[sc]e(?: v 2 0)?
+mpl-2.0|distributed|if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-2.0|incompatible|this source code form is incompatible with secondary licenses as defined by the mozilla public licen[sc]e
+mpl-1.1|mozilla|the contents of this file are subject to the mozilla public licen[sc]e version 1 1
+mpl-1.0|mozilla|the contents of this file are subject to the mozilla public licen[sc]e version 1 0
+mpl-1.1|alternatively|alternatively the contents of this file may be used under the terms of either the gnu general public licen[sc]e version 2
+npl-1.1|netscape|the contents of this file are subject to the netscape public licen[sc]e version 1 1
+epl-1.0|eclipse|made available under the terms of the eclipse public licen[sc]e v1 0
+epl-2.0|eclipse|made available under the terms of the eclipse public licen[sc]e 2 0
+epl-2.0|secondary|this source code may also be made available under the following secondary licenses when the conditions for such availability set forth in the eclipse public licen[sc]e
+edl-1.0|eclipse|available under the terms of the eclipse distribution licen[sc]e v 1 0
+cddl-1.0|distribution|the contents of this file are subject to the terms of the common development and distribution licen[sc]e
+cddl-1.0|header|when distributing covered code include this cddl header in each file
+cpl-1.0|common|made available under the terms of the common public licen[sc]e v(?:ersion )?1 0
+ecl-2.0|educational|licensed under the educational community licen[sc]e version 2 0
+eupl-1.2|eupl|licensed under the eupl (?:version )?1 2(?: or as soon they will be approved)?
+artistic|package|the package may be freely used modified and redistributed under the artistic licen[sc]e
+perl|perl|free software you (?:can|may) redistribute it and or modify it under the same terms as perl
+boost-1.0|boost|distributed under the boost software licen[sc]e version 1 0 see accompanying file license 1 0
+boost-1.0|execute|to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software
+zlib|implied|this software is provided as is without any express or implied warranty in no event will the authors be held liable
+zlib|misrepresented|the origin of this software must not be misrepresented you must not claim that you wrote the original software
+zlib|altered|altered source versions must be plainly marked as such
+libpng|png|the png reference library is supplied as is
 unlicense|unencumbered|this is free and unencumbered software released into the public domain
+unlicense|anyone|anyone is free to copy modify publish use compile sell or distribute this software
 wtfpl|want|do what the fuck you want to public licen[sc]e
-public-domain|domain|(?:released|placed|dedicated) (?:in|into|to) the public domain
+beerware|beer|as long as you retain this notice you can do whatever you want with this stuff .{1,120}? beer
+cc0-1.0|waived|has waived all copyright and related or neighboring rights
+cc0-1.0|dedicated|to the extent possible under law the authors? ha(?:s|ve) (?:dedicated|waived) all copyright
+cc-by|attribution|licensed under a creative commons attribution(?: \d \d)?(?: international| unported)? licen[sc]e
+cc-by-sa|alike|text is available under the creative commons attribution share ?alike licen[sc]e
+cc-by-nc|commercial|licensed under a creative commons attribution non ?commercial(?: \d \d)?(?: international| unported)? licen[sc]e
+cc-by-sa|alike|licensed under a creative commons attribution share ?alike(?: \d \d)?(?: international| unported)? licen[sc]e
+cc-by-nd|derivatives|licensed under a creative commons attribution no ?derivatives(?: \d \d)?(?: international| unported)? licen[sc]e
+cc|readable|this is a human readable summary of and not a substitute for the licen[sc]e
+cc-pdm-1.0|known|this work is free of known copyright restrictions(?: public domain mark)?
+odbl-1.0|database|this (?:data|database) is made available under the open database licen[sc]e
+odc-by-1.0|commons|made available under the open data commons attribution licen[sc]e
+ofl-1.1|font|this font software is licensed under the sil open font licen[sc]e version 1 1
+ofl-1.1|reserved|with reserved font name
+gfdl|documentation|permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e
+gfdl|invariant|with no invariant sections no front cover texts and no back cover texts
+fsfap|medium|copying and distribution of this file with or without modification are permitted in any medium without royalty
+fsful|unlimited|this configure script is free software the free software foundation gives unlimited permission to copy
+fsfullr|unlimited|this file is free software the free software foundation gives unlimited permission to copy and or distribute it
+python-2.0|psf|psf is making python available to licensee on an as is basis
+python-2.0|cnri|cnri is making this software available to the individual or organization
+php-3.01|php|this source file is subject to version 3 01 of the php licen[sc]e
+php-3.0|php|this source file is subject to version 3 0 of the php licen[sc]e
+ruby|bsdl|you can redistribute it and or modify it under either the terms of the 2 clause bsdl
+postgresql|documentation|permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+openssl|openssl|this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay|eric|this product includes cryptographic software written by eric young
+curl|curl|licensed as described in the file copying which you should have received as part of this distribution the terms are also available at .{0,20}?curl
+icu|icu|permission to use copy modify merge .{1,80}? icu license
+unicode|unicode|unicode data files and software .{1,60}? permission is hereby granted
+json|evil|the software shall be used for good not evil
+ms-pl|accompanying|this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e
+vim|vim|there are no restrictions on distributing unmodified copies of vim
+tcl|regents|this software is copyrighted by the regents of the university of california sun microsystems
+hpnd|supporting|provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation
+ntp|appears|permission to use copy modify and distribute this software and its documentation for any purpose .{1,60}? without fee is hereby granted provided that the above copyright notice appears
+w3c|obtaining|by obtaining using and or copying this work you .{1,20}?the licensee agree
+w3c|w3c|this work is (?:being )?provided .{1,40}? w3c (?:software )?(?:notice and )?licen[sc]e
+ncsa|illinois|developed by .{1,60}? university of illinois
+upl-1.0|universal|licensed under the universal permissive licen[sc]e v 1 0
+bsl-1.1|change|on the change date .{1,60}? the licensor hereby grants
+bsl-1.1|parameters|business source licen[sc]e 1 1 parameters licensor
+sspl-1.0|service|if you make the functionality of the program .{1,40}? available to third parties as a service
+elastic-2.0|managed|you may not provide the software to third parties as a hosted or managed service
+commons-clause|licensor|the software is provided to you by the licensor under the licen[sc]e .{1,80}? subject to the following condition
+public-domain|domain|(?:is |been |hereby )?(?:released|placed|dedicated|put) (?:in|into|to) the public domain
+public-domain|domain|(?:this (?:file|code|work|software) )?(?:is in|is hereby placed in|belongs to) the public domain
+public-domain|domain|no copyright is claimed .{0,40}?public domain
+us-government|government|this (?:work|software) (?:is|was) (?:a work of|developed by|produced by) .{0,30}?(?:united states|u s) government
 proprietary|reserved|all rights reserved
+proprietary|confidential|(?:proprietary and confidential|confidential and proprietary)(?: information)?
+proprietary|unauthorized|unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|material) .{0,30}?(?:is )?strictly prohibited
+proprietary|consent|may not be (?:reproduced|copied|distributed|disclosed) .{1,60}? without (?:the )?(?:express |prior )+written (?:consent|permission)
+proprietary|agreement|end user licen[sc]e agreement
+proprietary|trade|contains (?:trade secrets|proprietary information) of
+commercial|commercial|for non ?commercial (?:use|purposes) only
+commercial|commercial|(?:a )?commercial licen[sc]e (?:is )?(?:available|required)
+research-only|research|for (?:academic |non ?commercial )?research (?:use|purposes) only
+evaluation-only|evaluation|for evaluation (?:use|purposes) only
+dual|dual|(?:is )?dual licen[sc]ed under
+dual|either|licensed under either of (?:the )?apache licen[sc]e version 2 0 (?:.{1,60}? )?or (?:the )?mit licen[sc]e(?: .{1,60}?)? at your option
+dual|choose|you may choose (?:either|one) of (?:.{1,40}? )?licen[sc]es
 copyright|copyright|copyright (?:c )?(?:19|20)[0-9]{2}
-zlib|implied|this software is provided as is without any express or implied warranty
-cc0-1.0|waived|has waived all copyright and related or neighboring rights
-commercial|commercial|for non ?commercial use only
+copyright|copyright|copyright (?:c )?(?:holders?|owners?) .{1,30}? (?:19|20)[0-9]{2}
+copyright|copr|copr (?:c )?(?:19|20)[0-9]{2}
+license-file|license|see (?:the )?(?:accompanying |included )?(?:license|licence|copying|notice)(?: txt| md)? file
+license-file|license|licen[sc]e (?:that )?can be found in the (?:license|licence|copying) file
+license-file|license|for (?:the )?full (?:copyright and )?licen[sc]e (?:information|text) (?:please )?(?:view|see)
+license-file|license|this file is distributed under the same licen[sc]e as
+warranty|warranty|(?:provided|distributed) (?:on an )?as is (?:basis )?without (?:any )?warrant(?:y|ies)
+warranty|warranties|without warranties or conditions of any kind either express or implied
+warranty|liability|limitation of liability
+patent|patent|grants? (?:to )?you .{0,60}?patent licen[sc]e
+trademark|trademark|this licen[sc]e does not grant permission to use the trade ?names trademarks
+reserved-image|photo|(?:photo|image) (?:credit|courtesy) .{1,40}? all rights reserved
 """
 #: Phrases whose places are always counted, and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -144,7 +300,7 @@ def rules() -> tuple[Rule, ...]:
         for kind, priority, score, pattern in KINDS:
             # Versions come before families where both match the same words: they are longer.
             made = pattern.format(t=f"(?:{title})", i=f"(?:{name})", u=f"(?:{address})")
-            gate = keyword if kind in ("notice", "grant", "title") else {"declaration": "spdx", "field": "licen", "address": address.split(" ")[0]}[kind]
+            gate = keyword if kind in ("notice", "title") else {"declaration": "spdx", "address": address.split(" ")[0]}[kind]
             out.append(Rule(f"{label}:{kind}", label, gate, made, priority, score))
     for k, line in enumerate(CLAUSES.strip().splitlines()):
         label, keyword, pattern = _fields(line)
@@ -192,7 +348,8 @@ class Scanner:
         parts = data.translate(_TO_WORDS).split()
         line = b" " + b" ".join(parts) + b" "
         seen = {word: own for _, (word, own) in self.keywords.iter(line.decode("latin-1"))}
-        at = lambda i: line.count(b" ", 0, i)  # noqa: E731  the word that begins at byte i
+        begins = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if seen else np.zeros(0, np.int64)
+        at = lambda i: int(np.searchsorted(begins, i))  # noqa: E731  the word that begins at byte i
         base = sorted((at(m.start()), label) for pattern, phrase, label in self.base if phrase in seen for m in pattern.finditer(line))
         found = []
         for k in sorted({k for own in seen.values() for k in own}):
@@ -233,30 +390,30 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
     ``first_word`` and ``last_word`` are null without a base place; ``labels`` and ``base_labels`` are then empty
     strings if nothing else was found. score: the highest score of a detection that stands; 0 without any. Null or
     empty text: no words, no labels. Rows are independent of each other: repeated ones get equal results. Other columns
-    are ignored.
+    are ignored. A text is scanned whole, in time that grows with its length and its detections. An empty table gives none.
     """
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     kinds = arrow_schema(SCHEMA)
 
     def scanned(batches):
         scanner = Scanner(table)
-        for batch in batches:
-            data, at = flat_bytes(batch.column(1))
-            raw = data.tobytes()
-            out = {f.name: [] for f in kinds}
-            for k in range(len(at) - 1):
-                r = scanner.scan(raw[at[k] : at[k + 1]])
-                base, own = {x[1] for x in r["base"]}, [(a, b, scanner.rules[i]) for a, b, i in r["detections"]]
-                starts = [x[0] for x in r["base"]]
-                row = {
-                    "n_words": r["n_words"], "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)),
-                    "labels": ",".join(sorted(base | {x.label for _, _, x in own})), "score": max([x.score for _, _, x in own], default=0.5 if base else 0.0),
-                    "detections": [{"from_word": a, "to_word": b, "rule": x.name, "label": x.label, "score": x.score} for a, b, x in own],
-                }
-                for c, v in row.items():
-                    out[c].append(v)
-            yield pa.record_batch([batch.column(0).cast(f.type) if f.name == "doc_id" else pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
+        for whole in batches:
+            for lo, hi, data, at in slices(whole, 1, 1 << 22):
+                raw, out = data.tobytes(), {f.name: [] for f in kinds}
+                for k in range(hi - lo):
+                    r = scanner.scan(raw[at[k] : at[k + 1]])
+                    base, own = {x[1] for x in r["base"]}, [(a, b, scanner.rules[i]) for a, b, i in r["detections"]]
+                    starts = [x[0] for x in r["base"]]
+                    row = {
+                        "n_words": r["n_words"], "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)),
+                        "labels": ",".join(sorted(base | {x.label for _, _, x in own})), "score": max([x.score for _, _, x in own], default=0.5 if base else 0.0),
+                        "detections": [{"from_word": a, "to_word": b, "rule": x.name, "label": x.label, "score": x.score} for a, b, x in own],
+                    }
+                    for c, v in row.items():
+                        out[c].append(v)
+                yield pa.record_batch([whole.column(0).slice(lo, hi - lo).cast(f.type) if f.name == "doc_id" else pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 
     return docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as string) as text").mapInArrow(scanned, SCHEMA)
 
