@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.common import SPACE, arrow_schema, documents, ship, slices, span_hashes, text_of, words
+from loomgraph.llm.common import SPACE, arrow_schema, documents, free, ship, slices, span_hashes, text_of, words
 
 SAMPLE = 12_000
 FEATURE_BITS = 16
@@ -185,8 +185,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> dict:
     return {"posterior": known, "rates": rates, "weights": weights}
 
 
-def judge(docs: DataFrame, model: dict | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with its columns and votes (long), posterior, score (double) and accepted (boolean); columns of these names are replaced.
+NAMES = ("votes", "posterior", "score", "accepted")
+
+
+def judge(docs: DataFrame, model: dict | None = None, text: str = "text", names: tuple[str, ...] = NAMES) -> DataFrame:
+    """``docs`` with its columns and votes (long), posterior, score (double) and accepted (boolean), under ``names``; columns of these names are replaced.
 
     Null text counts as empty; a text without words has no votes but the prior and feature, and is judged by them.
     Repeated rows get equal results. An empty table fits no weights and returns no rows.
@@ -197,9 +200,9 @@ def judge(docs: DataFrame, model: dict | None = None, text: str = "text") -> Dat
     ship(spark)
     model = fit(docs, text=text) if model is None else model
     shared = spark.sparkContext.broadcast((model["posterior"], model["weights"]))
-    own = docs.drop("votes", "posterior", "score", "accepted")
+    own = docs.drop(*names)
     at_text = own.columns.index(text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "votes long", "posterior double", "score double", "accepted boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), *(f"`{n}` {kind}" for n, kind in zip(names, ("long", "double", "double", "boolean"), strict=True))])
     kinds = arrow_schema(schema)
 
     def judged(batches):
@@ -217,6 +220,12 @@ def judge(docs: DataFrame, model: dict | None = None, text: str = "text") -> Dat
     return own.mapInArrow(judged, schema)
 
 
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns, whatever their names."""
+    names = free(docs.columns, *NAMES)
+    return judge(docs, text=text, names=tuple(names)).where(F.col(names[-1])).select(*docs.columns)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return judge(docs.select("doc_id", "text"), fit(docs)).select("doc_id", "votes", "posterior", "score", "accepted")
