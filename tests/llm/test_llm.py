@@ -387,7 +387,27 @@ def test_license_rules_suppress_what_they_contain(text, first):
 
 
 def test_license_rules_are_hundreds_of_patterns():
-    assert len({r.pattern for r in licenses.rules()}) > 300
+    """Most of the notices match a text made of themselves, and every rule's keyword stands in what it matches."""
+    assert len({r.pattern for r in licenses.rules()}) > 400 and sum("clause" in r.name for r in licenses.rules()) > 150
+    plain = [r for r in licenses.rules() if "clause" in r.name and re.fullmatch(r"[a-z0-9 ]+", re.sub(r"\(\?:[^()]*\)\?", "", r.pattern).replace("licen[sc]e", "license").replace("  ", " ").strip())]
+    scanner = licenses.Scanner()
+    for r in plain:
+        text = " ".join(re.sub(r"\(\?:[^()]*\)\?", "", r.pattern).replace("licen[sc]e", "license").split())
+        if re.fullmatch(r.pattern, text):
+            assert r.keyword in text, r
+            assert scanner.scan(text.encode())["detections"], r
+    assert len(plain) > 80
+
+
+def test_license_scan_is_linear_in_the_text():
+    import time
+
+    scanner, took = licenses.Scanner(), []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        assert len(scanner.scan(b"the mit license " * n)["base"]) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0]
 
 
 def test_lm_scores(spark, docs, none):
@@ -501,6 +521,9 @@ def test_quality(spark, docs, none):
     out = quality.judge(docs)
     assert set(docs.columns) - {"score"} <= set(out.columns) and out.count() == len(odd_rows())
     assert quality.judge(none).count() == 0
+    mine = docs.withColumns({c: F.lit(c) for c in ("votes", "posterior", "score", "accepted", "_accepted")})
+    left = corpus_pipeline.quality_stage(spark, mine, "")
+    assert left.columns == mine.columns and 0 < left.count() < len(odd_rows()) and all(r["score"] == "score" and r["accepted"] == "accepted" for r in left.collect())
 
 
 def test_quality_against_labels(spark, sf):
