@@ -12,31 +12,31 @@ from loomgraph.llm.common import cut, documents, ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts. Null text counts as empty; equal texts are judged alike; columns stay, whatever their names."""
     ship(spark)
-    return quality.judge(docs).where("accepted").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
+    """Of equal texts (null: empty) the row with the largest id, a null id before all others; of rows that share both one."""
     ship(spark)
     return exact_dedup.without_repeats(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the row with the least id."""
+    """Of each class of near duplicates the row with the least id, a null id after all others; of several the text of the least hash."""
     ship(spark)
     return near_dup.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as their sources' targets take them."""
+    """The mix: documents as often as their sources' targets take them; a null source is one of its own; texts without words go."""
     ship(spark)
     return mixing.mixture(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences: lists of documents' ids, with the words of each that they hold."""
+    """Sequences: lists of documents' ids and text hashes, with the words of each that they hold; packing.sequences writes the words out."""
     ship(spark)
     return packing.pack_documents(docs)
 
