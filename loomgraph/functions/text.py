@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Words that don't count as terms of a task.
-STOP_WORDS = ("a", "add", "an", "and", "as", "by", "change", "for", "fix", "from", "in", "implement", "into", "is", "it", "make", "of", "on", "or", "the", "to", "update", "with")
-_IDENTIFIER = r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{Nd}+|\p{L}+"
+STOP_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "handle", "handling", "in", "into", "of", "on", "or", "the", "to", "with", "add", "change", "update", "support", "implement")
+#: Where an identifier breaks: at other characters, before an upper-case letter after a lower-case one or before a lower-case one, and between digits and letters.
+_BREAK = r"[^\p{L}\p{Nd}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{Nd})(?=\p{L})|(?<=\p{L})(?=\p{Nd})"
 
 
 def split_identifier(text: Column) -> Column:
-    """The parts of an identifier or a phrase, in order: breaks at other characters, at changes of case, between letters and digits."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_IDENTIFIER), F.lit(0))
+    """The parts of an identifier or a phrase, in order: breaks at other characters, at changes of case, between letters and digits. Letters without case never break."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), _BREAK, -1), lambda w: w != "")
 
 
 def tokenize(text: Column) -> Column:
@@ -30,11 +31,16 @@ def normalized_identifier(text: Column) -> Column:
     return F.array_join(tokenize(text), "")
 
 
-def strip_type_arguments(text: Column, depth: int = 4) -> Column:
-    """The text without bracketed type arguments, nested up to ``depth`` deep."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\[[^\[\]]*\]", "")
-    return text
+def strip_type_arguments(text: Column) -> Column:
+    """The text without what stands in brackets, however deep they are nested, and without the brackets; one that closes nothing goes too."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = F.when(c == "[", s["depth"] + 1).when(c == "]", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        plain = (s["depth"] == 0) & ~c.isin("[", "]")
+        return F.struct(depth.alias("depth"), F.when(plain, F.concat(s["kept"], c)).otherwise(s["kept"]).alias("kept"))
+
+    return F.aggregate(F.split(text, ""), state, step, lambda s: s["kept"])
 
 
 def span_digest(text: Column, first: Column, last: Column) -> Column:
@@ -45,12 +51,19 @@ def span_digest(text: Column, first: Column, last: Column) -> Column:
     return F.sha2(F.array_join(F.slice(lines, lo, hi - lo + 1), "\n"), 256)
 
 
-def excerpt(text: Column, first: Column, last: Column, most_lines: int = 60, most_chars: int = 12_288) -> Column:
-    """The lines first .. last, at most ``most_lines``, cut after ``most_chars`` characters (so no character is ever split)."""
+def bounded(text: Column, most_bytes: int) -> Column:
+    """The text cut after ``most_bytes`` bytes of UTF-8 at most, between characters."""
+    raw = text.cast("binary")
+    cut = [F.try_validate_utf8(F.substring(raw, 1, max(0, most_bytes - k)).cast("string")) for k in range(4)]
+    return F.when(F.octet_length(raw) <= most_bytes, text).otherwise(F.coalesce(*cut))
+
+
+def excerpt(text: Column, first: Column, last: Column, most_lines: int = 60, most_bytes: int = 12_288) -> Column:
+    """The lines first .. last, at most ``most_lines``, cut after ``most_bytes`` bytes (so no character is ever split)."""
     lines = F.split(text, "\n", -1)
     lo = F.greatest(F.lit(1), F.least(first.cast("int"), F.size(lines)))
     hi = F.greatest(lo, F.least(last.cast("int"), F.size(lines), lo + most_lines - 1))
-    return F.substring(F.array_join(F.slice(lines, lo, hi - lo + 1), "\n"), 1, most_chars)
+    return bounded(F.array_join(F.slice(lines, lo, hi - lo + 1), "\n"), most_bytes)
 
 
 def fingerprint(parts: Column) -> Column:

@@ -22,8 +22,9 @@ def _either(rows: DataFrame, checks: list[tuple[str, DataFrame, str, bool]], ide
 
 
 def edge_endpoints(g: Graph) -> DataFrame:
-    """Edges with an end that is no node."""
-    return _either(g.edges, [("source_key", g.nodes, "key", False), ("target_key", g.nodes, "key", False)], ["source_key", "target_key", "kind"])
+    """Edges with an end that is no node, once each: both ends are looked up in one anti-join."""
+    ends = g.edges.select("source_key", "target_key", "kind", F.explode(F.array("source_key", "target_key")).alias("key"))
+    return ends.join(g.nodes.select("key"), "key", "left_anti").select("source_key", "target_key", "kind").distinct()
 
 
 def file_blobs(g: Graph) -> DataFrame:

@@ -67,10 +67,15 @@ def incoming_references(g: Graph, keys: DataFrame) -> DataFrame:
     return edges.join(nodes, "target_key").select(F.col("target_key").alias("node"), "source_key", "target_key", "kind", "confidence")
 
 
-def first_evidence(g: Graph) -> DataFrame:
-    """The evidence with the least id of each edge."""
-    place = F.struct("start_line", "end_line", "details")
-    return g.evidence.groupBy("source_key", "target_key", "kind").agg(F.min("evidence_id").alias("evidence_id"), F.min_by(place, "evidence_id").alias("e")).select("source_key", "target_key", "kind", "evidence_id", "e.*")
+EDGE = ["source_key", "target_key", "kind"]
+
+
+def with_first_evidence(g: Graph, edges: DataFrame) -> DataFrame:
+    """Edges with the lines of their evidence of the least id. Only evidence of these edges is aggregated."""
+    own = g.evidence.join(edges.select(*EDGE).distinct(), EDGE, "left_semi")
+    place = F.struct("start_line", "end_line")
+    first = own.groupBy(*EDGE).agg(F.min("evidence_id").alias("evidence_id"), F.min_by(place, "evidence_id").alias("e")).select(*EDGE, "evidence_id", "e.*")
+    return edges.join(first, EDGE, "left")
 
 
 def _capped(edges: DataFrame, order: list[str], limit: int) -> DataFrame:
@@ -96,8 +101,7 @@ def relationships_full(g: Graph, keys: DataFrame) -> DataFrame:
 
 def relationships_bounded(g: Graph, keys: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` incident edges of each node by kind, source and target, then their first evidence: the cut is before the join that multiplies."""
-    edges = with_labels(g, _capped(incident_edges(g, keys), ["kind", "source_key", "target_key"], limit))
-    return edges.join(first_evidence(g).drop("details"), ["source_key", "target_key", "kind"], "left")
+    return with_first_evidence(g, with_labels(g, _capped(incident_edges(g, keys), ["kind", "source_key", "target_key"], limit)))
 
 
 def references_full(g: Graph, keys: DataFrame) -> DataFrame:
@@ -106,15 +110,14 @@ def references_full(g: Graph, keys: DataFrame) -> DataFrame:
 
 
 def references_bounded(g: Graph, keys: DataFrame, limit: int) -> DataFrame:
-    edges = _capped(incoming_references(g, keys), ["source_key"], limit)
-    return edges.join(first_evidence(g).drop("details"), ["source_key", "target_key", "kind"], "left")
+    return with_first_evidence(g, _capped(incoming_references(g, keys), ["source_key"], limit))
 
 
 def bounded_neighborhood(g: Graph, keys: DataFrame, limit: int) -> DataFrame:
     """What a traversal sees of each node: bounded relationships and references, each once, numbered by kind, source, target and place."""
     columns = ("node", "source_key", "target_key", "kind", "confidence", "start_line", "end_line")
-    both = relationships_bounded(g, keys, limit).select(*columns).unionByName(references_bounded(g, keys, limit).select(*columns))
-    once = both.dropDuplicates(["node", "kind", "source_key", "target_key", "start_line", "end_line"])
+    both = _capped(incident_edges(g, keys), ["kind", "source_key", "target_key"], limit).unionByName(_capped(incoming_references(g, keys), ["source_key"], limit))
+    once = with_first_evidence(g, both.distinct()).select(*columns)
     order = Window.partitionBy("node").orderBy("kind", "source_key", "target_key", F.col("start_line").asc_nulls_first(), F.col("end_line").asc_nulls_first())
     return once.withColumn("rel_idx", (F.row_number().over(order) - 1).cast("long"))
 
@@ -129,9 +132,14 @@ def bucket(node: str = "node") -> Column:
     )
 
 
+def all_edges(g: Graph, keys: DataFrame) -> DataFrame:
+    """What a symbol's result is made of: its edges of the semantic kinds, and the references to it."""
+    return incident_edges(g, keys).unionByName(incoming_references(g, keys))
+
+
 def symbol_buckets(g: Graph, keys: DataFrame) -> DataFrame:
     """node, bucket, n and the other ends, sorted."""
-    edges = incident_edges(g, keys).unionByName(incoming_references(g, keys))
+    edges = all_edges(g, keys)
     other = F.when(F.col("source_key") == F.col("node"), F.col("target_key")).otherwise(F.col("source_key"))
     return edges.withColumn("bucket", bucket()).groupBy("node", "bucket").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(other)).alias("others"))
 

@@ -58,15 +58,31 @@ def search(effective: DataFrame, terms: list[str], limit: int = 256) -> DataFram
     return found.orderBy(F.desc("matched"), "package_key", "path", "start_line", "key").limit(limit).select(*SYMBOL, "origin", "matched")
 
 
+#: Lists of a symbol's result and the edges that they hold: kinds, and the end that the symbol is (None: either).
+LISTS = {
+    "calls": (("calls", "possible_call", "unresolved_call"), "source"), "called_by": (("calls", "possible_call", "unresolved_call"), "target"), "implementations": (("implements",), "source"),
+    "implemented_by": (("implements",), "target"), "tests": (("tests",), None), "refs": (("references",), "target"),
+}
+
+
 def symbol_results(effective: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """For each effective symbol with edges: callers and callees, each list at most ``limit`` long, by key."""
-    calls = edges.where(F.col("kind").isin("calls", "possible_call"))
-    known = effective.select("key", "origin")
-    callees = calls.groupBy(F.col("source_key").alias("key")).agg(F.array_sort(F.collect_set("target_key")).alias("callees"))
-    callers = calls.groupBy(F.col("target_key").alias("key")).agg(F.array_sort(F.collect_set("source_key")).alias("callers"))
-    none = F.array().cast("array<string>")
-    found = known.join(callees, "key", "left").join(callers, "key", "left").where("callees is not null or callers is not null")
-    return found.select("key", "origin", F.slice(F.coalesce("callees", none), 1, limit).alias("callees"), F.slice(F.coalesce("callers", none), 1, limit).alias("callers"))
+    """For each effective symbol with edges: key, origin, and the other ends of its edges in six lists, each at most ``limit`` long, in order of kind, source and target.
+
+    A self-edge is an outgoing one. Edges are ranked and cut before they are collected, so a hub is never one row.
+    """
+    end = F.explode(F.array_distinct(F.array(F.struct(F.col("source_key").alias("key"), F.lit("source").alias("end")), F.when(F.col("source_key") != F.col("target_key"), F.struct(F.col("target_key").alias("key"), F.lit("target").alias("end"))))))
+    ends = edges.select("source_key", "target_key", "kind", end.alias("own")).where("own is not null").select("source_key", "target_key", "kind", "own.key", "own.end")
+    name = F.lit(None).cast("string")
+    for list_, (kinds, which) in LISTS.items():
+        # A reference to itself counts as incoming.
+        holds = F.col("kind").isin(*kinds) & (F.lit(True) if which is None else F.col("end") == which if list_ != "refs" else F.col("target_key") == F.col("key"))
+        name = F.when(holds, list_).otherwise(name)
+    placed = ends.withColumn("list", name).where("list is not null").distinct()
+    rank = F.row_number().over(Window.partitionBy("key", "list").orderBy("kind", "source_key", "target_key"))
+    other = F.when(F.col("source_key") == F.col("key"), F.col("target_key")).otherwise(F.col("source_key"))
+    few = placed.withColumn("rank", rank).where(F.col("rank") <= limit).select("key", "list", "rank", other.alias("other"))
+    lists = few.groupBy("key").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == n, F.struct("rank", "other")))), lambda x: x["other"]).alias(n) for n in LISTS])
+    return effective.select("key", "origin").join(lists, "key")
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

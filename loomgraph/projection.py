@@ -47,7 +47,9 @@ SELECT key, kind, CAST(1 AS BIGINT) AS owned, package_key, file_key, key AS symb
 UNION ALL
 SELECT key, 'file', CAST(1 AS BIGINT), package_key, key, '', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM g_files
 UNION ALL
-SELECT concat('package:', key), 'package', CAST(1 AS BIGINT), key, '', '', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM g_packages""",
+SELECT concat('package:', key), 'package', CAST(1 AS BIGINT), key, '', '', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM g_packages
+UNION ALL
+SELECT DISTINCT concat('external:symbol:', p_brand, ':Do'), 'symbol', CAST(0 AS BIGINT), '', '', '', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM part WHERE p_size > 45""",
     "g_lines": """
 SELECT concat('symbol:order/', CAST(l_orderkey AS STRING)) AS source_key,
        CASE WHEN l_returnflag = 'R' AND o_orderstatus = 'O' THEN concat('unresolved:call:', CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING))
@@ -66,6 +68,8 @@ UNION ALL
 SELECT concat('symbol:part/', CAST(a.p_partkey AS STRING)), concat('symbol:part/', CAST(b.p_partkey AS STRING)), 'implements', 'exact', ''
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name WHERE a.p_type NOT LIKE 'PROMO%' AND b.p_type LIKE 'PROMO%'
 UNION ALL
+SELECT concat('symbol:part/', CAST(p_partkey AS STRING)), concat('external:symbol:', p_brand, ':Do'), 'calls', 'exact', '' FROM part WHERE p_size > 45
+UNION ALL
 SELECT concat('package:', package_key), key, 'contains', 'exact', package_key FROM g_files
 UNION ALL
 SELECT file_key, key, 'defines', 'exact', package_key FROM g_symbols
@@ -77,7 +81,7 @@ SELECT evidence_id, source_key, target_key, kind, 'lines' AS analyzer_source, st
 SELECT DISTINCT a.key AS source_package, b.key AS target_package
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN g_packages a ON a.nk = c_nationkey JOIN g_packages b ON b.nk = s_nationkey
-WHERE l_linenumber = 1 AND c_nationkey <> s_nationkey AND o_orderkey % 7 = 0
+WHERE c_nationkey <> s_nationkey
 UNION ALL
 SELECT DISTINCT a.key, concat('external:package:', p_brand)
 FROM part JOIN g_owners o ON p_partkey = o.partkey JOIN supplier ON s_suppkey = o.suppkey JOIN g_packages a ON a.nk = s_nationkey WHERE p_size > 45""",

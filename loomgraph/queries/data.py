@@ -40,7 +40,7 @@ FROM events JOIN x_worktrees w ON user_id % 25 = w.nk WHERE event_type <> 'error
     "x_spans": """SELECT file_key, start_line AS first, start_line + CAST(regexp_extract(key, '([0-9]+)$', 1) AS BIGINT) % 40 AS last, key AS symbol_key, CAST(regexp_extract(key, '([0-9]+)$', 1) AS BIGINT) AS ord
 FROM g_symbols WHERE key LIKE 'symbol:part/%'""",
     "x_methods": "SELECT DISTINCT concat('type:', p_brand, '/', p_type) AS type_key, p_name AS method FROM part",
-    "x_required": "SELECT DISTINCT concat('iface:', CAST(p_partkey % 40 AS STRING)) AS interface_key, p_name AS method FROM part WHERE p_partkey < 90",
+    "x_required": "SELECT DISTINCT concat('iface:', p_type, '/', CAST(p_size AS STRING)) AS interface_key, p_name AS method FROM part",
     "x_tests": "SELECT key, name, package_key FROM g_symbols WHERE kind = 'test'",
     "x_production": "SELECT key, CASE WHEN key LIKE 'symbol:order/%' THEN replace(name, 'order', 'Order') ELSE name END AS name, package_key, CAST(regexp_extract(key, '([0-9]+)$', 1) AS BIGINT) AS ord FROM g_symbols WHERE kind IN ('function', 'method')",
     "x_objects": """SELECT 'object' AS form, key AS name, key AS symbol_key FROM g_symbols WHERE key LIKE '%3' UNION ALL

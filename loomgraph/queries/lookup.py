@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import integrity as I, lookup as L
 from loomgraph.queries import query
 
-NAME, FILE, TERMS, CAP = "small_ring", "supplier/1.go", ["ring", "brand#1", "promo"], 8
+NAME, FILE, TERMS, CAP = "small_ring", "supplier/1.go", ["ring", "brand#1", "promo"], 32
 _S = "key, kind, package_key, file_key, name, signature, receiver, path, start_line, end_line, exported"
 KEYS = f"SELECT key AS node FROM g_symbols WHERE name = '{NAME}'"
 KINDS = "('calls', 'possible_call', 'unresolved_call', 'implements', 'tests')"

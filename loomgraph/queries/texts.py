@@ -26,9 +26,9 @@ def tokenize(g, table):
 
 
 @query(f"""SELECT id, CASE WHEN count(*) FILTER (WHERE w NOT IN {STOP}) > 0 THEN string_agg(w, ' ' ORDER BY i) FILTER (WHERE w NOT IN {STOP}) ELSE string_agg(w, ' ' ORDER BY i) END AS terms
-FROM (SELECT id, w, min(i) AS i FROM parts GROUP BY id, w) GROUP BY id""", src="SELECT concat('d', CAST(doc_id AS STRING)) AS id, concat('fix the ', substr(text, 1, strpos(concat(text, '.'), '.'))) AS text FROM documents UNION ALL SELECT r_name, 'Add to the' FROM region", parts=PARTS)
+FROM (SELECT id, w, min(i) AS i FROM parts GROUP BY id, w) GROUP BY id""", src="SELECT concat('d', CAST(doc_id AS STRING)) AS id, concat('handle the ', text) AS text FROM documents UNION ALL SELECT r_name, 'Add to the' FROM region", parts=PARTS)
 def significant_terms(g, table):
-    docs = table("documents").selectExpr("concat('d', cast(doc_id as string)) AS id", "concat('fix the ', substr(text, 1, locate('.', concat(text, '.')))) AS text")
+    docs = table("documents").selectExpr("concat('d', cast(doc_id as string)) AS id", "concat('handle the ', text) AS text")
     rows = docs.unionByName(table("region").selectExpr("r_name AS id", "'Add to the' AS text"))
     return rows.select("id", F.array_join(T.significant_terms(F.col("text")), " ").alias("terms"))
 
@@ -56,7 +56,7 @@ def eligible_paths(g, table):
 
 @query("SELECT p_partkey, concat(p_name, '.Get') AS plain FROM part")
 def strip_type_args(g, table):
-    generic = F.concat("p_name", F.lit("["), "p_brand", F.lit(", Map["), "p_type", F.lit(", List[int]]].Get"))
+    generic = F.concat("p_name", F.lit("["), "p_brand", F.lit(", Map["), "p_type", F.lit(", A[B[C[D[E[int]]]]]]].G]et"))
     return table("part").select("p_partkey", T.strip_type_arguments(generic).alias("plain"))
 
 
@@ -68,9 +68,13 @@ def span_digest(g, table):
     return table("documents").select("doc_id", T.span_digest(F.col("text"), F.lit(2), F.lit(4)).alias("digest"))
 
 
-@query(f"SELECT doc_id, substr(array_to_string({_SPAN}, chr(10)), 1, 200) AS excerpt FROM documents")
+_LINES = "array_to_string(list_slice(string_split(text, chr(10)), least(2, len(string_split(text, chr(10)))), greatest(least(2, len(string_split(text, chr(10)))), least(61, len(string_split(text, chr(10)))))), chr(10))"
+
+
+@query("SELECT doc_id, CASE WHEN strlen(t) <= 12288 THEN t ELSE left(t, list_max(list_filter(range(3072, 12289), lambda k: strlen(left(t, k)) <= 12288))) END AS excerpt FROM cut", cut=f"SELECT doc_id, {_LINES} AS t FROM documents")
 def context_excerpts(g, table):
-    return table("documents").select("doc_id", T.excerpt(F.col("text"), F.lit(2), F.lit(4), 60, 200).alias("excerpt"))
+    """From the second line on, under the operator's own limits."""
+    return table("documents").select("doc_id", T.excerpt(F.col("text"), F.lit(2), F.lit(1 << 30)).alias("excerpt"))
 
 
 @query("SELECT path, CASE WHEN path LIKE '%_test.go' THEN 'test' ELSE '' END AS variant, CASE WHEN id % 4 = 0 THEN 'external' WHEN path LIKE '%_test.go' THEN 'test' ELSE '' END AS named FROM m_files")
@@ -82,7 +86,7 @@ def package_variants(g, table):
 @query("SELECT package_key AS id, path, blob_sha, '100644' AS mode, CAST(length(path) AS BIGINT) AS size FROM m_files")
 def src_tree_manifest(g, table):
     entry = F.concat(F.lit("100644 blob "), "blob_sha", F.lit("   "), F.length("path").cast("string"), F.lit("\t"), "path")
-    raw = table("m_files").groupBy(F.col("package_key").alias("id")).agg(F.concat(F.array_join(F.collect_list(entry), "\x00"), F.lit("\x00160000 commit 00 -\tsub\x00100644 blob 00 1\t../out")).alias("listing"))
+    raw = table("m_files").groupBy(F.col("package_key").alias("id")).agg(F.concat(F.array_join(F.collect_list(entry), "\x00"), F.lit("\x00")).alias("listing"))
     return S.tree_manifest(raw)
 
 

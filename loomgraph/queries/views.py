@@ -56,12 +56,18 @@ def overlay_search(g, table):
     return O.search(_effective(g, table), ["local", "ring", "promo"], 200)
 
 
-@query("""SELECT key, origin, array_to_string(list_slice(coalesce(callees, []), 1, 3), ',') AS callees, array_to_string(list_slice(coalesce(callers, []), 1, 3), ',') AS callers FROM eff
-LEFT JOIN (SELECT source_key, list_sort(list(DISTINCT target_key)) AS callees FROM masked WHERE kind IN ('calls', 'possible_call') GROUP BY 1) a ON a.source_key = key
-LEFT JOIN (SELECT target_key, list_sort(list(DISTINCT source_key)) AS callers FROM masked WHERE kind IN ('calls', 'possible_call') GROUP BY 1) b ON b.target_key = key WHERE callees IS NOT NULL OR callers IS NOT NULL""", **EFFECTIVE, **MASKED)
+_LIST = "CASE WHEN kind IN ('calls', 'possible_call', 'unresolved_call') THEN CASE WHEN source_key = key THEN 'calls' ELSE 'called_by' END WHEN kind = 'implements' THEN CASE WHEN source_key = key THEN 'implementations' ELSE 'implemented_by' END WHEN kind = 'tests' THEN 'tests' WHEN kind = 'references' AND target_key = key THEN 'refs' END"
+RESULTS = {
+    "ends": "SELECT DISTINCT source_key, target_key, kind, source_key AS key FROM masked UNION SELECT source_key, target_key, kind, target_key FROM masked",
+    "listed": f"SELECT *, {_LIST} AS list_ FROM ends",
+    "ranked": "SELECT *, CASE WHEN source_key = key THEN target_key ELSE source_key END AS other, row_number() OVER (PARTITION BY key, list_ ORDER BY kind, source_key, target_key) AS n_ FROM listed WHERE list_ IS NOT NULL",
+}
+
+
+@query("SELECT eff.key, origin, " + ", ".join(f"coalesce(string_agg(other, ',' ORDER BY n_) FILTER (WHERE list_ = '{n}'), '') AS {n}" for n in O.LISTS) + " FROM eff JOIN ranked r ON r.key = eff.key WHERE n_ <= 3 GROUP BY eff.key, origin", **EFFECTIVE, **MASKED, **RESULTS)
 def overlay_symbol_results(g, table):
     found = O.symbol_results(_effective(g, table), O.masked_edges(g.edges, table("x_changed")), 3)
-    return found.withColumns({"callees": F.array_join("callees", ","), "callers": F.array_join("callers", ",")})
+    return found.withColumns({n: F.array_join(n, ",") for n in O.LISTS})
 
 
 @query("SELECT key, kind, path FROM (SELECT key, kind, path, row_number() OVER (PARTITION BY key ORDER BY ord) AS n FROM (SELECT key, kind, path, 1 AS ord FROM g_symbols UNION ALL SELECT key, 'symbol', '', 2 FROM g_symbols WHERE key LIKE '%2' UNION ALL SELECT target_key, 'symbol', '', 3 FROM g_edges)) WHERE n = 1")

@@ -39,8 +39,47 @@ def test_tokenize(spark, text, parts):
 
 
 def test_significant_terms_keep_lone_stop_words(spark):
-    assert one(spark, T.significant_terms(F.lit("fix the Server"))) == ["server"]
-    assert one(spark, T.significant_terms(F.lit("Fix The"))) == ["fix", "the"]
+    assert one(spark, T.significant_terms(F.lit("handle the Server at support"))) == ["server"]
+    assert one(spark, T.significant_terms(F.lit("fix it, make it"))) == ["fix", "it", "make"]
+    assert one(spark, T.significant_terms(F.lit("Add The"))) == ["add", "the"]
+
+
+def test_identifiers_break_at_case_digits_and_marks(spark):
+    for text, parts in (("HTTPServerID2go", ["HTTP", "Server", "ID", "2", "go"]), ("a日b", ["a日b"]), ("日B", ["日B"]), ("snake_case-Two", ["snake", "case", "Two"]), ("ABc", ["A", "Bc"]), ("", [])):
+        assert one(spark, T.split_identifier(F.lit(text))) == parts
+
+
+def test_excerpts_are_cut_by_bytes_between_characters(spark):
+    assert one(spark, T.bounded(F.lit("aé日🙂"), 100)) == "aé日🙂"
+    assert [one(spark, T.bounded(F.lit("aé日🙂"), n)) for n in range(11)] == ["", "a", "a", "aé", "aé", "aé", "aé日", "aé日", "aé日", "aé日", "aé日🙂"]
+
+
+def test_status_bytes_in_order_of_weight():
+    """A rename in either byte, then an addition, a deletion, a change of type."""
+    kinds = {x: parse_status(f"{x} p\0" + ("o\0" if set(x) & set("RC") else ""))[0][2:5] for x in ("MR", "RM", "AD", "MD", "DM", "MT", " M", "UU", "AM", "C ", "??")}
+    assert kinds == {"MR": ("renamed", "o", "p"), "RM": ("renamed", "o", "p"), "AD": ("added", "", "p"), "MD": ("deleted", "p", ""), "DM": ("deleted", "p", ""), "MT": ("type_changed", "p", "p"), " M": ("modified", "p", "p"), "UU": ("type_changed", "p", "p"), "AM": ("added", "", "p"), "C ": ("copied", "o", "p"), "??": ("added", "", "p")}
+    for bad in ("M", "M  ", "MMp.go", "R  new.go\0"):
+        with pytest.raises(ValueError):
+            parse_status(bad)
+
+
+def test_bad_listings_are_errors(spark):
+    from loomgraph.sources.listing import tree_manifest
+
+    listing = lambda *x: spark.createDataFrame([("i", "\0".join(x))], "id string, listing string")
+    assert tree_manifest(listing("100644 blob aa    12\ta/b.go", "")).collect()[0][1:] == ("a/b.go", "aa", "100644", 12)
+    for bad in ("160000 commit 00       -\tsub", "100644 blob 00 1\t../out", "100644 blob 00 1\t/abs", "nonsense", "040000 tree 00 -\tdir"):
+        with pytest.raises(Exception, match="tree|submodule|unsafe"):
+            tree_manifest(listing(bad)).collect()
+
+
+def test_package_evidence_stands_by_score_then_step(spark):
+    from loomgraph.plans.impact import package_evidence
+
+    rows = [("go:package:x", 50, "go:package:y", ["s1"], ["b"], 0, 1, 0), ("go:package:x", 50, "go:package:x", ["s2"], ["a"], 0, 1, 1), ("go:package:x", 50, "go:package:y", ["s3"], ["ab"], 0, 2, 0), ("go:package:x", 40, "go:package:x", ["s4"], ["0"], 0, 3, 0), ("external:package:q", 7, "", ["s5"], ["z"], 1, 1, 0)]
+    found = spark.createDataFrame(rows, "key string, score long, current string, steps array<string>, marks array<string>, depth long, parent_rank long, rel_idx long")
+    got = {r["key"]: (r["name"], r["score"], r["external"], r["steps"]) for r in package_evidence(found).collect()}
+    assert got == {"go:package:x": ("x", 50, 0, ["s2"]), "external:package:q": ("q", 7, 1, ["s5"])}
 
 
 @pytest.mark.parametrize("path, clean", [("a/./b//c", "a/b/c"), ("a/../b", "b"), ("../a", None), ("/a", None), ("", None), ("a/../..", None), ("a\\b", "a/b"), (None, None)])
@@ -55,6 +94,7 @@ def test_canonical_remote(spark, url, identity):
 
 def test_strip_nested_type_arguments(spark):
     assert one(spark, T.strip_type_arguments(F.lit("Map[K, List[V]].Get"))) == "Map.Get"
+    assert one(spark, T.strip_type_arguments(F.lit("A[B[C[D[E[F[G]]]]]]].m]x[y"))) == "A.mx"
 
 
 def test_status_parser_takes_the_old_path_of_a_renaming():
@@ -132,10 +172,11 @@ def test_request_limits():
 
 def test_required_labels_go_first_when_cut(spark):
     nodes = [("s", 0, 10, "function", "a"), ("x", 1, 90, "function", "a"), ("y", 1, 80, "function", "a")]
-    df = spark.createDataFrame([(k, d, s, 1, "calls" if d else "", [], kind, k, "p", path) for k, d, s, kind, path in nodes], "key string, depth long, score long, rank long, first_kind string, steps array<string>, kind string, name string, package_key string, path string")
-    none = spark.createDataFrame([], "key string, score long, steps array<string>")
+    df = spark.createDataFrame([(k, d, s, 1, "calls" if d else "", [], kind, k, "p", path, int(k == "y")) for k, d, s, kind, path in nodes], "key string, depth long, score long, rank long, first_kind string, steps array<string>, kind string, name string, package_key string, path string, historical long")
+    none = spark.createDataFrame([], "key string, name string, score long, external long, steps array<string>")
     walk = M.Traversal(df, none, False)
-    assert [r["key"] for r in M.context_radius(walk, 2).orderBy("place").collect()] == ["s", "x"]
+    assert {r["key"]: r["label"] for r in M.implementation_radius(walk).collect()} == {"s": "high", "x": "medium", "y": "historical"}
+    assert [r["key"] for r in M.context_radius(walk, 2).orderBy("place").collect()] == ["y", "s"]
     assert [r["key"] for r in M.context_radius(walk, 3).orderBy("place").collect()] == ["x", "y", "s"]
 
 
