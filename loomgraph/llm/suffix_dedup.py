@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, most: int = MOST, text: str = "text", doc_id
     alike = counts.where("not mixed").select("key", F.col("low").alias("whole"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<int>").alias("numbers"))
     known = cut(sorted_.unionByName(hashed).unionByName(alike), "repeated-windows")
     back = places.join(known, ["key", "whole"]).select("doc_id", "hash", F.struct("first", "windows", "bits", "numbers").alias("run"))
-    return back.groupBy("doc_id", "hash").agg(F.collect_list("run").alias("runs"))
+    return back.groupBy("doc_id", "hash").agg(F.collect_set("run").alias("runs"))  # a set: repeated rows give equal runs
 
 
 def _covered(runs, n: int) -> list[tuple[int, int]]:
