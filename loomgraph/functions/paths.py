@@ -44,6 +44,18 @@ def clean_path(path: Column) -> Column:
     return F.when(~bad, F.array_join(folded["kept"], "/"))
 
 
+def escapes(path: Column) -> Column:
+    """Whether a path is absolute or leaves its root; false for a missing one, for the root itself and for ``a/..``."""
+    segments = F.filter(F.split(path, "/", -1), lambda s: (s != "") & (s != "."))
+
+    def step(state, s):
+        depth = F.when(s == "..", state["depth"] - 1).otherwise(state["depth"] + 1)
+        return F.struct(depth.alias("depth"), (state["out"] | (depth < 0)).alias("out"))
+
+    folded = F.aggregate(segments, F.struct(F.lit(0).alias("depth"), F.lit(False).alias("out")), step)
+    return F.coalesce(path.startswith("/") | folded["out"], F.lit(False))
+
+
 def canonical_remote(url: Column) -> Column:
     """host[:port]/path of a remote: scp form or with a scheme, lower-case host, no user, no ``.git``, no query; file URLs keep their path."""
     u = F.trim(url)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from loomgraph.functions.paths import escapes
 from loomgraph.projection import Graph
 
 ERROR, WARNING, OK = "error", "warning", "ok"
@@ -78,8 +79,27 @@ def summary(checks: DataFrame) -> DataFrame:
     )
 
 
-def _empty(df: DataFrame, rule: str, column: str, label: str) -> DataFrame:
-    return df.where(F.coalesce(F.col(column), F.lit("")) == "").select(F.lit(rule).alias("rule"), F.col(label).alias("subject"))
+#: Confidences that a record may state; an empty one stands for the default.
+CONFIDENCES = ("exact", "inferred", "possible")
+SEVERITIES = ("info", "warning", "error")
+
+
+def _blank(*columns: str) -> Column:
+    return reduce(Column.__or__, [F.coalesce(F.col(c), F.lit("")) == "" for c in columns])
+
+
+def _negative(*columns: str) -> Column:
+    return reduce(Column.__or__, [F.coalesce(F.col(c) < 0, F.lit(False)) for c in columns])
+
+
+def _unknown(column: str) -> Column:
+    return ~_blank(column) & ~F.col(column).isin(*CONFIDENCES)
+
+
+def _flagged(df: DataFrame, subject: tuple[str, ...], *rules: tuple[str, Column]) -> DataFrame:
+    """A row for each rule that a record breaks; one scan for all rules of a relation."""
+    broken = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules]))
+    return df.select(F.explode(broken).alias("rule"), F.concat_ws("|", *subject).alias("subject"))
 
 
 def _repeated(df: DataFrame, rule: str, *keys: str) -> DataFrame:
@@ -87,36 +107,57 @@ def _repeated(df: DataFrame, rule: str, *keys: str) -> DataFrame:
 
 
 def validate_uniqueness(g: Graph) -> DataFrame:
-    """Keys that stand more than once: rule, subject."""
+    """Records that stand more than once: rule, subject. Evidence is told apart by edge, lines and details."""
     return reduce(DataFrame.unionByName, [
         _repeated(g.packages, "package-key", "key"), _repeated(g.files, "file-key", "key"), _repeated(g.files, "file-path", "path"), _repeated(g.symbols, "symbol-key", "key"),
         _repeated(g.nodes, "node-key", "key"), _repeated(g.edges, "edge", "source_key", "target_key", "kind"), _repeated(g.dependencies, "dependency", "source_package", "target_package"),
         _repeated(g.tests, "test", "test_key", "target_key"), _repeated(g.blobs, "blob", "sha"),
+        _repeated(g.evidence, "evidence", "source_key", "target_key", "kind", "start_line", "end_line", "details"),
     ])
 
 
 def validate_fields(g: Graph) -> DataFrame:
-    """Missing values and lines out of order: rule, subject."""
-    order = g.symbols.where("start_line < 0 or end_line < start_line").select(F.lit("symbol-lines").alias("rule"), F.col("key").alias("subject"))
+    """Missing values, paths out of the tree, negative places and unknown confidences: rule, subject."""
+    edge, test, dependency = ("source_key", "target_key", "kind"), ("test_key", "target_key"), ("source_package", "target_package")
     return reduce(DataFrame.unionByName, [
-        _empty(g.packages, "package-import-path", "import_path", "key"), _empty(g.files, "file-path", "path", "key"), _empty(g.files, "file-blob", "blob_sha", "key"),
-        _empty(g.symbols, "symbol-name", "name", "key"), _empty(g.nodes, "node-kind", "kind", "key"), _empty(g.edges, "edge-kind", "kind", "source_key"), order,
+        _flagged(g.packages, ("key",), ("package-key-empty", _blank("key")), ("package-directory", escapes(F.col("directory")))),
+        _flagged(g.blobs, ("sha",), ("blob-empty", _blank("sha")), ("blob-size", _negative("byte_size"))),
+        _flagged(g.files, ("key",), ("file-empty", _blank("key", "path")), ("file-escapes", escapes(F.col("path")))),
+        _flagged(g.symbols, ("key",), ("symbol-empty", _blank("key", "package_key", "file_key")), ("symbol-lines", _negative("start_line", "end_line"))),
+        _flagged(g.nodes, ("key",), ("node-empty", _blank("key")), ("node-kind", _blank("kind")), ("node-lines", _negative("source_start", "source_end"))),
+        _flagged(g.edges, edge, ("edge-empty", _blank(*edge)), ("edge-confidence", _unknown("confidence"))),
+        _flagged(g.evidence, edge, ("evidence-empty", _blank(*edge)), ("evidence-lines", _negative("start_line", "end_line"))),
+        _flagged(g.dependencies, dependency, ("dependency-empty", _blank(*dependency))),
+        _flagged(g.tests, test, ("test-empty", _blank(*test)), ("test-confidence", _unknown("confidence"))),
     ])
 
 
 def validate_references(g: Graph) -> DataFrame:
-    """Records that point to nothing: rule, subject."""
-    said = lambda df, rule, *c: df.select(F.lit(rule).alias("rule"), F.concat_ws("|", *c).alias("subject"))
-    return reduce(DataFrame.unionByName, [
-        said(edge_endpoints(g), "edge-endpoint", "source_key", "target_key", "kind"), said(file_blobs(g), "file-blob", "key"), said(symbol_ownership(g), "symbol-owner", "key"),
-        said(node_ownership(g), "node-owner", "key"), said(evidence_edges(g), "evidence-edge", "source_key", "target_key", "kind").distinct(),
-        said(package_dependencies(g), "dependency", "source_package", "target_package"), said(test_relationships(g), "test", "test_key", "target_key"),
-    ])
-
-
-def validate_analysis(g: Graph) -> DataFrame:
-    """All violations of a candidate; it is valid if there are none."""
-    return validate_fields(g).unionByName(validate_uniqueness(g)).unionByName(validate_references(g))
+    """Records that point to nothing: rule, subject. Only owned nodes must point to something; empty owners of files, nodes and edges are allowed."""
+    edge, test, dependency = ("source_key", "target_key", "kind"), ("test_key", "target_key"), ("source_package", "target_package")
+    owned = g.nodes.where("owned = 1")
+    inside = g.dependencies.where(~F.coalesce(F.col("target_package"), F.lit("")).startswith("external:package:"))
+    testable = g.symbols.select("key").unionByName(g.nodes.where("kind = 'package'").select("key"))
+    links = (
+        ("file-package", g.files, "package_key", g.packages, "key", True, ("key",)), ("file-blob", g.files, "blob_sha", g.blobs, "sha", True, ("key",)),
+        ("symbol-package", g.symbols, "package_key", g.packages, "key", False, ("key",)), ("symbol-file", g.symbols, "file_key", g.files, "key", False, ("key",)),
+        ("node-package", owned, "package_key", g.packages, "key", True, ("key",)), ("node-file", owned, "file_key", g.files, "key", True, ("key",)), ("node-symbol", owned, "symbol_key", g.symbols, "key", True, ("key",)),
+        ("edge-source", g.edges, "source_key", g.nodes, "key", False, edge), ("edge-target", g.edges, "target_key", g.nodes, "key", False, edge), ("edge-owner", g.edges, "owner_package", g.packages, "key", True, edge),
+        ("dependency-source", g.dependencies, "source_package", g.packages, "key", False, dependency), ("dependency-target", inside, "target_package", g.packages, "key", False, dependency),
+        ("test-symbol", g.tests, "test_key", g.symbols, "key", False, test), ("test-target", g.tests, "target_key", testable, "key", False, test),
+    )
+    said = lambda df, rule, subject: df.select(F.lit(rule).alias("rule"), F.concat_ws("|", *subject).alias("subject"))
+    rows = [said(_lacks(df, key, known, column, skip), rule, subject) for rule, df, key, known, column, skip, subject in links]
+    return reduce(DataFrame.unionByName, [*rows, said(evidence_edges(g), "evidence-edge", edge)])
+
+
+def validate_analysis(g: Graph, diagnostics: DataFrame | None = None) -> DataFrame:
+    """All violations of a candidate; it is valid if there are none. diagnostics: severity, code, message of the analysis, none of which may be an error."""
+    rows = validate_fields(g).unionByName(validate_uniqueness(g)).unionByName(validate_references(g))
+    if diagnostics is None:
+        return rows
+    unknown = ~F.coalesce(F.col("severity"), F.lit("")).isin(*SEVERITIES)
+    return rows.unionByName(_flagged(diagnostics, ("code", "message"), ("diagnostic", unknown | _blank("code") | _blank("message")), ("diagnostic-error", F.col("severity") == ERROR)))
 
 
 def equal_analysis(a: Graph, b: Graph) -> DataFrame:

@@ -171,13 +171,35 @@ def doctor_provenance(g, table):
     return table("x_states").join(own, ["repo_id", "worktree_id", "active_generation"], "left").select("worktree_id", said.alias("provenance"))
 
 
-_RULES = {"edge-endpoint": ("edge_endpoints", "source_key, '|', target_key, '|', kind"), "file-blob": ("file_blobs", "key"), "symbol-owner": ("symbol_ownership", "key"), "node-owner": ("node_ownership", "key"), "evidence-edge": ("evidence", "source_key, '|', target_key, '|', kind"), "dependency": ("package_dependencies", "source_package, '|', target_package"), "test": ("test_relationships", "test_key, '|', target_key")}
-_REFS = " UNION ALL ".join(f"SELECT DISTINCT '{rule}' AS rule, concat({what}) AS subject FROM ({BAD[check]})" for rule, (check, what) in _RULES.items())
+def _link(rule: str, t: str, what: str, key: str, known: str, cond: str = "true", column: str = "key") -> str:
+    return f"SELECT '{rule}' AS rule, {what} AS subject FROM {t} WHERE {cond} AND NOT EXISTS (SELECT 1 FROM {known} k WHERE k.{column} = {t}.{key})"
+
+
+_E, _D, _T = ("concat(source_key, '|', target_key, '|', kind)", "concat(source_package, '|', target_package)", "concat(test_key, '|', target_key)")
+_REFS = " UNION ALL ".join([
+    _link("file-package", "g_files", "key", "package_key", "g_packages", "package_key <> ''"), _link("file-blob", "g_files", "key", "blob_sha", "g_blobs", "blob_sha <> ''", "sha"),
+    _link("symbol-package", "g_symbols", "key", "package_key", "g_packages"), _link("symbol-file", "g_symbols", "key", "file_key", "g_files"),
+    _link("node-package", "g_nodes", "key", "package_key", "g_packages", "owned = 1 AND package_key <> ''"), _link("node-file", "g_nodes", "key", "file_key", "g_files", "owned = 1 AND file_key <> ''"),
+    _link("node-symbol", "g_nodes", "key", "symbol_key", "g_symbols", "owned = 1 AND symbol_key <> ''"), _link("edge-source", "g_edges", _E, "source_key", "g_nodes"), _link("edge-target", "g_edges", _E, "target_key", "g_nodes"),
+    _link("edge-owner", "g_edges", _E, "owner_package", "g_packages", "owner_package <> ''"), _link("dependency-source", "g_dependencies", _D, "source_package", "g_packages"),
+    _link("dependency-target", "g_dependencies", _D, "target_package", "g_packages", "target_package NOT LIKE 'external:package:%'"), _link("test-symbol", "g_tests", _T, "test_key", "g_symbols"),
+    _link("test-target", "g_tests", _T, "target_key", "(SELECT key FROM g_symbols UNION ALL SELECT key FROM g_nodes WHERE kind = 'package')"),
+    f"SELECT 'evidence-edge' AS rule, {_E} AS subject FROM ({BAD['evidence']})",
+])
 _UNIQUE = " UNION ALL ".join(f"SELECT '{rule}' AS rule, {what} AS subject FROM {t} GROUP BY {by} HAVING count(*) > 1" for rule, t, by, what in (
     ("package-key", "g_packages", "key", "key"), ("file-key", "g_files", "key", "key"), ("file-path", "g_files", "path", "path"), ("symbol-key", "g_symbols", "key", "key"), ("node-key", "g_nodes", "key", "key"),
-    ("edge", "g_edges", "source_key, target_key, kind", "concat(source_key, '|', target_key, '|', kind)"), ("dependency", "g_dependencies", "source_package, target_package", "concat(source_package, '|', target_package)"),
-    ("test", "g_tests", "test_key, target_key", "concat(test_key, '|', target_key)"), ("blob", "g_blobs", "sha", "sha")))
-_FIELD = " UNION ALL ".join(f"SELECT '{rule}' AS rule, {label} AS subject FROM {t} WHERE coalesce({c}, '') = ''" for rule, t, c, label in (("package-import-path", "g_packages", "import_path", "key"), ("file-path", "g_files", "path", "key"), ("file-blob", "g_files", "blob_sha", "key"), ("symbol-name", "g_symbols", "name", "key"), ("node-kind", "g_nodes", "kind", "key"), ("edge-kind", "g_edges", "kind", "source_key"))) + " UNION ALL SELECT 'symbol-lines', key FROM g_symbols WHERE start_line < 0 OR end_line < start_line"
+    ("edge", "g_edges", "source_key, target_key, kind", _E), ("dependency", "g_dependencies", "source_package, target_package", _D), ("test", "g_tests", "test_key, target_key", _T), ("blob", "g_blobs", "sha", "sha"),
+    ("evidence", "g_evidence", "source_key, target_key, kind, start_line, end_line, details", "concat_ws('|', source_key, target_key, kind, start_line, end_line, details)")))
+_OUT = "(coalesce({0}, '') LIKE '/%' OR {0} = '..' OR {0} LIKE '../%')"
+_FIELD = " UNION ALL ".join(f"SELECT '{rule}' AS rule, {what} AS subject FROM {t} WHERE {cond}" for rule, t, what, cond in (
+    ("package-key-empty", "g_packages", "key", "coalesce(key, '') = ''"), ("package-directory", "g_packages", "key", _OUT.format("directory")), ("blob-empty", "g_blobs", "sha", "coalesce(sha, '') = ''"), ("blob-size", "g_blobs", "sha", "byte_size < 0"),
+    ("file-empty", "g_files", "key", "coalesce(key, '') = '' OR coalesce(path, '') = ''"), ("file-escapes", "g_files", "key", _OUT.format("path")),
+    ("symbol-empty", "g_symbols", "key", "coalesce(key, '') = '' OR coalesce(package_key, '') = '' OR coalesce(file_key, '') = ''"), ("symbol-lines", "g_symbols", "key", "start_line < 0 OR end_line < 0"),
+    ("node-empty", "g_nodes", "key", "coalesce(key, '') = ''"), ("node-kind", "g_nodes", "key", "coalesce(kind, '') = ''"), ("node-lines", "g_nodes", "key", "source_start < 0 OR source_end < 0"),
+    ("edge-empty", "g_edges", _E, "coalesce(source_key, '') = '' OR coalesce(target_key, '') = '' OR coalesce(kind, '') = ''"), ("edge-confidence", "g_edges", _E, "confidence NOT IN ('', 'exact', 'inferred', 'possible')"),
+    ("evidence-empty", "g_evidence", _E, "coalesce(source_key, '') = '' OR coalesce(target_key, '') = '' OR coalesce(kind, '') = ''"), ("evidence-lines", "g_evidence", _E, "start_line < 0 OR end_line < 0"),
+    ("dependency-empty", "g_dependencies", _D, "coalesce(source_package, '') = '' OR coalesce(target_package, '') = ''"), ("test-empty", "g_tests", _T, "coalesce(test_key, '') = '' OR coalesce(target_key, '') = ''"),
+    ("test-confidence", "g_tests", _T, "confidence NOT IN ('', 'exact', 'inferred', 'possible')")))
 
 
 @query(_REFS)
