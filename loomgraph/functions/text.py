@@ -69,3 +69,24 @@ def excerpt(text: Column, first: Column, last: Column, most_lines: int = 60, mos
 def fingerprint(parts: Column) -> Column:
     """SHA-256 over the parts of an array, each followed by NUL."""
     return F.sha2(F.concat(F.array_join(parts, "\x00"), F.lit("\x00")), 256)
+
+
+def migration_version(name: Column) -> Column:
+    """The positive number before the first underscore of a file name without its extension; null if there is none."""
+    base = F.regexp_replace(name, r"\.[^./]*$", "")
+    number = F.regexp_extract(base, r"^[+]?([0-9]+)_", 1).try_cast("int")
+    return F.when(number > 0, number)
+
+
+#: What a message of a missing module has in it, and what is said before it.
+MISSING_MODULE = ("could not import", "cannot find module", "no required module provides package", "module lookup disabled")
+MISSING_SAID = "missing module dependency: "
+
+
+def package_message(message: Column) -> Column:
+    """The trimmed message, with what is wrong before it if a module is missing."""
+    plain = F.regexp_replace(message, r"^\s+|\s+$", "")
+    missing = F.lit(False)
+    for part in MISSING_MODULE:
+        missing = missing | F.contains(F.lower(plain), F.lit(part))
+    return F.when(missing, F.concat(F.lit(MISSING_SAID), plain)).otherwise(plain)

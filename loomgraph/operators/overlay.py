@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomgraph.functions import paths as P
@@ -88,3 +91,32 @@ def symbol_results(effective: DataFrame, edges: DataFrame, limit: int) -> DataFr
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of each key the last row in order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+class StaleSource(Exception):
+    """The working tree or its head changed while the overlay was made."""
+
+
+def manifest_id(entries: DataFrame) -> str:
+    """A digest of path, present and sha of all entries, whatever their order: one row of sums leaves the executors."""
+    one = F.xxhash64("path", "present", "sha")
+    other = F.xxhash64(F.lit(1), "sha", "present", "path")
+    row = entries.agg(F.count(F.lit(1)), F.sum(one.cast("decimal(20,0)")), F.sum(other.cast("decimal(20,0)")), F.bit_xor(other)).first()
+    return hashlib.sha256(repr([str(v) for v in row]).encode()).hexdigest()
+
+
+def guarded(capture: Callable[[], DataFrame], build: Callable[[DataFrame], object], head: Callable[[], str | None], commit: str, attempts: int = 2):
+    """What ``build`` makes of a captured manifest, if neither the manifest nor the head has changed when it is done; else once more, ``attempts`` times in all."""
+    said = "no attempt"
+    for _ in range(attempts):
+        entries = capture()
+        before = manifest_id(entries)
+        made = build(entries)
+        after = manifest_id(capture())
+        if after != before:
+            said = f"manifest changed from {before} to {after}"
+        elif head() != commit:
+            said = "head changed during the analysis"
+        else:
+            return made
+    raise StaleSource(said)

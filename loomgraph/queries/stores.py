@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators.integrity import file_blobs
 from loomgraph.queries import query
 from loomgraph.storage import shared_dir
 from loomgraph.store import Store, catalog_scan as scanned
 
 
+def _sound(g):
+    """The projection as a candidate that may become active: edges between nodes, evidence once, unknown blobs left out."""
+    nodes = g.nodes.select("key")
+    edges = g.edges.join(nodes.withColumnRenamed("key", "source_key"), "source_key", "left_semi").join(nodes.withColumnRenamed("key", "target_key"), "target_key", "left_semi")
+    evidence = g.evidence.join(edges, ["source_key", "target_key", "kind"], "left_semi").dropDuplicates(["source_key", "target_key", "kind", "start_line", "end_line", "details"])
+    unknown = file_blobs(g).select("key", F.lit(1).alias("unknown"))
+    files = g.files.join(unknown, "key", "left").select("key", "path", F.when(F.col("unknown") == 1, "").otherwise(F.col("blob_sha")).alias("blob_sha"), "package_key")
+    return replace(g, edges=edges.select(*g.edges.columns), evidence=evidence.select(*g.evidence.columns), files=files)
+
+
 def _store(g) -> Store:
     return Store(g.spark, f"{shared_dir(g.spark)}/store-{uuid.uuid4().hex}")
 
@@ -19,7 +31,7 @@ def _store(g) -> Store:
 def open_view(g, table):
     """Writes the projection as a generation, activates it and reads it back pinned."""
     store = _store(g)
-    key, _ = store.ensure(lambda: g, "c1", "f1")
+    key, _ = store.ensure(lambda: _sound(g), "c1", "f1")
     return store.open_view(key).symbols.groupBy("kind").agg(F.count(F.lit(1)).alias("symbols"), F.max("end_line").alias("last_line"))
 
 
@@ -27,7 +39,7 @@ def open_view(g, table):
 def ensure_graph(g, table):
     """First build, reuse of the same commit and fingerprint, rebuild for another commit."""
     store = _store(g)
-    small = g
+    small = _sound(g)
     steps = [(k + 1, *reversed(store.ensure(lambda: small, commit, "f1"))) for k, commit in enumerate(("c1", "c1", "c2"))]
     return g.spark.createDataFrame(steps, "step int, mode string, generation long")
 
@@ -35,6 +47,23 @@ def ensure_graph(g, table):
 @query("SELECT * FROM (VALUES ('a', CAST(1 AS BIGINT), CAST(1 AS BIGINT), ''), ('b', CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 'no generations')) t(store, generations, active, issue)")
 def catalog_scan(g, table):
     a, b = _store(g), _store(g)
-    a.ensure(lambda: g, "c1", "f1")
+    a.ensure(lambda: _sound(g), "c1", "f1")
     rows = scanned(g.spark, [a.root, b.root])
     return rows.select(F.when(F.col("root") == a.root, "a").otherwise("b").alias("store"), "generations", "active", "issue")
+
+
+_DONE = "SELECT * FROM (VALUES ('failed', CAST(1 AS BIGINT)), ('loose', CAST(8 AS BIGINT)), ('orphans', CAST(0 AS BIGINT)), ('active', CAST(1 AS BIGINT)), ('unhealthy', CAST(0 AS BIGINT)), ('recovered', CAST(0 AS BIGINT))) t(what, n)"
+
+
+@query(f"SELECT what, n FROM ({_DONE}) UNION ALL SELECT 'symbols', count(*) FROM g_symbols")
+def store_recovery(g, table):
+    """A writer that died, repair, compaction, health and the quarantine of a store: how many of each."""
+    store = _store(g)
+    store.ensure(lambda: _sound(g), "c1", "f1")
+    store.write_generation(_sound(g), "c2", "f1")
+    done = store.repair()  # loose: four versions before the last, each a pointer and its data
+    store.compact()
+    done |= {"active": store.active(), "symbols": store.open_view().symbols.count(), "unhealthy": store.health().where("status <> 'ok'").count()}
+    store.recover()
+    done["recovered"] = store.control().count()
+    return g.spark.createDataFrame(list(done.items()), "what string, n long")

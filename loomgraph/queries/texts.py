@@ -167,3 +167,18 @@ def symbol_changes(g, table):
 @query("SELECT DISTINCT key FROM (SELECT new_key AS key FROM sym WHERE change IS NOT NULL UNION ALL SELECT old_key FROM sym WHERE change IN ('deleted', 'renamed')) WHERE key <> ''", **SYM)
 def change_seeds(g, table):
     return C.change_seeds(C.symbol_changes(table("x_old"), table("x_new")))
+
+
+_NAMES = "SELECT p_partkey, concat(CASE WHEN p_size % 5 = 0 THEN '' ELSE CAST(p_size - 3 AS STRING) END, CASE WHEN p_size % 7 = 0 THEN '-' ELSE '_' END, replace(p_name, ' ', '_'), '.sql') AS name FROM part"
+_SAID = "SELECT p_partkey, concat('  ', CASE p_size % 4 WHEN 0 THEN 'Could not import ' WHEN 1 THEN 'module lookup DISABLED: ' WHEN 2 THEN 'undefined: ' ELSE '' END, p_name, ' ') AS message FROM part"
+
+
+@query(f"SELECT name, CASE WHEN v > 0 THEN v END AS version, count(*) AS n FROM (SELECT name, TRY_CAST(regexp_extract(name, '^([0-9]+)_', 1) AS INT) AS v FROM ({_NAMES})) GROUP BY name, v")
+def migration_version(g, table):
+    names = g.spark.sql(_NAMES)
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", T.migration_version(F.col("name")).alias("version"), "n")
+
+
+@query(f"SELECT said, count(*) AS n FROM (SELECT concat(CASE WHEN lower(message) SIMILAR TO '.*(could not import|cannot find module|no required module provides package|module lookup disabled).*' THEN 'missing module dependency: ' ELSE '' END, trim(message)) AS said FROM ({_SAID})) GROUP BY said")
+def package_message(g, table):
+    return g.spark.sql(_SAID).select(T.package_message(F.col("message")).alias("said")).groupBy("said").agg(F.count(F.lit(1)).alias("n"))
