@@ -173,10 +173,10 @@ _NAMES = "SELECT p_partkey, concat(CASE WHEN p_size % 5 = 0 THEN '' ELSE CAST(p_
 _SAID = "SELECT p_partkey, concat('  ', CASE p_size % 4 WHEN 0 THEN 'Could not import ' WHEN 1 THEN 'module lookup DISABLED: ' WHEN 2 THEN 'undefined: ' ELSE '' END, p_name, ' ') AS message FROM part"
 
 
-@query(f"SELECT name, CASE WHEN v > 0 THEN v END AS version, count(*) AS n FROM (SELECT name, TRY_CAST(regexp_extract(name, '^([0-9]+)_', 1) AS INT) AS v FROM ({_NAMES})) GROUP BY name, v")
+@query(f"SELECT name, CAST(CASE WHEN v > 0 THEN v ELSE 0 END AS BIGINT) AS version, count(*) AS n FROM (SELECT name, TRY_CAST(regexp_extract(name, '^([0-9]+)_', 1) AS INT) AS v FROM ({_NAMES})) GROUP BY name, v")
 def migration_version(g, table):
     names = g.spark.sql(_NAMES)
-    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", T.migration_version(F.col("name")).alias("version"), "n")
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", F.coalesce(T.migration_version(F.col("name")), F.lit(0)).cast("long").alias("version"), "n")
 
 
 @query(f"SELECT said, count(*) AS n FROM (SELECT concat(CASE WHEN lower(message) SIMILAR TO '.*(could not import|cannot find module|no required module provides package|module lookup disabled).*' THEN 'missing module dependency: ' ELSE '' END, trim(message)) AS said FROM ({_SAID})) GROUP BY said")
