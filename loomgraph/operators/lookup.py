@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.projection import Graph
+from loomgraph.storage import cut
 
 SYMBOL = ("key", "kind", "package_key", "file_key", "name", "signature", "receiver", "path", "start_line", "end_line", "exported")
 #: Kinds of edges that a symbol's neighbourhood follows in both directions; references come in only.
@@ -52,13 +53,17 @@ def search_symbols(g: Graph, terms: list[str], limit: int = 256) -> DataFrame:
     return joined.withColumn("matched", matched).where("matched > 0").select(*SYMBOL, "matched").orderBy(F.desc("matched"), "package_key", "path", "start_line", "key").limit(min(limit, 2048))
 
 
+def _touching(g: Graph, keys: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """keys: node. Each node's edges of these kinds, once each: references by their target, all others by either end. One scan; each end is a row, so the join is by equality."""
+    edges = g.edges.where(F.col("kind").isin(*kinds)).select("source_key", "target_key", "kind", "confidence")
+    ends = F.when(F.col("kind") == "references", F.array("target_key")).otherwise(F.array_distinct(F.array("source_key", "target_key")))
+    found = edges.select(F.explode(ends).alias("node"), "*").join(keys.select("node"), "node", "left_semi")
+    return found.select("node", "source_key", "target_key", "kind", "confidence").distinct()
+
+
 def incident_edges(g: Graph, keys: DataFrame) -> DataFrame:
-    """keys: node. Each node's edges of the semantic kinds, from either side, a self-edge once. The union keeps either branch an equi-join."""
-    edges = g.edges.where(F.col("kind").isin(*SEMANTIC)).select("source_key", "target_key", "kind", "confidence")
-    nodes = keys.select("node").distinct()
-    out = edges.join(nodes.withColumnRenamed("node", "source_key"), "source_key").select(F.col("source_key").alias("node"), "source_key", "target_key", "kind", "confidence")
-    into = edges.join(nodes.withColumnRenamed("node", "target_key"), "target_key").select(F.col("target_key").alias("node"), "source_key", "target_key", "kind", "confidence")
-    return out.unionByName(into).distinct()
+    """keys: node. Each node's edges of the semantic kinds, from either side, a self-edge once."""
+    return _touching(g, keys, SEMANTIC)
 
 
 def incoming_references(g: Graph, keys: DataFrame) -> DataFrame:
@@ -71,22 +76,31 @@ EDGE = ["source_key", "target_key", "kind"]
 
 
 def with_first_evidence(g: Graph, edges: DataFrame) -> DataFrame:
-    """Edges with the lines of their evidence of the least id. Only evidence of these edges is aggregated."""
+    """Edges with the lines of their evidence of the least id. They are written, as they are read twice: only evidence of these edges is aggregated."""
+    edges = cut(edges, "found-edges")
     own = g.evidence.join(edges.select(*EDGE).distinct(), EDGE, "left_semi")
     place = F.struct("start_line", "end_line")
     first = own.groupBy(*EDGE).agg(F.min("evidence_id").alias("evidence_id"), F.min_by(place, "evidence_id").alias("e")).select(*EDGE, "evidence_id", "e.*")
     return edges.join(first, EDGE, "left")
 
 
+def with_evidence(g: Graph, edges: DataFrame) -> DataFrame:
+    """Edges with all their evidence, one row each. Other evidence is left out before the join, so that it isn't shuffled where there are few edges."""
+    own = g.evidence.select(*EDGE, "evidence_id", "start_line", "end_line").join(edges.select(*EDGE), EDGE, "left_semi")
+    return edges.join(own, EDGE, "left")
+
+
 def _capped(edges: DataFrame, order: list[str], limit: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("node").orderBy(*order))
     return edges.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
 def with_labels(g: Graph, rows: DataFrame) -> DataFrame:
-    """Adds path and package of either end: of a symbol its file and package, of a package itself, else nothing."""
+    """rows: a table, as it is read more than once. Adds path and package of either end: of a symbol its file and package, of a package itself, else nothing."""
+    ends = rows.select(F.explode(F.array("source_key", "target_key")).alias("key"))
+    known = g.symbols.select("key", "path", "package_key").join(ends, "key", "left_semi")
     for end in ("source", "target"):
-        own = g.symbols.select(F.col("key").alias(f"{end}_key"), F.col("path").alias("_p"), F.col("package_key").alias("_k"))
+        own = known.select(F.col("key").alias(f"{end}_key"), F.col("path").alias("_p"), F.col("package_key").alias("_k"))
         packages = g.packages.select(F.concat(F.lit("package:"), "key").alias(f"{end}_key"), F.col("directory").alias("_d"), F.col("key").alias("_o"))
         rows = rows.join(own, f"{end}_key", "left").join(packages, f"{end}_key", "left")
         rows = rows.withColumn(f"{end}_path", F.coalesce("_p", "_d", F.lit(""))).withColumn(f"{end}_package", F.coalesce("_k", "_o", F.lit(""))).drop("_p", "_k", "_d", "_o")
@@ -95,18 +109,16 @@ def with_labels(g: Graph, rows: DataFrame) -> DataFrame:
 
 def relationships_full(g: Graph, keys: DataFrame) -> DataFrame:
     """Every incident edge with every evidence, one row each; edges without evidence have one row of nulls."""
-    edges = with_labels(g, incident_edges(g, keys))
-    return edges.join(g.evidence.select("source_key", "target_key", "kind", "evidence_id", "start_line", "end_line"), ["source_key", "target_key", "kind"], "left")
+    return with_evidence(g, with_labels(g, cut(incident_edges(g, keys), "incident")))
 
 
 def relationships_bounded(g: Graph, keys: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` incident edges of each node by kind, source and target, then their first evidence: the cut is before the join that multiplies."""
-    return with_first_evidence(g, with_labels(g, _capped(incident_edges(g, keys), ["kind", "source_key", "target_key"], limit)))
+    return with_first_evidence(g, with_labels(g, cut(_capped(incident_edges(g, keys), ["kind", "source_key", "target_key"], limit), "capped")))
 
 
 def references_full(g: Graph, keys: DataFrame) -> DataFrame:
-    edges = incoming_references(g, keys)
-    return edges.join(g.evidence.select("source_key", "target_key", "kind", "evidence_id", "start_line", "end_line"), ["source_key", "target_key", "kind"], "left")
+    return with_evidence(g, cut(incoming_references(g, keys), "incoming"))
 
 
 def references_bounded(g: Graph, keys: DataFrame, limit: int) -> DataFrame:
@@ -116,8 +128,10 @@ def references_bounded(g: Graph, keys: DataFrame, limit: int) -> DataFrame:
 def bounded_neighborhood(g: Graph, keys: DataFrame, limit: int) -> DataFrame:
     """What a traversal sees of each node: bounded relationships and references, each once, numbered by kind, source, target and place."""
     columns = ("node", "source_key", "target_key", "kind", "confidence", "start_line", "end_line")
-    both = _capped(incident_edges(g, keys), ["kind", "source_key", "target_key"], limit).unionByName(_capped(incoming_references(g, keys), ["source_key"], limit))
-    once = with_first_evidence(g, both.distinct()).select(*columns)
+    # References have a limit of their own; within them the order is that of their sources.
+    each = Window.partitionBy("node", F.col("kind") == "references").orderBy("kind", "source_key", "target_key")
+    both = all_edges(g, keys).withColumn("_rank", F.row_number().over(each)).where(F.col("_rank") <= limit).drop("_rank")
+    once = with_first_evidence(g, both).select(*columns)
     order = Window.partitionBy("node").orderBy("kind", "source_key", "target_key", F.col("start_line").asc_nulls_first(), F.col("end_line").asc_nulls_first())
     return once.withColumn("rel_idx", (F.row_number().over(order) - 1).cast("long"))
 
@@ -134,7 +148,7 @@ def bucket(node: str = "node") -> Column:
 
 def all_edges(g: Graph, keys: DataFrame) -> DataFrame:
     """What a symbol's result is made of: its edges of the semantic kinds, and the references to it."""
-    return incident_edges(g, keys).unionByName(incoming_references(g, keys))
+    return _touching(g, keys, (*SEMANTIC, "references"))
 
 
 def symbol_buckets(g: Graph, keys: DataFrame) -> DataFrame:

@@ -105,7 +105,9 @@ class Traversal:
 
 
 def stored(g: Graph) -> Graph:
-    """The graph with what a traversal reads written once: edges of the kinds that it follows, evidence, symbols."""
+    """The graph with what a traversal reads written once, unless its relations are tables already: edges of the kinds that it follows, evidence, symbols."""
+    if g.written:
+        return g
     edges = g.edges.where(F.col("kind").isin(*SEMANTIC, "references")).select("source_key", "target_key", "kind", "confidence")
     evidence = g.evidence.select("source_key", "target_key", "kind", "evidence_id", "start_line", "end_line")
     history = [c for c in ("historical",) if c in g.symbols.columns]

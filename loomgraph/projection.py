@@ -6,6 +6,7 @@ Spark registers them as views on each other; another SQL engine can put them bef
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,8 +63,15 @@ SELECT concat('symbol:order/', CAST(l_orderkey AS STRING)) AS source_key,
        CAST(l_linenumber AS BIGINT) AS start_line, CAST(l_linenumber AS BIGINT) + CAST(l_quantity AS BIGINT) AS end_line, l_linestatus AS details
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "g_edges": """
-SELECT DISTINCT l.source_key, l.target_key, l.kind, l.confidence, f.package_key AS owner_package
-FROM g_lines l JOIN g_files f ON f.key = concat('file:customer/', CAST(l.custkey AS STRING))
+SELECT concat('symbol:order/', CAST(d.orderkey AS STRING)) AS source_key,
+       CASE WHEN d.kind = 'unresolved_call' THEN concat('unresolved:call:', CAST(d.orderkey AS STRING), ':', CAST(d.place AS STRING))
+            ELSE concat('symbol:part/', CAST(d.place AS STRING)) END AS target_key, d.kind, d.confidence, p.key AS owner_package
+FROM (SELECT DISTINCT l_orderkey AS orderkey, CASE WHEN l_returnflag = 'R' AND o_orderstatus = 'O' THEN CAST(l_linenumber AS BIGINT) ELSE CAST(l_partkey AS BIGINT) END AS place,
+             CASE WHEN l_returnflag = 'R' AND o_orderstatus = 'O' THEN 'unresolved_call' WHEN l_returnflag = 'R' THEN 'possible_call'
+                  WHEN l_returnflag = 'A' THEN 'references' WHEN o_orderstatus = 'P' THEN 'tests' ELSE 'calls' END AS kind,
+             CASE WHEN l_returnflag = 'R' THEN 'possible' WHEN l_returnflag = 'N' AND o_orderstatus = 'P' THEN 'inferred' ELSE 'exact' END AS confidence, c_nationkey AS nk
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) d
+JOIN g_packages p ON d.nk = p.nk
 UNION ALL
 SELECT concat('symbol:part/', CAST(a.p_partkey AS STRING)), concat('symbol:part/', CAST(b.p_partkey AS STRING)), 'implements', 'exact', ''
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name WHERE a.p_type NOT LIKE 'PROMO%' AND b.p_type LIKE 'PROMO%'
@@ -97,6 +105,9 @@ ORDER = ("g_packages", "g_files", "g_owners", "g_symbols", "g_nodes", "g_lines",
 class Graph:
     """The relations of one generation. Every operator takes this and nothing else of the store."""
 
+    #: Whether relations are tables, so that reading one again costs no joins.
+    written: ClassVar[bool] = False
+
     packages: DataFrame
     files: DataFrame
     symbols: DataFrame
@@ -126,6 +137,11 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(*(spark.table(f"g_{f.name}") for f in fields(Graph)))
 
 
+def whole(g) -> Graph:
+    """A graph of any kind with all its relations named."""
+    return Graph(*(getattr(g, f.name) for f in fields(Graph)))
+
+
 def oracle(sql: str, *more: tuple[str, str]) -> str:
     """``sql`` with the projection, and further named texts, before it."""
     parts = [(name, RELATIONS[name]) for name in ORDER] + list(more)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import integrity as I, lookup as L
+from loomgraph.projection import whole
 from loomgraph.queries import query
 
 NAME, FILE, TERMS, CAP = "small_ring", "supplier/1.go", ["ring", "brand#1", "promo"], 32
@@ -222,6 +223,7 @@ def equal_analysis(g, table):
     """A graph against itself, dealt out anew."""
     import dataclasses
 
+    g = whole(g)
     other = dataclasses.replace(g, **{f.name: getattr(g, f.name).repartition(3) for f in dataclasses.fields(g)})
     return I.equal_analysis(g, other)
 

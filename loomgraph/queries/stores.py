@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from loomgraph.operators.integrity import file_blobs
+from loomgraph.projection import whole
 from loomgraph.queries import query
 from loomgraph.storage import shared_dir
 from loomgraph.store import Store, catalog_scan as scanned
@@ -20,7 +21,7 @@ def _sound(g):
     evidence = g.evidence.join(edges, ["source_key", "target_key", "kind"], "left_semi").dropDuplicates(["source_key", "target_key", "kind", "start_line", "end_line", "details"])
     unknown = file_blobs(g).select("key", F.lit(1).alias("unknown"))
     files = g.files.join(unknown, "key", "left").select("key", "path", F.when(F.col("unknown") == 1, "").otherwise(F.col("blob_sha")).alias("blob_sha"), "package_key")
-    return replace(g, edges=edges.select(*g.edges.columns), evidence=evidence.select(*g.evidence.columns), files=files)
+    return replace(whole(g), edges=edges.select(*g.edges.columns), evidence=evidence.select(*g.evidence.columns), files=files)
 
 
 def _store(g) -> Store:
