@@ -36,6 +36,8 @@ MAP_BLOCK = 1 << 20
 SLICE = 1 << 18
 CHUNK = 2 << 20
 MOST = 12_000
+#: Integer keys of the suffix sort stay below this.
+WIDEST = 1 << 63
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -92,49 +94,78 @@ def _slices(batch, text: int):
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, int]:
     """Dense ranks from 1, and their number."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     own = key[order]
-    rank = np.empty(len(key), np.int64)
-    step = np.concatenate([[1], (own[1:] != own[:-1]).astype(np.int64)]) if len(key) else np.zeros(0, np.int64)
-    rank[order] = np.cumsum(step)
-    return rank, int(step.sum())
+    step = np.ones(len(key), np.int32)
+    step[1:] = own[1:] != own[:-1]
+    del own
+    np.cumsum(step, out=step)
+    rank = np.empty(len(key), np.int32)
+    rank[order] = step
+    return rank, int(step[-1]) if len(step) else 0
+
+
+def _paired(a: np.ndarray, b: np.ndarray, b_end: int) -> np.ndarray:
+    """Orders pairs of integers; those of ``b`` are below ``b_end``."""
+    out = a.astype(np.int64)
+    out *= b_end
+    out += b
+    return out
 
 
-def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Orders pairs of integers below 2 ** 31."""
-    return (a << 32) | b
+def _doubled(s: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
+    """Orders the pairs of adjacent integers of ``s`` at ``at``."""
+    return _paired(s[at], s[at + 1], end)
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
-    """The places of ``s`` (integers from 1) in the order of their suffixes."""
+    """The places of ``s`` (integers from 1) in the order of their suffixes.
+
+    Places and ranks are 32-bit and what isn't needed any more goes at once: a task sorts contexts of megabytes.
+    """
     n = len(s)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    padded = np.concatenate([s, np.zeros(3, s.dtype)])
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    # The triples' names: pairs first, so that a key is never wider than 64 bits.
-    pair, _ = _ranked(_paired(padded[sample], padded[sample + 1]))
-    name, distinct = _ranked(_paired(pair, padded[sample + 2]))
-    order = np.argsort(name, kind="stable") if distinct == len(sample) else suffix_order(name)
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int32)
+    end = int(s.max()) + 1
+    padded = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int32, copy=False)
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, np.int32), np.arange(2, n, 3, np.int32)])
+    # The triples' names: pairs first where a key would be wider than 64 bits.
+    name, high = _doubled(padded, sample, end), end * end
+    if high * end >= WIDEST:
+        name, high = _ranked(name)
+    name, distinct = _ranked(_paired(name, padded[sample + 2], end))
+    if distinct == len(sample):
+        order = np.empty(len(sample), np.int32)
+        order[name - 1] = np.arange(len(sample), dtype=np.int32)
+    else:
+        order = suffix_order(name)
+    del name
     sorted_ = sample[order]
+    del sample, order
+    rank = np.zeros(n + 3, np.int32)
+    rank[sorted_] = np.arange(1, len(sorted_) + 1, dtype=np.int32)
     sorted_ = sorted_[sorted_ < n]
-    zero = np.arange(0, n, 3)
-    key = _paired(padded[zero], rank[zero + 1])
-    zero = zero[np.argsort(key, kind="stable")]
+    zero, ranks = np.arange(0, n, 3, np.int32), n + 3
+    key = _paired(padded[zero], rank[zero + 1], ranks)
+    order = np.argsort(key)
+    zero, key = zero[order], key[order]
+    del order
     # How many suffixes of either kind in the sample go before each remaining one.
-    first, second = sorted_[sorted_ % 3 == 1], sorted_[sorted_ % 3 == 2]
-    before = np.searchsorted(_paired(padded[first], rank[first + 1]), _paired(padded[zero], rank[zero + 1]))
-    both = np.concatenate([second, zero])
-    pair, _ = _ranked(_paired(padded[both], padded[both + 1]))
-    before = before + np.searchsorted(_paired(pair[: len(second)], rank[second + 2]), _paired(pair[len(second) :], rank[zero + 2]))
-    out = np.empty(n, np.int64)
-    at = before + np.arange(len(zero))
+    part = sorted_[sorted_ % 3 == 1]
+    before = np.searchsorted(_paired(padded[part], rank[part + 1], ranks), key)
+    del key
+    part = sorted_[sorted_ % 3 == 2]
+    pair, other, high = _doubled(padded, part, end), _doubled(padded, zero, end), end * end
+    if high * ranks >= WIDEST:
+        pair = _ranked(np.concatenate([pair, other]))[0]
+        pair, other = pair[: len(part)], pair[len(part) :]
+    before += np.searchsorted(_paired(pair, rank[part + 2], ranks), _paired(other, rank[zero + 2], ranks))
+    del pair, other, part, padded, rank
+    before += np.arange(len(zero))
+    out = np.empty(n, np.int32)
     rest = np.ones(n, bool)
-    rest[at] = False
-    out[at] = zero
+    rest[before] = False
+    out[before] = zero
     out[rest] = sorted_
     return out
 
@@ -144,13 +175,17 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
     sizes = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     start = np.cumsum(sizes + 1) - sizes - 1
-    symbols = data.astype(np.int64) + 2
+    symbols = data.astype(np.int32) + 2
     symbols[start + sizes] = 1
     windows = np.maximum(sizes - length + 1, 0)
-    valid = np.zeros(len(data), bool)
-    owner = np.repeat(start, windows) + (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
-    valid[owner] = True
+    edges = np.zeros(len(data) + 1, np.int8)
+    some = windows > 0
+    edges[start[some]] = 1
+    edges[(start + windows)[some]] = -1
+    valid = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+    del edges
     order = suffix_order(symbols)
+    del symbols
     order = order[valid[order]]
     found = np.zeros(len(data), bool)
     if len(order) > 1:

@@ -244,6 +244,26 @@ def test_suffix_order():
             assert suffix_dedup.suffix_order(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
+def test_suffix_order_of_wide_keys(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "WIDEST", 1)
+    rng = np.random.default_rng(2)
+    for n in (3, 4, 5, 100, 301):
+        for m in (2, 50, 10**6):
+            s = rng.integers(1, m, n).astype(np.int64)
+            assert suffix_dedup.suffix_order(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+
+
+def test_suffix_sort_takes_little_memory():
+    import tracemalloc
+
+    contexts = [(prose(k % 50, 60) + prose(k, 60)).encode()[:300] for k in range(2000)]
+    tracemalloc.start()
+    suffix_dedup.repeated_windows(contexts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * sum(map(len, contexts))
+
+
 def test_mixing_equals_its_sql(docs, tmp_path):
     docs.select("doc_id", "text", "source").toPandas().to_parquet(f"{tmp_path}/d.parquet")
     con = duckdb.connect()
