@@ -10,6 +10,8 @@ from loomgraph.functions.paths import escapes
 from loomgraph.projection import Graph
 
 ERROR, WARNING, OK = "error", "warning", "ok"
+#: Parts that graphs are compared by.
+BUCKETS = 4096
 
 
 def _lacks(rows: DataFrame, key: str, known: DataFrame, column: str, skip_empty: bool = False) -> DataFrame:
@@ -151,20 +153,55 @@ def validate_references(g: Graph) -> DataFrame:
     return reduce(DataFrame.unionByName, [*rows, said(evidence_edges(g), "evidence-edge", edge)])
 
 
+def _diagnosed(diagnostics: DataFrame) -> DataFrame:
+    unknown = ~F.coalesce(F.col("severity"), F.lit("")).isin(*SEVERITIES)
+    return _flagged(diagnostics, ("code", "message"), ("diagnostic", unknown | _blank("code") | _blank("message")), ("diagnostic-error", F.col("severity") == ERROR))
+
+
 def validate_analysis(g: Graph, diagnostics: DataFrame | None = None) -> DataFrame:
     """All violations of a candidate; it is valid if there are none. diagnostics: severity, code, message of the analysis, none of which may be an error."""
     rows = validate_fields(g).unionByName(validate_uniqueness(g)).unionByName(validate_references(g))
     if diagnostics is None:
         return rows
-    unknown = ~F.coalesce(F.col("severity"), F.lit("")).isin(*SEVERITIES)
-    return rows.unionByName(_flagged(diagnostics, ("code", "message"), ("diagnostic", unknown | _blank("code") | _blank("message")), ("diagnostic-error", F.col("severity") == ERROR)))
+    return rows.unionByName(_diagnosed(diagnostics))
+
+
+def _hashes(*columns: Column) -> list[Column]:
+    """128 bits of the values of columns, as two 64-bit hashes a and b; equal values, nulls included, have equal ones."""
+    marked = [x for c in columns for x in (c.isNull(), c)]  # a hash passes over nulls
+    return [F.xxhash64(F.lit(salt), *marked).alias(name) for salt, name in ((1, "a"), (2, "b"))]
+
+
+def _rows(x: DataFrame, y: DataFrame) -> DataFrame:
+    """The rows of both with side 1 and -1, by place as in exceptAll, and the bucket and the 128-bit hash of each."""
+    names = [f"c{k}" for k in range(len(x.columns))]
+    both = x.toDF(*names).withColumn("side", F.lit(1)).union(y.toDF(*names).withColumn("side", F.lit(-1)))
+    return both.select("*", *_hashes(*[F.col(c) for c in names])).withColumn("bucket", F.pmod("a", F.lit(BUCKETS)))
+
+
+def _unequal(rows: DataFrame) -> DataFrame:
+    """Buckets whose rows differ: the number of rows or the sum of either half of a hash."""
+    halves = [h for c in ("a", "b") for h in (F.col(c).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(c, 32))]
+    sums = [F.sum(F.col("side") * h).alias(f"s{k}") for k, h in enumerate([F.lit(1), *halves])]
+    return rows.groupBy("bucket").agg(*sums).where(" or ".join(f"s{k} <> 0" for k in range(len(sums)))).select("bucket")
 
 
 def equal_analysis(a: Graph, b: Graph) -> DataFrame:
-    """A row for each relation: rows of either side that the other lacks, as multisets. Equal graphs have zeros only."""
-    rows = []
-    for name in ("packages", "files", "symbols", "nodes", "edges", "evidence", "dependencies", "tests", "blobs"):
-        x, y = getattr(a, name), getattr(b, name)
-        only = x.exceptAll(y).agg(F.count(F.lit(1)).alias("only_left")).crossJoin(y.exceptAll(x).agg(F.count(F.lit(1)).alias("only_right")))
-        rows.append(only.select(F.lit(name).alias("relation"), "only_left", "only_right"))
-    return reduce(DataFrame.unionByName, rows)
+    """A row for each relation: rows of either side that the other lacks, as multisets. Equal graphs have zeros only.
+
+    Both sides are first summed up by bucket, by the 128-bit hashes of their rows, without moving rows; the rows of buckets whose sums differ are compared themselves.
+    """
+    names = ("packages", "files", "symbols", "nodes", "edges", "evidence", "dependencies", "tests", "blobs")
+    rows = {name: _rows(getattr(a, name), getattr(b, name)) for name in names}
+    found = reduce(DataFrame.unionByName, [_unequal(r).select(F.lit(n).alias("relation"), "bucket") for n, r in rows.items()]).collect()
+    buckets: dict[str, list[int]] = {}
+    for r in found:
+        buckets.setdefault(r["relation"], []).append(r["bucket"])
+    spark, schema = a.spark, "relation string, only_left long, only_right long"
+    out = [spark.createDataFrame([(n, 0, 0) for n in names if n not in buckets], schema)]
+    for name, numbers in buckets.items():
+        own = rows[name].where(F.col("bucket").isin(numbers))
+        left = own.groupBy(*[c for c in own.columns if c not in ("side", "a", "b", "bucket")]).agg(F.sum("side").alias("left"))
+        count = lambda side: F.coalesce(F.sum(F.greatest(F.lit(0), F.col("left") * side)), F.lit(0)).cast("long")
+        out.append(left.agg(count(1).alias("only_left"), count(-1).alias("only_right")).select(F.lit(name).alias("relation"), "only_left", "only_right"))
+    return reduce(DataFrame.unionByName, out)

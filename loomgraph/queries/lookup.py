@@ -224,7 +224,7 @@ def equal_analysis(g, table):
     import dataclasses
 
     g = whole(g)
-    other = dataclasses.replace(g, **{f.name: getattr(g, f.name).repartition(3) for f in dataclasses.fields(g)})
+    other = dataclasses.replace(g, **{f.name: getattr(g, f.name).coalesce(max(3, g.spark.sparkContext.defaultParallelism - 1)) for f in dataclasses.fields(g)})
     return I.equal_analysis(g, other)
 
 

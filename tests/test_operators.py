@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths as P, text as T
-from loomgraph.operators import build as B, changes as C, lookup as L, overlay as O
+from loomgraph.operators import build as B, changes as C, integrity as I, lookup as L, overlay as O
 from loomgraph.plans import impact as M
 from loomgraph.projection import Graph, graph
 from loomgraph.sources.listing import parse_status
@@ -249,3 +249,19 @@ def test_lifecycle_stream(spark, tmp_path):
     q = state_stream(events).writeStream.outputMode("append").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["generation_id"], r["last_action"], r["events"]) for r in spark.table("states").collect()] == [(1, "activate", 2)]
+
+
+def test_equal_graphs_move_no_rows_and_others_are_counted(spark):
+    from dataclasses import replace
+
+    g = make(spark, [("a", "function", "p", "a", "f.go")], [("a", "a", "calls", "exact")])
+    same = I.equal_analysis(g, replace(g, edges=g.edges.coalesce(1)))
+    assert "Exchange" not in same._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[1:] for r in same.collect()} == {(0, 0)} and same.count() == 9
+    schema = "source_key string, target_key string, kind string, confidence string, owner_package string"
+    left = [("a", None, "k", "x", "")] * 3 + [(None, "a", "k", "x", ""), ("b", "", "k", "x", ""), ("same", "s", "k", "x", "")]
+    right = [("a", None, "k", "x", ""), ("same", "s", "k", "x", ""), ("same", "s", "k", "x", ""), ("b", None, "k", "x", "")]
+    x, y = (replace(g, edges=spark.createDataFrame(rows, schema)) for rows in (left, right))
+    got = {r["relation"]: (r["only_left"], r["only_right"]) for r in I.equal_analysis(x, y).collect()}
+    assert got["edges"] == (x.edges.exceptAll(y.edges).count(), y.edges.exceptAll(x.edges).count()) == (4, 2)
+    assert sum(a + b for a, b in got.values()) == 6
