@@ -101,7 +101,7 @@ def _unknown(column: str) -> Column:
 def _flagged(df: DataFrame, subject: tuple[str, ...], *rules: tuple[str, Column]) -> DataFrame:
     """A row for each rule that a record breaks; one scan for all rules of a relation."""
     broken = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules]))
-    return df.select(F.explode(broken).alias("rule"), F.concat_ws("|", *subject).alias("subject"))
+    return df.where(reduce(Column.__or__, [cond for _, cond in rules])).select(F.explode(broken).alias("rule"), F.concat_ws("|", *subject).alias("subject"))
 
 
 def _repeated(df: DataFrame, rule: str, *keys: str) -> DataFrame:
@@ -172,6 +172,44 @@ def _hashes(*columns: Column) -> list[Column]:
     return [F.xxhash64(F.lit(salt), *marked).alias(name) for salt, name in ((1, "a"), (2, "b"))]
 
 
+def _sieved(df: DataFrame, space: str, *keys: str, unique: bool = True, known: bool = True, asked: bool = False) -> DataFrame:
+    return df.select(*_hashes(F.lit(space), *[F.col(k) for k in keys]), F.lit(int(unique)).alias("places"), F.lit(int(known)).alias("known"), F.lit(int(asked)).alias("asked"))
+
+
+def may_break(g: Graph, diagnostics: DataFrame | None = None) -> bool:
+    """Whether a rule of ``validate_analysis`` may be broken; false: none is.
+
+    All keys and all references to them are counted by 128-bit hashes in one aggregate, and edges with their evidence in another, so
+    that no record is joined as a whole. Equal keys have equal hashes, so none is overlooked that stands twice; a
+    reference to nothing is overlooked only if its hash is that of a key.
+    """
+    none = {"unique": False, "known": False, "asked": True}
+    owned = g.nodes.where("owned = 1")
+    inside = g.dependencies.where(~F.coalesce(F.col("target_package"), F.lit("")).startswith("external:package:"))
+    asks = lambda df, space, key, skip: _sieved(df.where(F.col(key) != "") if skip else df, space, key, **none)
+    keys = reduce(DataFrame.unionByName, [
+        *(_sieved(getattr(g, name), name, "key") for name in ("packages", "files", "symbols", "nodes")), _sieved(g.files, "paths", "path"), _sieved(g.blobs, "blobs", "sha"),
+        _sieved(g.dependencies, "dependencies", "source_package", "target_package"), _sieved(g.tests, "tests", "test_key", "target_key"),
+        _sieved(g.symbols, "testable", "key", unique=False), _sieved(g.nodes.where("kind = 'package'"), "testable", "key", unique=False),
+        *(asks(df, "packages", key, skip) for df, key, skip in ((g.files, "package_key", True), (g.symbols, "package_key", False), (owned, "package_key", True), (g.edges, "owner_package", True), (g.dependencies, "source_package", False), (inside, "target_package", False))),
+        *(asks(df, "files", "file_key", skip) for df, skip in ((g.symbols, False), (owned, True))), asks(owned, "symbols", "symbol_key", True), asks(g.tests, "symbols", "test_key", False),
+        asks(g.files, "blobs", "blob_sha", True), asks(g.edges, "nodes", "source_key", False), asks(g.edges, "nodes", "target_key", False), asks(g.tests, "testable", "target_key", False),
+    ])
+    said = [validate_fields(g)] if diagnostics is None else [validate_fields(g), _diagnosed(diagnostics)]
+    return any(not x.isEmpty() for x in (*said, _wrong(keys))) or evidence_may_break(g.edges, g.evidence)
+
+
+def _wrong(sieved: DataFrame) -> DataFrame:
+    return sieved.groupBy("a", "b").agg(F.sum("places").alias("places"), F.max("known").alias("known"), F.max("asked").alias("asked")).where("places > 1 or asked > known")
+
+
+def evidence_may_break(edges: DataFrame, evidence: DataFrame) -> bool:
+    """Whether an edge or an evidence may stand twice, or an evidence be of no edge; false: none does."""
+    edge = ("source_key", "target_key", "kind")
+    parts = [_sieved(edges, "edges", *edge), _sieved(evidence, "edges", *edge, unique=False, known=False, asked=True), _sieved(evidence, "evidence", *edge, "start_line", "end_line", "details")]
+    return not _wrong(reduce(DataFrame.unionByName, parts).repartition("a", "b")).isEmpty()  # nearly all differ: dealt out before they are counted
+
+
 def _rows(x: DataFrame, y: DataFrame) -> DataFrame:
     """The rows of both with side 1 and -1, by place as in exceptAll, and the bucket and the 128-bit hash of each."""
     names = [f"c{k}" for k in range(len(x.columns))]

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators.integrity import file_blobs
+from loomgraph.operators.integrity import evidence_may_break, file_blobs
 from loomgraph.projection import whole
 from loomgraph.queries import query
 from loomgraph.storage import shared_dir
@@ -17,11 +17,20 @@ from loomgraph.store import Store, catalog_scan as scanned
 def _sound(g):
     """The projection as a candidate that may become active: edges between nodes, evidence once, unknown blobs left out."""
     nodes = g.nodes.select("key")
-    edges = g.edges.join(nodes.withColumnRenamed("key", "source_key"), "source_key", "left_semi").join(nodes.withColumnRenamed("key", "target_key"), "target_key", "left_semi")
-    evidence = g.evidence.join(edges, ["source_key", "target_key", "kind"], "left_semi").dropDuplicates(["source_key", "target_key", "kind", "start_line", "end_line", "details"])
+    # Few kinds have ends that are no nodes; edges of the others need no joins.
+    ends = g.edges.select("kind", F.col("source_key").alias("key")).distinct().unionByName(g.edges.select("kind", F.col("target_key").alias("key")).distinct())
+    loose = F.coalesce(F.col("kind"), F.lit("")).isin([r["kind"] or "" for r in ends.join(nodes, "key", "left_anti").select("kind").distinct().collect()])
+    found = g.edges.where(loose).join(nodes.withColumnRenamed("key", "source_key"), "source_key", "left_semi").join(nodes.withColumnRenamed("key", "target_key"), "target_key", "left_semi")
+    edges = g.edges.where(~loose).unionByName(found)
+    # Likewise evidence of kinds whose edges all stay, if each has its edge and stands once.
+    shown = edges.join(F.broadcast(g.evidence.select("kind").distinct()), "kind", "left_semi")
+    calm = not evidence_may_break(shown.where(~loose), g.evidence.where(~loose))
+    evidence = (g.evidence.where(loose) if calm else g.evidence).join(shown.where(loose) if calm else shown, ["source_key", "target_key", "kind"], "left_semi")
+    evidence = evidence.dropDuplicates(["source_key", "target_key", "kind", "start_line", "end_line", "details"]).select(*g.evidence.columns)
+    evidence = evidence.unionByName(g.evidence.where(~loose)) if calm else evidence
     unknown = file_blobs(g).select("key", F.lit(1).alias("unknown"))
     files = g.files.join(unknown, "key", "left").select("key", "path", F.when(F.col("unknown") == 1, "").otherwise(F.col("blob_sha")).alias("blob_sha"), "package_key")
-    return replace(whole(g), edges=edges.select(*g.edges.columns), evidence=evidence.select(*g.evidence.columns), files=files)
+    return replace(whole(g), edges=edges.select(*g.edges.columns), evidence=evidence, files=files)
 
 
 def _store(g) -> Store:
@@ -40,8 +49,8 @@ def open_view(g, table):
 def ensure_graph(g, table):
     """First build, reuse of the same commit and fingerprint, rebuild for another commit."""
     store = _store(g)
-    small = _sound(g)
-    steps = [(k + 1, *reversed(store.ensure(lambda: small, commit, "f1"))) for k, commit in enumerate(("c1", "c1", "c2"))]
+    build = lambda: _sound(g) if store.active() is None else store.open_view()  # noqa: E731  (the commits have the same graph)
+    steps = [(k + 1, *reversed(store.ensure(build, commit, "f1"))) for k, commit in enumerate(("c1", "c1", "c2"))]
     return g.spark.createDataFrame(steps, "step int, mode string, generation long")
 
 
@@ -61,7 +70,7 @@ def store_recovery(g, table):
     """A writer that died, repair, compaction, health and the quarantine of a store: how many of each."""
     store = _store(g)
     store.ensure(lambda: _sound(g), "c1", "f1")
-    store.write_generation(_sound(g), "c2", "f1")
+    store.write_generation(store.open_view(), "c2", "f1")
     done = store.repair()  # loose: four versions before the last, each a pointer and its data
     store.compact()
     done |= {"active": store.active(), "symbols": store.open_view().symbols.count(), "unhealthy": store.health().where("status <> 'ok'").count()}

@@ -11,7 +11,7 @@ from loomgraph.operators import build as B, changes as C, integrity as I, lookup
 from loomgraph.plans import impact as M
 from loomgraph.projection import Graph, graph
 from loomgraph.sources.listing import parse_status
-from loomgraph.store import StaleGeneration, Store, catalog_scan
+from loomgraph.store import InvalidGeneration, StaleGeneration, Store, catalog_scan
 
 
 def make(spark, symbols, edges, evidence=(), packages=(("p", "lib/p", "lib", "p", "p", 0),)):
@@ -265,3 +265,42 @@ def test_equal_graphs_move_no_rows_and_others_are_counted(spark):
     got = {r["relation"]: (r["only_left"], r["only_right"]) for r in I.equal_analysis(x, y).collect()}
     assert got["edges"] == (x.edges.exceptAll(y.edges).count(), y.edges.exceptAll(x.edges).count()) == (4, 2)
     assert sum(a + b for a, b in got.values()) == 6
+
+
+def test_sound_candidates_skip_the_full_rules(spark, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    from loomgraph import store as stores
+
+    calls, rules = [], I.validate_analysis
+    monkeypatch.setattr(stores, "validate_analysis", lambda *a: calls.append(1) or rules(*a))
+    g = make(spark, [("a", "function", "p", "a", "f.go")], [("a", "a", "calls", "exact")], [(1, "a", "a", "calls", "x", 1, 2, "")])
+    Store(spark, f"file://{tmp_path}/s").ensure(lambda: g, "c1", "f1")
+    assert not calls
+    wrong = {
+        "edges": [g.edges.unionByName(g.edges), g.edges.withColumn("target_key", F.lit("z")), g.edges.withColumn("confidence", F.lit("?"))],
+        "evidence": [g.evidence.unionByName(g.evidence), g.evidence.withColumn("kind", F.lit("tests"))],
+        "symbols": [g.symbols.withColumn("file_key", F.lit("z"))],
+        "blobs": [g.blobs.where("false")],
+    }
+    for name, frames in wrong.items():
+        for df in frames:
+            bad = replace(g, **{name: df})
+            assert I.may_break(bad)
+    with pytest.raises(InvalidGeneration):
+        Store(spark, f"file://{tmp_path}/t").ensure(lambda: replace(g, edges=g.edges.unionByName(g.edges)), "c1", "f1")
+    assert calls
+
+
+@pytest.mark.parametrize("name", ["ensure_graph", "store_recovery"])
+def test_stores_make_the_candidate_once(spark, sf, monkeypatch, name):
+    from loomgraph import catalogue
+    from loomgraph.queries import stores
+
+    scans, sound = [], stores._sound
+    monkeypatch.setattr(stores, "_sound", lambda g: scans.append(1) or sound(g))
+    write, sources = Store.write_generation, []
+    monkeypatch.setattr(Store, "write_generation", lambda self, g, *a: sources.append(g.edges.inputFiles()) or write(self, g, *a))
+    catalogue.QUERIES[name](spark, sf)
+    assert len(scans) == 1 and len(sources) == 2
+    assert all("/edges/generation_key=1/" in f for f in sources[1])
