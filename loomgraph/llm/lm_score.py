@@ -33,7 +33,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.common import SPACE, arrow_schema, cut, documents, flat_bytes, mixed, powers, ship, slices, text_of
+from loomgraph.llm.common import SPACE, arrow_schema, cut, documents, flat_bytes, lowered, mixed, powers, ship, slices, text_of, words as words_of
 
 #: Frequent words are the HEAD most frequent ones that stand twice at least and have no more than WORD_BYTES bytes.
 HEAD = 100_000
@@ -135,10 +135,14 @@ def averaged(parts: np.ndarray, gates: int, inputs: int) -> dict:
     weights, seen, refined = total[:a].reshape(gates, -1), total[a:b], total[b:].reshape(gates, CELLS, 2)
     weights = np.where(seen[:, None] > 0, weights / np.maximum(seen, 1e-9)[:, None], start_weights(gates, inputs))
     centre = squash(np.linspace(-8, 8, CELLS))
-    return {"weights": weights.astype(np.float32), "refined": ((refined[..., 1] + 20 * centre) / (refined.sum(axis=-1) + 20)).astype(np.float32)}
+    refined = (refined[..., 1] + 20 * centre) / (refined.sum(axis=-1) + 20)
+    low, rest = _cells(_LEVELS)
+    one = (squash(_LEVELS) + refined[:, low] * (1 - rest) + refined[:, low + 1] * rest) / 2
+    return {"weights": weights.astype(np.float32), "logs": np.log10(np.maximum(np.stack([1 - one, one], axis=-1), 1e-5)).astype(np.float32)}
 
 
-_LN10 = np.float32(1 / np.log(10))
+#: Mixed predictions are rounded to 128ths, so that what follows from them is read from a table.
+_LEVELS = np.linspace(-8, 8, 16 * 128 + 1)
 
 
 def mixed_log10(model: dict, st: list[np.ndarray], gate: np.ndarray, hit: np.ndarray) -> np.ndarray:
@@ -147,13 +151,14 @@ def mixed_log10(model: dict, st: list[np.ndarray], gate: np.ndarray, hit: np.nda
     x = weights[:, -1].copy().take(gate, mode="clip")
     for k, one in enumerate(st):
         x += one * weights[:, k].copy().take(gate, mode="clip")
-    x = np.clip(x, -8, 8)
-    low, rest = _cells(x)
-    flat, key = model["refined"].reshape(-1), gate * CELLS + low
-    a, b = flat.take(key, mode="clip"), flat.take(key + 1, mode="clip")
-    p = np.float32(0.5) * (squash(x) + a + (b - a) * rest)
-    p = np.where(hit, p, 1 - p)
-    return np.log(np.maximum(p, np.float32(1e-5))) * _LN10
+    x += np.float32(8)
+    x *= np.float32(128)
+    np.clip(np.rint(x, out=x), 0, len(_LEVELS) - 1, out=x)
+    gate *= len(_LEVELS)
+    gate += x.astype(np.int64)
+    gate *= 2
+    gate += hit
+    return model["logs"].reshape(-1).take(gate, mode="clip")
 
 
 # Tables of counts
@@ -269,9 +274,12 @@ def spell_bits(n_words: int) -> tuple[int, ...]:
 
 
 class Spelling:
-    """The flat bytes of words, each closed by a space, with their contexts' hashes."""
+    """The flat bytes of words, each closed by a space, with their contexts' hashes.
 
-    def __init__(self, words: list[bytes]):
+    once: bytes that follow the same bytes in several words stand once; place says which of them each byte of the words is.
+    """
+
+    def __init__(self, words: list[bytes], once: bool = False):
         self.data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         self.length = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.start = np.cumsum(self.length) - self.length
@@ -291,6 +299,14 @@ class Spelling:
             at = np.repeat(self.start, self.length)
             whole = (total[:n] - total[at]) * back[at]
             self.hashes.append(((whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32))
+            if once:
+                key = (total[1:] - total[at]) * back[at]
+                order = np.argsort(key)
+                new = np.concatenate([[True], np.diff(key[order]) != 0])
+                self.place = np.empty(n, np.int64)
+                self.place[order] = np.cumsum(new) - 1
+                kept = order[new]
+                self.data, self.hashes = self.data[kept], [x[kept] for x in self.hashes]
 
     def slots(self, bit: int, bits: tuple[int, ...]) -> list[np.ndarray]:
         """Of each predictor: the slot that the bit's context and the byte's higher bits lead to."""
@@ -327,8 +343,8 @@ def _spell_counted(batches, bits: tuple[int, ...], shard: int):
     for batch in batches:
         words, counts = batch.column(0).to_pylist(), np.minimum(batch.column(1).to_numpy(), 1 << 24).astype(np.uint32)
         for lo, hi in _batches_of_words(words, 1 << 20):
-            s = Spelling(words[lo:hi])
-            weight = np.repeat(counts[lo:hi], s.length)
+            s = Spelling(words[lo:hi], once=True)
+            weight = np.bincount(s.place, np.repeat(counts[lo:hi], s.length)).astype(np.uint32)
             for bit in range(8):
                 right = s.bits(bit)
                 for table, slot in zip(tables, s.slots(bit, bits), strict=True):
@@ -358,13 +374,13 @@ def word_scores(model: dict, words: list[bytes]) -> np.ndarray:
     """log10 of each word's probability by its spelling."""
     if not words:
         return np.zeros(0)
-    s = Spelling(words)
+    s = Spelling(words, once=True)
     total = np.zeros(len(s.data))
     sizes = tuple(len(table).bit_length() - 1 for table in model["stretch"])
     for bit in range(8):
         st = [table.take(slot.astype(np.int64), mode="clip") for table, slot in zip(model["stretch"], s.slots(bit, sizes), strict=True)]
         total += mixed_log10(model, [value_of(v) for v in st], _spell_gate(bit, *(v & 7 for v in st[3:])), s.bits(bit))
-    return np.add.reduceat(total, s.start)
+    return np.add.reduceat(total[s.place], s.start)
 
 
 # Tokens
@@ -401,7 +417,12 @@ class Code:
         nodes, self.bits = nodes[here], bits[here]
         # Four bits in a row share a page of 16 neighbouring slots: its hash, with the place in the page in the lowest four bits.
         entry = np.arange(len(nodes))
-        deep = (entry - np.repeat(self.start, self.length)) % 4
+        deep = entry - np.repeat(self.start, self.length)
+        # Paths as binary fractions, by which tokens are sorted: the first 64 bits.
+        self.path = np.bitwise_or.reduceat(np.where(deep < 64, self.bits.astype(np.uint64) << (63 - np.minimum(deep, 63)).astype(np.uint64), np.uint64(0)), self.start)
+        self.rank = np.empty(n, np.int64)
+        self.rank[np.argsort(self.path, kind="stable")] = np.arange(n)
+        deep %= 4
         slot = np.ones(len(nodes), np.uint32)
         for j in (3, 2, 1):
             slot = np.where(deep >= j, 2 * slot + self.bits[np.maximum(entry - j, 0)].astype(np.uint32), slot)
@@ -417,9 +438,9 @@ class Code:
         group, share = counts.sum(axis=0), total / total.sum()
         self.logs = np.log(0.95 * np.where(group > 0, counts / np.maximum(group, 1), share[:, None]) + 0.05 * share[:, None])
         self.prior = np.log(group + 1.0)
-
-    def place(self) -> dict[bytes, int]:
-        return {w: k + 2 for k, w in enumerate(self.words)}
+        # Groups without texts are all alike; two of them tell as much as all do.
+        keep = np.sort(np.concatenate([np.flatnonzero(group > 0), np.flatnonzero(group == 0)[:2]]))
+        self.kept, self.kept_logs = keep, np.ascontiguousarray(self.logs[:, keep])
 
 
 def pieces_of(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -436,56 +457,141 @@ def pieces_of(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         lo = hi
 
 
-def ids_of(raw: bytes, place: dict[bytes, int], rare: Counter | None = None) -> np.ndarray:
-    """The symbols of a text's tokens, the end last. rare: counts the words that have none."""
-    parts = []
-    for piece in pieces_of(raw):
-        words = piece.lower().split()
-        own = np.array([place.get(w, 1) for w in words], np.int32)
-        if rare is not None:
-            rare.update([words[k] for k in np.flatnonzero(own == 1).tolist()])
-        parts.append(own)
-    parts.append(np.zeros(1, np.int32))
-    return np.concatenate(parts)
+#: Texts that are longer than this alone are taken by parts.
+LONG = 1 << 23
+
+
+def parts_of(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts as they are, or one very long one in parts: first text, last text + 1, flat bytes, offsets."""
+    if len(at) > 2 or len(data) <= LONG:
+        yield 0, len(at) - 1, data, at
+    else:
+        for piece in pieces_of(data.tobytes()):
+            yield 0, 1, np.frombuffer(piece, np.uint8), np.array([0, len(piece)])
+
+
+def indexed(data: np.ndarray, at: np.ndarray) -> tuple:
+    """Of texts (flat bytes and their n + 1 offsets): each word's number, for each text the number of words before it (n + 1), and the different words."""
+    import pyarrow as pa
+
+    data = lowered(data)
+    start, end, first = words_of(data, at)
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[~SPACE[data]])]).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), first, found.dictionary
+
+
+def symbols_of(data: np.ndarray, at: np.ndarray, known) -> tuple:
+    """Of texts (flat bytes and their n + 1 offsets): the symbols of their tokens, each text's end last, and where texts begin; and of each
+    different word that has no symbol in each text that has it: the text, the word, how often. known: the words with symbols, as an Arrow array.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = len(at) - 1
+    index, first, words = indexed(data, at)
+    own = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(2)
+    text = np.repeat(np.arange(n), np.diff(first))
+    symbol = np.zeros(len(index) + n, np.int32)
+    rare = own == 1
+    symbol[np.arange(len(index)) + text] = own[index]
+    other = np.flatnonzero(rare[index])
+    key, times = np.unique(text[other] * max(1, len(own)) + index[other], return_counts=True)
+    text, word = np.divmod(key, max(1, len(own)))
+    return symbol, first[:-1] + np.arange(n), text, words.take(pa.array(word)), times
+
+
+def tokens_of(data: np.ndarray, at: np.ndarray, known) -> tuple:
+    """The same, of a very long text a part of it at a time."""
+    import pyarrow as pa
+
+    if len(at) > 2 or len(data) <= LONG:
+        return symbols_of(data, at, known)
+    symbols, rare = [], Counter()
+    for _, _, part, place in parts_of(data, at):
+        symbol, _, _, word, times = symbols_of(part, place, known)
+        symbols.append(symbol[:-1])
+        for w, c in zip(word.to_pylist(), times.tolist(), strict=True):
+            rare[w] += c
+    symbols.append(np.zeros(1, np.int32))
+    return np.concatenate(symbols), np.zeros(1, np.int64), np.zeros(len(rare), np.int64), pa.array(list(rare), pa.binary()), np.array(list(rare.values()), np.int64)
 
 
 def token_groups(code: Code, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of all tokens: 3 times the group that the text before it fits best, and 0 to 2 for how sure that is. starts: where texts begin (ascending, from 0)."""
-    n = len(symbol)
+    n, kept, logs = len(symbol), code.kept, code.kept_logs
     out = np.zeros(n, np.int64)
-    text = np.searchsorted(starts, np.arange(n), side="right") - 1
-    carry = np.zeros(code.logs.shape[1])
+    carry = np.zeros(len(kept))
     for lo in range(0, n, 1 << 14):
         hi = min(n, lo + (1 << 14))
-        own = code.logs[symbol[lo:hi]]
-        total = np.cumsum(own, axis=0) - own  # of the tokens before, in this window
-        heads = starts[(starts >= lo) & (starts < hi)] - lo
-        t = text[lo:hi] - text[lo]
-        base = np.concatenate([(-carry)[None] if not len(heads) or heads[0] else np.zeros((0, own.shape[1])), total[heads]])
-        total = total - base[t]
-        best = total + code.prior
-        row = np.arange(hi - lo)
-        first = best.argmax(axis=1)
-        top = best[row, first]
-        best[row, first] = -np.inf
-        gap = np.round(top - best.max(axis=1), 6)
-        out[lo:hi] = 3 * first + (gap >= 1) + (gap >= 4)
-        carry = total[-1] + own[-1]
+        own = logs.take(symbol[lo:hi], axis=0).T.copy()
+        total = np.cumsum(own, axis=1)
+        after = total[:, -1].copy()
+        total -= own  # of the tokens before, in this window
+        heads = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)] - lo
+        edge = np.concatenate([[0] if not len(heads) or heads[0] else [], heads, [hi - lo]]).astype(np.int64)
+        base = total[:, edge[:-1]] - code.prior[kept][:, None]
+        if len(edge) > len(heads) + 1:  # the window begins within a text
+            base[:, 0] -= carry
+        total -= np.repeat(base, np.diff(edge), axis=1)
+        top, second, first = total[0].copy(), np.full(hi - lo, -np.inf), np.zeros(hi - lo, np.int64)
+        for k in range(1, len(kept)):
+            first[total[k] > top + 1e-9] = k  # rounding errors, which depend on the texts before, don't decide
+            np.maximum(second, np.minimum(top, total[k]), out=second)
+            np.maximum(top, total[k], out=top)
+        gap = np.round(top - second, 6)
+        out[lo:hi] = 3 * kept[first] + (gap >= 1) + (gap >= 4)
+        carry = after - base[:, -1] - code.prior[kept]
     return out
 
 
+_M44, _S22 = np.uint64((1 << 44) - 1), np.uint64(22)
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """A bijection of 44-bit integers."""
+    with np.errstate(over="ignore"):
+        x = x * np.uint64(0x9E3779B97F5) & _M44
+        return (x ^ (x >> _S22)) * np.uint64(0xC2B2AE3D27D) & _M44
+
+
 def distinct(code: Code, symbol: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The different tokens in their contexts, in order of a hash: group, word before, symbol, how often each stands, and which of them each token is."""
+    """The different tokens in their contexts: group, word before, symbol, how often each stands, and which of them each token is.
+
+    Contexts are in order of a hash; those of one context in order of their paths, so that neighbours share bits.
+    """
     before = np.full(len(symbol), code.n, np.int64)
     before[1:] = symbol[:-1]
     before[starts] = code.n
     group = token_groups(code, symbol, starts)
-    with np.errstate(over="ignore"):
-        key = mixed((((group << 20) | before) << 20 | symbol).astype(np.uint64))
-    _, first, place, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    key = _scattered((group << 20 | before).astype(np.uint64)) << np.uint64(20) | code.rank[symbol].astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    at = np.flatnonzero(new)
+    first, times = order[at], np.diff(at, append=len(key))
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
     return group[first], before[first], symbol[first], times, place
 
 
+def in_blocks(n: int, size: int = 64) -> np.ndarray:
+    """0 .. n - 1, blocks of neighbours in order of a hash: what is learned from together is of many contexts."""
+    blocks = np.argsort(mixed(np.arange(1, -(-n // size) + 1, dtype=np.uint64)), kind="stable")
+    order = (blocks[:, None] * size + np.arange(size)).reshape(-1)
+    return order[order < n]
+
+
+def shared_bits(code: Code, group: np.ndarray, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Of tokens: how many first bits each has in common with the one before it; 0 where that stands in another context."""
+    out = np.zeros(len(symbol), np.int64)
+    path = code.path[symbol]
+    # A float of 53 bits may be rounded up to the next power of 2: then one bit less is shared.
+    same = 64 - np.frexp((path[1:] ^ path[:-1]).astype(np.float64))[1]
+    out[1:] = np.where((group[1:] == group[:-1]) & (before[1:] == before[:-1]), np.minimum(same, code.length[symbol[1:]] - 1), 0)
+    return out
+
+
 def contexts_of(code: Code, group: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
     """Each hashed predictor's context."""
     group, before, end = group.astype(np.uint32), before.astype(np.uint32), code.suffix[before]
@@ -505,10 +611,26 @@ def token_bits(n_tokens: int) -> tuple[int, ...]:
     return (min(MOST_BITS, max(LEAST_BITS, (2 * n_tokens).bit_length())),) * (TOKEN_INPUTS - 1)
 
 
-def events(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], bits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The bits of all tokens in order: how many of each token, their places in the code, the bits, and each hashed predictor's slots."""
-    times = code.length[symbol]
-    at = np.arange(int(times.sum())) + np.repeat(code.start[symbol] - (np.cumsum(times) - times), times)
+def events(code: Code, symbol: np.ndarray, shared: np.ndarray, contexts: list[np.ndarray], bits: tuple[int, ...]) -> tuple:
+    """The different bits of tokens, in order; bits that a token shares with the one before it stand there.
+
+    Returns the first bit of each token (of those that it doesn't share; each has one); of each bit its token, its place in the code, the bit;
+    each hashed predictor's slots; and the bits that tokens after theirs share: which bits, their tokens, and the first token that no longer shares it.
+    """
+    n, shared = len(symbol), shared.copy()
+    shared[0] = 0
+    times = code.length[symbol] - shared
+    first = np.cumsum(times) - times
+    token = np.repeat(np.arange(n), times)
+    at = (code.start[symbol] + shared - first).take(token)
+    at += np.arange(len(token))
+    after = (shared > np.arange(max(1, int(shared.max())))[:, None]).reshape(-1)
+    edge = np.append(np.flatnonzero(after[1:] != after[:-1]), len(after) - 1)  # row by row, a row begins with a token that shares nothing
+    begin, end = edge[0 : len(edge) // 2 * 2 : 2], edge[1::2] + 1
+    depth = begin // n
+    begin -= depth * n
+    end -= depth * n
+    wide = first[begin] + depth - shared[begin], begin, end
     slots = []
     with np.errstate(over="ignore"):
         node = code.nodes.take(at, mode="clip")
@@ -522,7 +644,21 @@ def events(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], bits: tup
             h <<= np.uint32(4)
             h |= place
             slots.append(h.astype(np.int64))
-    return times, at, code.bits.take(at, mode="clip"), slots
+    return first, token, at, code.bits.take(at, mode="clip"), slots, wide
+
+
+def _held(many: np.ndarray, token: np.ndarray, wide: tuple) -> np.ndarray:
+    """How often each bit stands, of how often its tokens do."""
+    out, total = many.take(token), np.concatenate([[0], np.cumsum(many)])
+    out[wide[0]] = total[wide[2]] - total[wide[1]]
+    return out
+
+
+def _totals(cost: np.ndarray, first: np.ndarray, wide: tuple) -> np.ndarray:
+    """Each token's sum over its bits, shared ones too."""
+    n, share = len(first), cost[wide[0]]
+    more = np.bincount(wide[1] + 1, share, n + 1) - np.bincount(wide[2], share, n + 1)
+    return np.add.reduceat(cost, first, dtype=np.float64) + np.cumsum(more)[:n]
 
 
 def _token_gate(sure: np.ndarray, one: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -537,14 +673,14 @@ def _windows(n: int) -> Iterator[slice]:
 def token_scores(model: dict, code: Code, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 of each text's probability, but for the spelling of words that have no symbol."""
     group, before, own, _, place = distinct(code, symbol, starts)
-    contexts, sure = contexts_of(code, group, before), group % 3 == 2
+    contexts, sure, shared = contexts_of(code, group, before), group % 3 == 2, shared_bits(code, group, before, own)
     sizes = tuple(len(table).bit_length() - 1 for table in model["stretch"])
     each = np.zeros(len(own))
     for w in _windows(len(own)):
-        times, at, hit, slots = events(code, own[w], [c[w] for c in contexts], sizes)
+        first, token, at, hit, slots, wide = events(code, own[w], shared[w], [c[w] for c in contexts], sizes)
         found = [table.take(slot, mode="clip") for table, slot in zip(model["stretch"], slots, strict=True)]
-        gate = _token_gate(np.repeat(sure[w], times), found[1] & 7, found[2] & 7)
-        each[w] = np.add.reduceat(mixed_log10(model, [code.plain.take(at, mode="clip"), *map(value_of, found)], gate, hit), np.cumsum(times) - times)
+        gate = _token_gate(sure[w].take(token), found[1] & 7, found[2] & 7)
+        each[w] = _totals(mixed_log10(model, [code.plain.take(at, mode="clip"), *map(value_of, found)], gate, hit), first, wide)
     return np.add.reduceat(each[place], starts)
 
 
@@ -553,10 +689,10 @@ def _token_counted(batches, code: Code, bits: tuple[int, ...], shard: int):
     tables = [np.zeros((1 << b, 2), np.uint32) for b in bits]
     for symbol, starts in _joined(batches):
         group, before, own, many, _ = distinct(code, symbol, starts)
-        contexts, many = contexts_of(code, group, before), many.astype(np.uint32)
+        contexts, shared = contexts_of(code, group, before), shared_bits(code, group, before, own)
         for w in _windows(len(own)):
-            times, _, hit, slots = events(code, own[w], [c[w] for c in contexts], bits)
-            value = np.repeat(many[w], times)
+            _, token, _, hit, slots, wide = events(code, own[w], shared[w], [c[w] for c in contexts], bits)
+            value = _held(many[w], token, wide).astype(np.uint32)
             for table, slot in zip(tables, slots, strict=True):
                 np.add.at(table.reshape(-1), 2 * slot + hit, value)
     yield from emitted(tables, shard)
@@ -566,16 +702,18 @@ def _token_learned(batches, code: Code, packed: list[np.ndarray], bits: tuple[in
     """ids of a shard's training texts, in order -> the shard's parts."""
     learner, tables = Learner(TOKEN_GATES, TOKEN_INPUTS), [without_itself(x) for x in packed]
     for symbol, starts in _joined(batches):
-        group, before, own, many, _ = distinct(code, symbol, starts)
-        contexts, sure, many = contexts_of(code, group, before), group % 3 == 2, many.astype(np.float32)
+        found = distinct(code, symbol, starts)[:4]
+        order = in_blocks(len(found[0]))
+        group, before, own, many = (x[order] for x in found)
+        contexts, sure, shared = contexts_of(code, group, before), group % 3 == 2, shared_bits(code, group, before, own)
         for w in _windows(len(own)):
-            times, at, hit, slots = events(code, own[w], [c[w] for c in contexts], bits)
+            _, token, at, hit, slots, wide = events(code, own[w], shared[w], [c[w] for c in contexts], bits)
             found = [table.take(2 * slot + hit, mode="clip") for table, slot in zip(tables, slots, strict=True)]
             x = np.ones((TOKEN_INPUTS + 1, len(at)), np.float32)
             x[0] = code.plain.take(at, mode="clip")
             for k, v in enumerate(found):
                 x[k + 1] = value_of(v)
-            learner.step(x, _token_gate(np.repeat(sure[w], times), found[1] & 7, found[2] & 7), hit, np.repeat(many[w], times))
+            learner.step(x, _token_gate(sure[w].take(token), found[1] & 7, found[2] & 7), hit, _held(many[w], token, wide).astype(np.float32))
     return learner.parts()
 
 
@@ -627,29 +765,21 @@ def vocabulary(rows: DataFrame, groups: dict) -> DataFrame:
     def counted(batches):
         import pyarrow as pa
 
-        seen: list[Counter] = [Counter() for _ in range(GROUPS)]
-
-        def flush():
-            for k, own in enumerate(seen):
-                yield pa.record_batch([pa.array(list(own), pa.binary()), pa.array([k] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["word", "own", "c"])
-                own.clear()
-
         for whole in batches:
-            for lo, hi, data, at in slices(whole, 1, 1 << 20):
-                raw, batch = data.tobytes(), whole.slice(lo, hi - lo)
-                for k, (doc_id, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    own, held = seen[groups.get(value, GROUPS - 1)], is_held_out(doc_id)
-                    for piece in pieces_of(raw[at[k] : at[k + 1]]):
-                        if held:
-                            for w in piece.lower().split():
-                                if w not in own:
-                                    own[w] = 0
-                        else:
-                            own.update(piece.lower().split())
-                    own[END] += not held
-                if sum(map(len, seen)) > 800_000:
-                    yield from flush()
-        yield from flush()
+            for lo, hi, data, at in slices(whole, 1, 1 << 23):
+                batch = whole.slice(lo, hi - lo)
+                held = [is_held_out(x) for x in batch.column(0).to_pylist()]
+                # Held-out texts are a group of their own, whose words count 0.
+                own = np.array([GROUPS if h else groups.get(x, GROUPS - 1) for h, x in zip(held, batch.column(2).to_pylist(), strict=True)], np.int64)
+                for a, b, part, place in parts_of(data, at):
+                    index, first, word = indexed(part, place)
+                    key = index * (GROUPS + 1) + np.repeat(own[a:b], np.diff(first))
+                    c = np.bincount(key, minlength=(GROUPS + 1) * len(word)).reshape(-1, GROUPS + 1)
+                    c[c[:, :GROUPS].any(axis=1), GROUPS] = 0
+                    k, g = np.nonzero(c)
+                    yield pa.record_batch([word.take(pa.array(k)), pa.array((g % GROUPS).astype(np.int32)), pa.array(np.where(g < GROUPS, c[k, g], 0))], ["word", "own", "c"])
+                ends = np.bincount(own, minlength=GROUPS + 1)[:GROUPS]
+                yield pa.record_batch([pa.array([END] * GROUPS, pa.binary()), pa.array(np.arange(GROUPS, dtype=np.int32)), pa.array(ends)], ["word", "own", "c"])
 
     found = rows.mapInArrow(counted, "word binary, own int, c long")
     return found.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("own") == k, F.col("c"))), F.lit(0)).alias(f"c{k}") for k in range(GROUPS)])
@@ -754,14 +884,14 @@ def fit_tokens(rows: DataFrame, code: Code, n_train: int) -> dict:
         import pyarrow as pa
         import xxhash
 
-        place = shared_code.value.place()
+        known = pa.array(shared_code.value.words, pa.binary())
         for whole in batches:
-            for lo, hi, data, at in slices(whole, 1, 1 << 20):
-                raw = data.tobytes()
+            for lo, hi, data, at in slices(whole, 1, 1 << 21):
+                symbol, starts, *_ = tokens_of(data, at, known)
                 ids, keys = [], []
-                for k, doc_id in enumerate(whole.column(0).slice(lo, hi - lo).to_pylist()):
+                for doc_id, own in zip(whole.column(0).slice(lo, hi - lo).to_pylist(), np.split(symbol, starts[1:]), strict=True):
                     if not is_held_out(doc_id):
-                        ids.append(packed_ids(ids_of(raw[at[k] : at[k + 1]], place)))
+                        ids.append(packed_ids(own))
                         keys.append(xxhash.xxh3_64_intdigest(ids[-1], doc_id & 0xFFFFFFFF) - (1 << 63))
                 keys = np.array(keys, np.int64)
                 yield pa.record_batch([pa.array(keys), pa.array(ids, pa.binary()), pa.array((keys % shards).astype(np.int32))], ["key", "ids", "shard"])
@@ -831,39 +961,30 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
         import xxhash
 
         code, model = shared.value
-        place, counts = code.place(), code.counts.sum(axis=1)
+        known, counts = pa.array(code.words, pa.binary()), code.counts.sum(axis=1)
         base = np.log10(counts + 0.1)
         base[1], has = 0, counts > 0
         has[1] = False
         for whole in batches:
             for lo, hi, data, at in slices(whole, 1, 1 << 22):
-                raw = data.tobytes()
-                out: list[list] = [[] for _ in kinds]
-                found, starts = [], []
-                size = 0
-                for k, one in enumerate(whole.column(0).slice(lo, hi - lo).to_pylist()):
-                    own = raw[at[k] : at[k + 1]]
-                    h = xxhash.xxh3_64_intdigest(own) - (1 << 63)
-                    others: Counter = Counter()
-                    ids = ids_of(own, place, others)
-                    found.append(ids)
-                    starts.append(size)
-                    size += len(ids)
-                    m = len(others)
-                    # The row's own line has a word that no vocabulary holds, another for each text.
-                    for x, v in zip(out, ([one] * (m + 1), [h] * (m + 1), [*others, b" " + h.to_bytes(8, "big", signed=True)], [*others.values(), 0], [0] * m + [len(ids)], [0] * m + [len(own)]), strict=False):
-                        x += v
-                    out[6] += [0] * m + [int(has[ids].sum())]
-                    out[7] += [0.0] * m + [float(base[ids].sum())]
-                    out[8] += [0.0] * m + [None]
-                if found:
-                    logs = iter(token_scores(model, code, np.concatenate(found), np.array(starts)).tolist())
-                    out[8] = [next(logs) if x is None else x for x in out[8]]
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
+                raw, doc_id = data.tobytes(), whole.column(0).slice(lo, hi - lo)
+                h = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64) ^ np.uint64(1 << 63)
+                symbol, starts, text, word, times = tokens_of(data, at, known)
+                n, m = hi - lo, len(text)
+                # The row's own line has a word that no vocabulary holds, another for each text.
+                own = np.full((n, 9), ord(" "), np.uint8)
+                own[:, 1:] = h.astype(">u8").view(np.uint8).reshape(n, 8)
+                word = pa.concat_arrays([word, pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 9 * n + 1, 9, dtype=np.int32)), pa.py_buffer(own)])])
+                h = h.view(np.int64)
+                row = np.concatenate([text, np.arange(n)])
+                then = lambda own, kind=np.int64: np.concatenate([np.zeros(m, kind), own])
+                columns = [doc_id.take(pa.array(row)), h[row], word, np.concatenate([times, np.zeros(n, np.int64)]), then(np.diff(starts, append=len(symbol))), then(np.diff(at)), then(np.add.reduceat(has[symbol].astype(np.int64), starts)), then(np.add.reduceat(base[symbol], starts), np.float64), then(token_scores(model, code, symbol, starts), np.float64)]
+                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     lines = rows.mapInArrow(parts, schema)
     n, c = F.col("times"), F.coalesce("c", F.lit(0))
-    joined = lines.join(costs, "word", "left").select(
+    # A partition's share of the different words is small beside its lines, which needn't be sorted.
+    joined = lines.join(costs.hint("shuffle_hash"), "word", "left").select(
         "doc_id", "hash", "n_tokens", "n_bytes",
         (F.col("known") + F.when(c > 0, n).otherwise(0)).alias("known"),
         (F.col("base") + n * F.log10(c + 0.1)).alias("base"),

@@ -512,6 +512,43 @@ def test_lm_spelling_is_a_distribution():
     assert s[0] > s[2] and s[1] > s[2]
 
 
+def test_lm_bits_that_neighbours_share_are_scored_once():
+    rng = np.random.default_rng(1)
+    words = [b"w%d" % k for k in range(300)]
+    ids = [[*(rng.zipf(1.3, 40) % 301 + 1).tolist(), 0] for _ in range(200)]
+    code, model = lm_model(words, ids)
+    symbol, starts = np.concatenate(ids).astype(np.int32), np.cumsum([0, *map(len, ids[:-1])])
+    group, before, own, many, place = lm_score.distinct(code, symbol, starts)
+    contexts, shared, bits = lm_score.contexts_of(code, group, before), lm_score.shared_bits(code, group, before, own), lm_score.token_bits(1)
+    first, token, at, hit, slots, wide = lm_score.events(code, own, shared, contexts, bits)
+    alone = lm_score.events(code, own, np.zeros_like(shared), contexts, bits)
+    assert len(alone[2]) == code.length[own].sum() and len(at) < 0.8 * len(alone[2])
+    # A bit's cost and how often it stands come out as if each token had its own.
+    cost = rng.random(1 << bits[0])
+    assert np.allclose(lm_score._totals(cost[slots[1]], first, wide), lm_score._totals(cost[alone[4][1]], alone[0], alone[5]))
+    times = lambda e: np.bincount(2 * e[4][1] + e[3], lm_score._held(many, e[1], e[5]), 2 << bits[0])
+    assert (times((first, token, at, hit, slots, wide)) == times(alone)).all()
+    assert np.allclose(lm_score.token_scores(model, code, symbol, starts), [lm_score.token_scores(model, code, np.array(x, np.int32), np.array([0]))[0] for x in ids], atol=1e-4)
+
+
+def test_lm_tokens_of_many_texts_at_once(monkeypatch):
+    import pyarrow as pa
+
+    texts_ = [b"The cat\x0bsat", b"", b" \t", "CAT \u00c9cole\u00a0x the dog dog".encode(), b"cat"]
+    known = pa.array([b"the", b"cat"], pa.binary())
+    place = {b"the": 2, b"cat": 3}
+    data, at = np.frombuffer(b"".join(texts_), np.uint8), np.cumsum([0, *map(len, texts_)])
+    symbol, starts, text, word, times = lm_score.tokens_of(data, at, known)
+    assert [x.tolist() for x in np.split(symbol, starts[1:])] == [[*(place.get(w, 1) for w in t.lower().split()), 0] for t in texts_]
+    rare = {(k, w): c for k, t in enumerate(texts_) for w, c in Counter(t.lower().split()).items() if w not in place}
+    assert dict(zip(zip(text.tolist(), word.to_pylist()), times.tolist())) == rare
+    one = np.frombuffer(b" ".join(texts_), np.uint8)
+    whole = lm_score.tokens_of(one, np.array([0, len(one)]), known)
+    monkeypatch.setattr(lm_score, "LONG", 8)
+    parts = lm_score.tokens_of(one, np.array([0, len(one)]), known)
+    assert (whole[0] == parts[0]).all() and dict(zip(whole[3].to_pylist(), whole[4].tolist())) == dict(zip(parts[3].to_pylist(), parts[4].tolist()))
+
+
 def test_lm_pieces_of_long_texts():
     raw = ("ab  c\n" * 1000 + "x" * 5000 + " y").encode()
     assert b"".join(lm_score.pieces_of(raw, 100)) == raw and [w for p in lm_score.pieces_of(raw, 100) for w in p.split()] == raw.split()
