@@ -87,7 +87,7 @@ class Learner:
     def step(self, x: np.ndarray, gate: np.ndarray, hit: np.ndarray, value: np.ndarray | None = None) -> None:
         """x: (inputs and a row of ones) x events. One Newton step of each gate that has events; predictions come before the step."""
         order = np.argsort(gate.astype(np.uint8), kind="stable")
-        gate, hit, x = gate[order], hit[order].astype(np.float32), x.take(order, axis=1)
+        gate, hit, x = gate[order], hit[order].astype(np.float32), np.stack([one.take(order) for one in x])
         value = None if value is None else value[order]
         bound = np.searchsorted(gate, np.arange(self.gates + 1))
         z = np.empty(len(order), np.float32)
@@ -358,8 +358,8 @@ def _spell_learned(batches, packed: list[np.ndarray], bits: tuple[int, ...]) ->
     for batch in batches:
         words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         for lo, hi in _batches_of_words(words, BATCH // 8):
-            s = Spelling(words[lo:hi])
-            value = np.repeat(counts[lo:hi], s.length).astype(np.float32)
+            s = Spelling(words[lo:hi], once=True)
+            value = np.bincount(s.place, np.repeat(counts[lo:hi], s.length)).astype(np.float32)
             x = np.ones((len(ORDERS) + 1, len(value)), np.float32)
             for bit in range(8):
                 hit = s.bits(bit)
@@ -520,7 +520,7 @@ def tokens_of(data: np.ndarray, at: np.ndarray, known) -> tuple:
 def token_groups(code: Code, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of all tokens: 3 times the group that the text before it fits best, and 0 to 2 for how sure that is. starts: where texts begin (ascending, from 0)."""
     n, kept, logs = len(symbol), code.kept, code.kept_logs
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     carry = np.zeros(len(kept))
     for lo in range(0, n, 1 << 14):
         hi = min(n, lo + (1 << 14))
@@ -560,18 +560,19 @@ def distinct(code: Code, symbol: np.ndarray, starts: np.ndarray) -> tuple[np.nda
 
     Contexts are in order of a hash; those of one context in order of their paths, so that neighbours share bits.
     """
-    before = np.full(len(symbol), code.n, np.int64)
+    before = np.full(len(symbol), code.n, np.int32)
     before[1:] = symbol[:-1]
     before[starts] = code.n
     group = token_groups(code, symbol, starts)
-    key = _scattered((group << 20 | before).astype(np.uint64)) << np.uint64(20) | code.rank[symbol].astype(np.uint64)
+    key = _scattered((group.astype(np.int64) << 20 | before).astype(np.uint64)) << np.uint64(20)
+    key |= code.rank[symbol].astype(np.uint64)
     order = np.argsort(key)
     key = key[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     at = np.flatnonzero(new)
     first, times = order[at], np.diff(at, append=len(key))
-    place = np.empty(len(key), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(key), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     return group[first], before[first], symbol[first], times, place
 
 
@@ -717,7 +718,7 @@ def _token_learned(batches, code: Code, packed: list[np.ndarray], bits: tuple[in
     return learner.parts()
 
 
-def _joined(batches, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _joined(batches, size: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Packed ids of texts, in their order, whole texts of ``size`` tokens or more together: flat ids, starts. What is together follows the rows' order alone, not the batches."""
     held, total = [], 0
     flat = lambda: (np.concatenate(held), np.cumsum([0, *map(len, held[:-1])]))
@@ -837,8 +838,9 @@ def fit_spelling(words: DataFrame) -> dict:
     n_words = words.count()
     bits = spell_bits(n_words)
     shards = max(1, n_words // SHARD_WORDS)
-    # Shards follow the words' hashes, so each is a fair sample of all, and the same on any cluster.
-    dealt = words.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("word", F.lit(1)), "word")
+    # Shards follow the words' hashes, so each is a fair sample of all, and the same on any cluster. Words that begin alike stand together, for what
+    # they share is taken once; beginnings are in order of a hash.
+    dealt = words.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.substring("word", 1, 4)), "word")
 
     def counted(batches):
         for shard, own in _by_shard(batches):
@@ -937,7 +939,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
     n_train, n_distinct = int(total[0]), int(total[1])
     code = code_of(words, head)
     known = spark.createDataFrame([(w,) for w in [END, *code.words]], "word binary")
-    rare = cut(words.select("word", _all().alias("c")).join(known, "word", "left_anti"), "rare")
+    rare = cut(words.select("word", _all().alias("c")).join(known, "word", "left_anti").sortWithinPartitions("word"), "rare")  # neighbours share their beginnings
     spelling = spark.sparkContext.broadcast(fit_spelling(rare.where("c > 0")))
 
     def spelled(batches):
@@ -966,7 +968,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
         base[1], has = 0, counts > 0
         has[1] = False
         for whole in batches:
-            for lo, hi, data, at in slices(whole, 1, 1 << 22):
+            for lo, hi, data, at in slices(whole, 1, 1 << 23):
                 raw, doc_id = data.tobytes(), whole.column(0).slice(lo, hi - lo)
                 h = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64) ^ np.uint64(1 << 63)
                 symbol, starts, text, word, times = tokens_of(data, at, known)
