@@ -33,7 +33,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.llm.common import SPACE, arrow_schema, cut, documents, flat_bytes, lowered, mixed, powers, ship, slices, text_of, words as words_of
+from loomgraph.llm.common import SPACE, arrow_schema, cut, documents, flat_bytes, lowered, mixed, powers, ship, slices, text_of
 
 #: Frequent words are the HEAD most frequent ones that stand twice at least and have no more than WORD_BYTES bytes.
 HEAD = 100_000
@@ -46,7 +46,9 @@ FLOOR = 0.2
 CELLS = 33
 #: Tokens of a learning shard, distinct words of a spelling shard, events of a batch.
 SHARD_TOKENS, SHARD_WORDS = 1 << 22, 1 << 19
-BATCH = 1 << 16
+BATCH = 1 << 17
+#: Tokens whose contexts are taken together in learning and in scoring: the more, the more they share.
+TOGETHER, SCORED = 1 << 21, 1 << 20
 WINDOW = 1 << 12
 #: The share of the curvature that the online Newton step remembers; it is measured on each of the first batches, then on every fourth.
 MEMORY = 0.95
@@ -84,11 +86,13 @@ class Learner:
         self.seen = np.zeros(gates)
         self.refined = np.zeros((gates, CELLS, 2))
 
-    def step(self, x: np.ndarray, gate: np.ndarray, hit: np.ndarray, value: np.ndarray | None = None) -> None:
-        """x: (inputs and a row of ones) x events. One Newton step of each gate that has events; predictions come before the step."""
+    def step(self, inputs: list[np.ndarray], gate: np.ndarray, hit: np.ndarray, value: np.ndarray | None = None) -> None:
+        """inputs: each predictor's predictions of the events, or what a table has for them. One Newton step of each gate that has events; predictions come before the step."""
         order = np.argsort(gate.astype(np.uint8), kind="stable")
-        gate, hit, x = gate[order], hit[order].astype(np.float32), np.stack([one.take(order) for one in x])
-        value = None if value is None else value[order]
+        gate, hit, x = gate.take(order), hit.take(order).astype(np.float32), np.ones((self.inputs + 1, len(order)), np.float32)
+        for k, one in enumerate(inputs):
+            x[k] = one.take(order) if one.dtype == np.float32 else value_of(one.take(order))
+        value = None if value is None else value.take(order)
         bound = np.searchsorted(gate, np.arange(self.gates + 1))
         z = np.empty(len(order), np.float32)
         own = np.flatnonzero(np.diff(bound))
@@ -138,7 +142,7 @@ def averaged(parts: np.ndarray, gates: int, inputs: int) -> dict:
     refined = (refined[..., 1] + 20 * centre) / (refined.sum(axis=-1) + 20)
     low, rest = _cells(_LEVELS)
     one = (squash(_LEVELS) + refined[:, low] * (1 - rest) + refined[:, low + 1] * rest) / 2
-    return {"weights": weights.astype(np.float32), "logs": np.log10(np.maximum(np.stack([1 - one, one], axis=-1), 1e-5)).astype(np.float32)}
+    return {"weights": weights.astype(np.float32), "logs": np.log10(np.maximum(np.stack([1 - one, one], axis=-1), 1e-5)).astype(np.float32).ravel()}
 
 
 #: Mixed predictions are rounded to 128ths, so that what follows from them is read from a table.
@@ -146,19 +150,24 @@ _LEVELS = np.linspace(-8, 8, 16 * 128 + 1)
 
 
 def mixed_log10(model: dict, st: list[np.ndarray], gate: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """log10 of each bit's probability, from the predictors' stretched predictions."""
-    weights, gate = model["weights"], gate.astype(np.int64)
-    x = weights[:, -1].copy().take(gate, mode="clip")
+    """log10 of each bit's probability, from the predictors' stretched predictions, or what a table has for them."""
+    weights, gate = model["weights"] * np.float32(128), gate.astype(np.int64)
+    plain = weights[:, -1] + np.float32(8 * 128 + 0.5)  # cut off below, so it rounds
     for k, one in enumerate(st):
-        x += one * weights[:, k].copy().take(gate, mode="clip")
-    x += np.float32(8)
-    x *= np.float32(128)
-    np.clip(np.rint(x, out=x), 0, len(_LEVELS) - 1, out=x)
+        if one.dtype != np.float32:
+            weights[:, k] /= 320
+            plain -= weights[:, k] * 4096
+    x = plain.take(gate, mode="clip")
+    for k, one in enumerate(st):
+        by = weights[:, k].copy().take(gate, mode="clip")
+        by *= one if one.dtype == np.float32 else one >> 3
+        x += by
+    np.clip(x, 0, len(_LEVELS) - 1, out=x)
     gate *= len(_LEVELS)
     gate += x.astype(np.int64)
     gate *= 2
     gate += hit
-    return model["logs"].reshape(-1).take(gate, mode="clip")
+    return model["logs"].take(gate, mode="clip")
 
 
 # Tables of counts
@@ -254,6 +263,11 @@ def without_itself(packed: np.ndarray) -> np.ndarray:
     return np.stack([_coded(np.maximum(zero - 1, 0), one), _coded(zero, np.maximum(one - 1, 0))], axis=1).reshape(-1)
 
 
+def _beside(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """``without_itself`` of those that are still counts."""
+    return [x if x.dtype == np.uint16 else without_itself(x) for x in tables]
+
+
 def value_of(coded: np.ndarray) -> np.ndarray:
     return ((coded >> 3).astype(np.float32) - 4096) * np.float32(1 / 320)
 
@@ -308,16 +322,17 @@ class Spelling:
                 kept = order[new]
                 self.data, self.hashes = self.data[kept], [x[kept] for x in self.hashes]
 
-    def slots(self, bit: int, bits: tuple[int, ...]) -> list[np.ndarray]:
-        """Of each predictor: the slot that the bit's context and the byte's higher bits lead to."""
+    def slots(self, bits: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """Of each bit of a byte: which one, what it is, and each predictor's slot that its context and the byte's higher bits lead to."""
         # The bits of a half byte share a page of 16 neighbouring slots.
-        byte = self.data.astype(np.uint32) | np.uint32(256)
-        page, place = (np.uint32(1), byte >> np.uint32(bit + 1)) if bit > 3 else (byte >> np.uint32(4), (byte & np.uint32(15) | np.uint32(16)) >> np.uint32(bit + 1))
-        with np.errstate(over="ignore"):
-            return [((h + page * _K1) * _K2 >> np.uint32(36 - b)) << np.uint32(4) | place for h, b in zip(self.hashes, bits, strict=True)]
-
-    def bits(self, bit: int) -> np.ndarray:
-        return (self.data >> bit) & 1
+        upper, lower = self.data >> 4 | 16, self.data & 15 | 16
+        for half, page in ((upper, np.uint32(1)), (lower, upper.astype(np.uint32))):
+            with np.errstate(over="ignore"):
+                page = page * _K1
+                pages = [(((h + page) * _K2 >> np.uint32(36 - b)) << np.uint32(4)).astype(np.int64) for h, b in zip(self.hashes, bits, strict=True)]
+            for bit in (3, 2, 1, 0):
+                place = half >> (bit + 1)
+                yield bit + 4 * (half is upper), half >> bit & 1, [p | place for p in pages]
 
 
 def _spell_gate(bit: int, four: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -345,28 +360,23 @@ def _spell_counted(batches, bits: tuple[int, ...], shard: int):
         for lo, hi in _batches_of_words(words, 1 << 20):
             s = Spelling(words[lo:hi], once=True)
             weight = np.bincount(s.place, np.repeat(counts[lo:hi], s.length)).astype(np.uint32)
-            for bit in range(8):
-                right = s.bits(bit)
-                for table, slot in zip(tables, s.slots(bit, bits), strict=True):
-                    np.add.at(table.reshape(-1), 2 * slot.astype(np.int64) + right, weight)
+            for _, right, slots in s.slots(bits):
+                for table, slot in zip(tables, slots, strict=True):
+                    np.add.at(table.reshape(-1), 2 * slot + right, weight)
     yield from emitted(tables, shard)
 
 
 def _spell_learned(batches, packed: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
     """word, c -> the shard's parts."""
-    learner, own = Learner(8 * SPELL_GATES, len(ORDERS)), [without_itself(x) for x in packed]
+    learner, own = Learner(8 * SPELL_GATES, len(ORDERS)), _beside(packed)
     for batch in batches:
         words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         for lo, hi in _batches_of_words(words, BATCH // 8):
             s = Spelling(words[lo:hi], once=True)
             value = np.bincount(s.place, np.repeat(counts[lo:hi], s.length)).astype(np.float32)
-            x = np.ones((len(ORDERS) + 1, len(value)), np.float32)
-            for bit in range(8):
-                hit = s.bits(bit)
-                found = [table.take(2 * slot.astype(np.int64) + hit, mode="clip") for table, slot in zip(own, s.slots(bit, bits), strict=True)]
-                for k, v in enumerate(found):
-                    x[k] = value_of(v)
-                learner.step(x, _spell_gate(bit, *(v & 7 for v in found[3:])), hit, value)
+            for bit, hit, slots in s.slots(bits):
+                found = [table.take(2 * slot + hit, mode="clip") for table, slot in zip(own, slots, strict=True)]
+                learner.step(found, _spell_gate(bit, *(v & 7 for v in found[3:])), hit, value)
     return learner.parts()
 
 
@@ -377,9 +387,9 @@ def word_scores(model: dict, words: list[bytes]) -> np.ndarray:
     s = Spelling(words, once=True)
     total = np.zeros(len(s.data))
     sizes = tuple(len(table).bit_length() - 1 for table in model["stretch"])
-    for bit in range(8):
-        st = [table.take(slot.astype(np.int64), mode="clip") for table, slot in zip(model["stretch"], s.slots(bit, sizes), strict=True)]
-        total += mixed_log10(model, [value_of(v) for v in st], _spell_gate(bit, *(v & 7 for v in st[3:])), s.bits(bit))
+    for bit, hit, slots in s.slots(sizes):
+        st = [table.take(slot, mode="clip") for table, slot in zip(model["stretch"], slots, strict=True)]
+        total += mixed_log10(model, st, _spell_gate(bit, *(v & 7 for v in st[3:])), hit)
     return np.add.reduceat(total[s.place], s.start)
 
 
@@ -427,7 +437,7 @@ class Code:
         for j in (3, 2, 1):
             slot = np.where(deep >= j, 2 * slot + self.bits[np.maximum(entry - j, 0)].astype(np.uint32), slot)
         with np.errstate(over="ignore"):
-            self.nodes = ((nodes[entry - deep].astype(np.uint32) + np.uint32(1)) * _K1 & ~np.uint32(15)) | slot.astype(np.uint32)
+            self.nodes = ((nodes[entry - deep].astype(np.uint32) + np.uint32(1)) * _K1 * _K3 & ~np.uint32(15)) | slot.astype(np.uint32)
         # What the exact counts of each node predict.
         times = np.repeat(counts.sum(axis=1), self.length)
         one = np.bincount(nodes, times * self.bits, n - 1)[nodes]
@@ -440,7 +450,8 @@ class Code:
         self.prior = np.log(group + 1.0)
         # Groups without texts are all alike; two of them tell as much as all do.
         keep = np.sort(np.concatenate([np.flatnonzero(group > 0), np.flatnonzero(group == 0)[:2]]))
-        self.kept, self.kept_logs = keep, np.ascontiguousarray(self.logs[:, keep])
+        # Sums for a group are only compared, so those of the first are taken off.
+        self.kept, self.kept_logs, self.kept_prior = keep, self.logs[:, keep[1:]] - self.logs[:, keep[:1]], (self.prior[keep[1:]] - self.prior[keep[0]])[:, None]
 
 
 def pieces_of(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -473,17 +484,21 @@ def parts_of(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.nd
 def indexed(data: np.ndarray, at: np.ndarray) -> tuple:
     """Of texts (flat bytes and their n + 1 offsets): each word's number, for each text the number of words before it (n + 1), and the different words."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    data = lowered(data)
-    start, end, first = words_of(data, at)
-    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
-    found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[~SPACE[data]])]).dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), first, found.dictionary
+    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(lowered(data))]))
+    first, words = split.offsets.to_numpy().astype(np.int64), split.flatten()
+    full = np.diff(np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]) > 0
+    if not full.all():  # white space at a text's begin or end has an empty word beside it
+        first, words = np.concatenate([[0], np.cumsum(full)])[first], words.filter(pa.array(full))
+    found = words.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), first, found.dictionary.cast(pa.binary())
 
 
-def symbols_of(data: np.ndarray, at: np.ndarray, known) -> tuple:
+def symbols_of(data: np.ndarray, at: np.ndarray, known, rare_too: bool = True) -> tuple:
     """Of texts (flat bytes and their n + 1 offsets): the symbols of their tokens, each text's end last, and where texts begin; and of each
-    different word that has no symbol in each text that has it: the text, the word, how often. known: the words with symbols, as an Arrow array.
+    different word that has no symbol in each text that has it (unless not rare_too): the text, the word, how often. known: the words with symbols,
+    as an Arrow array.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -494,65 +509,85 @@ def symbols_of(data: np.ndarray, at: np.ndarray, known) -> tuple:
     text = np.repeat(np.arange(n), np.diff(first))
     symbol = np.zeros(len(index) + n, np.int32)
     rare = own == 1
-    symbol[np.arange(len(index)) + text] = own[index]
+    symbol[np.arange(len(index)) + text] = own.take(index)
+    if not rare_too:
+        return symbol, first[:-1] + np.arange(n)
     other = np.flatnonzero(rare[index])
     key, times = np.unique(text[other] * max(1, len(own)) + index[other], return_counts=True)
     text, word = np.divmod(key, max(1, len(own)))
     return symbol, first[:-1] + np.arange(n), text, words.take(pa.array(word)), times
 
 
-def tokens_of(data: np.ndarray, at: np.ndarray, known) -> tuple:
+def tokens_of(data: np.ndarray, at: np.ndarray, known, rare_too: bool = True) -> tuple:
     """The same, of a very long text a part of it at a time."""
     import pyarrow as pa
 
     if len(at) > 2 or len(data) <= LONG:
-        return symbols_of(data, at, known)
+        return symbols_of(data, at, known, rare_too)
     symbols, rare = [], Counter()
     for _, _, part, place in parts_of(data, at):
-        symbol, _, _, word, times = symbols_of(part, place, known)
+        symbol, _, *found = symbols_of(part, place, known, rare_too)
         symbols.append(symbol[:-1])
-        for w, c in zip(word.to_pylist(), times.tolist(), strict=True):
-            rare[w] += c
+        if rare_too:
+            for w, c in zip(found[1].to_pylist(), found[2].tolist(), strict=True):
+                rare[w] += c
     symbols.append(np.zeros(1, np.int32))
+    if not rare_too:
+        return np.concatenate(symbols), np.zeros(1, np.int64)
     return np.concatenate(symbols), np.zeros(1, np.int64), np.zeros(len(rare), np.int64), pa.array(list(rare), pa.binary()), np.array(list(rare.values()), np.int64)
 
 
 def token_groups(code: Code, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of all tokens: 3 times the group that the text before it fits best, and 0 to 2 for how sure that is. starts: where texts begin (ascending, from 0)."""
-    n, kept, logs = len(symbol), code.kept, code.kept_logs
-    out = np.zeros(n, np.int32)
-    carry = np.zeros(len(kept))
+    n, kept, logs, prior = len(symbol), code.kept, code.kept_logs, code.kept_prior
+    out = np.zeros(n, np.uint8)
+    carry = np.zeros(len(prior))
     for lo in range(0, n, 1 << 14):
         hi = min(n, lo + (1 << 14))
-        own = logs.take(symbol[lo:hi], axis=0).T.copy()
-        total = np.cumsum(own, axis=1)
-        after = total[:, -1].copy()
-        total -= own  # of the tokens before, in this window
+        total = np.zeros((len(prior), hi - lo + 1))
+        np.cumsum(logs.take(symbol[lo:hi], axis=0).T, axis=1, out=total[:, 1:])
+        after, total = total[:, -1].copy(), total[:, :-1]  # of the tokens before, in this window
         heads = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)] - lo
         edge = np.concatenate([[0] if not len(heads) or heads[0] else [], heads, [hi - lo]]).astype(np.int64)
-        base = total[:, edge[:-1]] - code.prior[kept][:, None]
+        base = total[:, edge[:-1]] - prior
         if len(edge) > len(heads) + 1:  # the window begins within a text
             base[:, 0] -= carry
         total -= np.repeat(base, np.diff(edge), axis=1)
-        top, second, first = total[0].copy(), np.full(hi - lo, -np.inf), np.zeros(hi - lo, np.int64)
-        for k in range(1, len(kept)):
-            first[total[k] > top + 1e-9] = k  # rounding errors, which depend on the texts before, don't decide
-            np.maximum(second, np.minimum(top, total[k]), out=second)
-            np.maximum(top, total[k], out=top)
+        top, second, first = np.zeros(hi - lo), np.full(hi - lo, -np.inf), np.zeros(hi - lo, np.uint8)
+        for k, one in enumerate(total, 1):
+            first[one > top + 1e-9] = k  # rounding errors, which depend on the texts before, don't decide
+            np.maximum(second, np.minimum(top, one), out=second)
+            np.maximum(top, one, out=top)
         gap = np.round(top - second, 6)
-        out[lo:hi] = 3 * kept[first] + (gap >= 1) + (gap >= 4)
-        carry = after - base[:, -1] - code.prior[kept]
+        out[lo:hi] = 3 * kept.astype(np.uint8).take(first) + (gap >= 1) + (gap >= 4)
+        carry = after - base[:, -1] - prior[:, 0]
     return out
 
 
-_M44, _S22 = np.uint64((1 << 44) - 1), np.uint64(22)
-
-
-def _scattered(x: np.ndarray) -> np.ndarray:
-    """A bijection of 44-bit integers."""
+def _scattered(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of integers of so many bits; x is overwritten."""
+    most = np.uint64((1 << bits) - 1)
     with np.errstate(over="ignore"):
-        x = x * np.uint64(0x9E3779B97F5) & _M44
-        return (x ^ (x >> _S22)) * np.uint64(0xC2B2AE3D27D) & _M44
+        x *= np.uint64(0x9E3779B97F5)
+        x &= most
+        x ^= x >> np.uint64(bits // 2)
+        x *= np.uint64(0xC2B2AE3D27D)
+    x &= most
+    return x
+
+
+def _in_order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits (uint64, overwritten) in order, and where each stood; equal ones as they stood."""
+    n = (len(key) - 1).bit_length()
+    if bits + n > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    key <<= np.uint64(n)  # with their places in the lowest bits: whole numbers alone are sorted faster than places by keys
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << n) - 1)).view(np.int64)
+    key >>= np.uint64(n)
+    return key, order
 
 
 def distinct(code: Code, symbol: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -564,14 +599,19 @@ def distinct(code: Code, symbol: np.ndarray, starts: np.ndarray) -> tuple[np.nda
     before[1:] = symbol[:-1]
     before[starts] = code.n
     group = token_groups(code, symbol, starts)
-    key = _scattered((group.astype(np.int64) << 20 | before).astype(np.uint64)) << np.uint64(20)
-    key |= code.rank[symbol].astype(np.uint64)
-    order = np.argsort(key)
-    key = key[order]
+    bits = code.n.bit_length()
+    key = group.astype(np.uint64)
+    key <<= np.uint64(bits)
+    key |= before.view(np.uint32)
+    key = _scattered(key, bits + 5)
+    key <<= np.uint64(bits)
+    key |= code.rank.take(symbol).view(np.uint64)
+    key, order = _in_order(key, 2 * bits + 5)
     new = np.concatenate([[True], key[1:] != key[:-1]])
     at = np.flatnonzero(new)
     first, times = order[at], np.diff(at, append=len(key))
-    place = np.empty(len(key), np.int32)
+    del key
+    place = np.empty(len(order), np.int32)
     place[order] = np.cumsum(new, dtype=np.int32) - 1
     return group[first], before[first], symbol[first], times, place
 
@@ -594,17 +634,18 @@ def shared_bits(code: Code, group: np.ndarray, before: np.ndarray, symbol: np.nd
 
 
 def contexts_of(code: Code, group: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-    """Each hashed predictor's context."""
+    """Each hashed predictor's context; the lowest four bits are left to the place in a page."""
     group, before, end = group.astype(np.uint32), before.astype(np.uint32), code.suffix[before]
     with np.errstate(over="ignore"):
         contexts = [(group + np.uint32(1)) * np.uint32(0x27D4EB2F), (before + np.uint32(7)) * _K2, (end + np.uint32(3)) * np.uint32(0x2C1B3C6D) + (group // np.uint32(3)) * np.uint32(0x51ED270B)]
-        return [c ^ (c >> np.uint32(15)) for c in contexts]
+        return [(c ^ (c >> np.uint32(15))) * _K3 & ~np.uint32(15) for c in contexts]
 
 
 TOKEN_INPUTS = 4
 #: Gates: whether the group is sure, four levels of the group with the last bytes, five of the word before.
 TOKEN_GATES = 2 * 4 * 5
 _LAST, _ONE = np.array([0, 1, 2, 2, 3, 3, 3, 3]) * 5, np.array([0, 1, 1, 2, 3, 4, 4, 4])
+_GATES = (np.array([0, 20])[:, None, None] + _LAST[:, None] + _ONE).reshape(-1)
 
 
 def token_bits(n_tokens: int) -> tuple[int, ...]:
@@ -612,11 +653,11 @@ def token_bits(n_tokens: int) -> tuple[int, ...]:
     return (min(MOST_BITS, max(LEAST_BITS, (2 * n_tokens).bit_length())),) * (TOKEN_INPUTS - 1)
 
 
-def events(code: Code, symbol: np.ndarray, shared: np.ndarray, contexts: list[np.ndarray], bits: tuple[int, ...]) -> tuple:
+def events(code: Code, symbol: np.ndarray, shared: np.ndarray, contexts: list[np.ndarray], bits: tuple[int, ...], sides: bool = False) -> tuple:
     """The different bits of tokens, in order; bits that a token shares with the one before it stand there.
 
     Returns the first bit of each token (of those that it doesn't share; each has one); of each bit its token, its place in the code, the bit;
-    each hashed predictor's slots; and the bits that tokens after theirs share: which bits, their tokens, and the first token that no longer shares it.
+    each hashed predictor's slots (sides: twice that, and the bit); and the bits that tokens after theirs share: which bits, their tokens, and the first token that no longer shares it.
     """
     n, shared = len(symbol), shared.copy()
     shared[0] = 0
@@ -634,18 +675,20 @@ def events(code: Code, symbol: np.ndarray, shared: np.ndarray, contexts: list[np
     wide = first[begin] + depth - shared[begin], begin, end
     slots = []
     with np.errstate(over="ignore"):
-        node = code.nodes.take(at, mode="clip")
+        node, hit = code.nodes.take(at, mode="clip"), code.bits.take(at, mode="clip")
         place = node & np.uint32(15)
-        node ^= place
+        if sides:
+            place <<= np.uint32(1)
+            place |= hit.view(np.uint8)
         for c, b in zip(contexts, bits, strict=True):
             h = np.repeat(c, times)
-            h += node
-            h *= _K3
-            h >>= np.uint32(36 - b)
-            h <<= np.uint32(4)
-            h |= place
+            h += node  # of a page all bits have the same upper 28 bits
+            h >>= np.uint32(32 - b)
+            if sides:
+                h <<= np.uint32(1)
+            h ^= place
             slots.append(h.astype(np.int64))
-    return first, token, at, code.bits.take(at, mode="clip"), slots, wide
+    return first, token, at, hit, slots, wide
 
 
 def _held(many: np.ndarray, token: np.ndarray, wide: tuple) -> np.ndarray:
@@ -663,8 +706,12 @@ def _totals(cost: np.ndarray, first: np.ndarray, wide: tuple) -> np.ndarray:
 
 
 def _token_gate(sure: np.ndarray, one: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Of the levels of the word before and the group with its last bytes."""
-    return sure * 20 + _LAST.take(last) + _ONE.take(one)
+    """Of what the word before and the group with its last bytes predict."""
+    level = last & 7
+    level <<= 3
+    level |= one & 7
+    level |= sure.astype(np.uint16) << 6
+    return _GATES.take(level, mode="clip")
 
 
 def _windows(n: int) -> Iterator[slice]:
@@ -680,8 +727,8 @@ def token_scores(model: dict, code: Code, symbol: np.ndarray, starts: np.ndarray
     for w in _windows(len(own)):
         first, token, at, hit, slots, wide = events(code, own[w], shared[w], [c[w] for c in contexts], sizes)
         found = [table.take(slot, mode="clip") for table, slot in zip(model["stretch"], slots, strict=True)]
-        gate = _token_gate(sure[w].take(token), found[1] & 7, found[2] & 7)
-        each[w] = _totals(mixed_log10(model, [code.plain.take(at, mode="clip"), *map(value_of, found)], gate, hit), first, wide)
+        gate = _token_gate(sure[w].take(token), *found[1:])
+        each[w] = _totals(mixed_log10(model, [code.plain.take(at, mode="clip"), *found], gate, hit), first, wide)
     return np.add.reduceat(each[place], starts)
 
 
@@ -692,33 +739,29 @@ def _token_counted(batches, code: Code, bits: tuple[int, ...], shard: int):
         group, before, own, many, _ = distinct(code, symbol, starts)
         contexts, shared = contexts_of(code, group, before), shared_bits(code, group, before, own)
         for w in _windows(len(own)):
-            _, token, _, hit, slots, wide = events(code, own[w], shared[w], [c[w] for c in contexts], bits)
+            _, token, _, _, slots, wide = events(code, own[w], shared[w], [c[w] for c in contexts], bits, True)
             value = _held(many[w], token, wide).astype(np.uint32)
             for table, slot in zip(tables, slots, strict=True):
-                np.add.at(table.reshape(-1), 2 * slot + hit, value)
+                np.add.at(table.reshape(-1), slot, value)
     yield from emitted(tables, shard)
 
 
 def _token_learned(batches, code: Code, packed: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
     """ids of a shard's training texts, in order -> the shard's parts."""
-    learner, tables = Learner(TOKEN_GATES, TOKEN_INPUTS), [without_itself(x) for x in packed]
+    learner, tables = Learner(TOKEN_GATES, TOKEN_INPUTS), _beside(packed)
     for symbol, starts in _joined(batches):
         found = distinct(code, symbol, starts)[:4]
         order = in_blocks(len(found[0]))
         group, before, own, many = (x[order] for x in found)
         contexts, sure, shared = contexts_of(code, group, before), group % 3 == 2, shared_bits(code, group, before, own)
         for w in _windows(len(own)):
-            _, token, at, hit, slots, wide = events(code, own[w], shared[w], [c[w] for c in contexts], bits)
-            found = [table.take(2 * slot + hit, mode="clip") for table, slot in zip(tables, slots, strict=True)]
-            x = np.ones((TOKEN_INPUTS + 1, len(at)), np.float32)
-            x[0] = code.plain.take(at, mode="clip")
-            for k, v in enumerate(found):
-                x[k + 1] = value_of(v)
-            learner.step(x, _token_gate(sure[w].take(token), found[1] & 7, found[2] & 7), hit, _held(many[w], token, wide).astype(np.float32))
+            _, token, at, hit, slots, wide = events(code, own[w], shared[w], [c[w] for c in contexts], bits, True)
+            found = [table.take(slot, mode="clip") for table, slot in zip(tables, slots, strict=True)]
+            learner.step([code.plain.take(at, mode="clip"), *found], _token_gate(sure[w].take(token), *found[1:]), hit, _held(many[w], token, wide).astype(np.float32))
     return learner.parts()
 
 
-def _joined(batches, size: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _joined(batches, size: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Packed ids of texts, in their order, whole texts of ``size`` tokens or more together: flat ids, starts. What is together follows the rows' order alone, not the batches."""
     held, total = [], 0
     flat = lambda: (np.concatenate(held), np.cumsum([0, *map(len, held[:-1])]))
@@ -847,7 +890,7 @@ def fit_spelling(words: DataFrame) -> dict:
             yield from _spell_counted(own, bits, shard)
 
     packed = tables_of(((r.block, r.counts) for r in summed(dealt.mapInArrow(counted, BLOCKS)).toLocalIterator()), [1 << b for b in bits])
-    shared = spark.sparkContext.broadcast(packed)
+    shared = spark.sparkContext.broadcast(_beside(packed))
 
     def learned(batches):
         for _, own in _by_shard(batches):
@@ -889,7 +932,7 @@ def fit_tokens(rows: DataFrame, code: Code, n_train: int) -> dict:
         known = pa.array(shared_code.value.words, pa.binary())
         for whole in batches:
             for lo, hi, data, at in slices(whole, 1, 1 << 21):
-                symbol, starts, *_ = tokens_of(data, at, known)
+                symbol, starts = tokens_of(data, at, known, False)
                 ids, keys = [], []
                 for doc_id, own in zip(whole.column(0).slice(lo, hi - lo).to_pylist(), np.split(symbol, starts[1:]), strict=True):
                     if not is_held_out(doc_id):
@@ -906,7 +949,7 @@ def fit_tokens(rows: DataFrame, code: Code, n_train: int) -> dict:
         yield from _token_counted(batches, shared_code.value, bits, TaskContext.get().partitionId())
 
     packed = tables_of(((r.block, r.counts) for r in summed(dealt.select("ids").mapInArrow(counted, BLOCKS)).toLocalIterator()), [1 << b for b in bits])
-    shared = spark.sparkContext.broadcast(packed)
+    shared = spark.sparkContext.broadcast(_beside(packed))
 
     def learned(batches):
         for _, own in _by_shard(batches):
@@ -967,21 +1010,38 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: st
         base = np.log10(counts + 0.1)
         base[1], has = 0, counts > 0
         has[1] = False
+
+        def lines(*columns):
+            """Columns that aren't given are 0."""
+            columns += (np.zeros(len(columns[0]), np.int64),) * (len(kinds) - len(columns))
+            return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+        def scored(held):
+            *columns, symbol, starts = zip(*held, strict=True)
+            shift = np.cumsum([0, *map(len, symbol[:-1])])
+            score = token_scores(model, code, np.concatenate(symbol), np.concatenate([a + b for a, b in zip(starts, shift, strict=True)]))
+            h = np.concatenate(columns[1])
+            # The row's own line has a word that no vocabulary holds, another for each text.
+            own = np.full((len(h), 9), ord(" "), np.uint8)
+            own[:, 1:] = h.view(np.uint64).astype(">u8").view(np.uint8).reshape(len(h), 8)
+            word = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.arange(0, 9 * len(h) + 1, 9, dtype=np.int32)), pa.py_buffer(own)])
+            return lines(pa.concat_arrays(columns[0]), h, word, np.zeros(len(h), np.int64), *map(np.concatenate, columns[2:]), score)
+
+        held, total = [], 0
         for whole in batches:
             for lo, hi, data, at in slices(whole, 1, 1 << 23):
                 raw, doc_id = data.tobytes(), whole.column(0).slice(lo, hi - lo)
-                h = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64) ^ np.uint64(1 << 63)
+                h = (np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
                 symbol, starts, text, word, times = tokens_of(data, at, known)
-                n, m = hi - lo, len(text)
-                # The row's own line has a word that no vocabulary holds, another for each text.
-                own = np.full((n, 9), ord(" "), np.uint8)
-                own[:, 1:] = h.astype(">u8").view(np.uint8).reshape(n, 8)
-                word = pa.concat_arrays([word, pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 9 * n + 1, 9, dtype=np.int32)), pa.py_buffer(own)])])
-                h = h.view(np.int64)
-                row = np.concatenate([text, np.arange(n)])
-                then = lambda own, kind=np.int64: np.concatenate([np.zeros(m, kind), own])
-                columns = [doc_id.take(pa.array(row)), h[row], word, np.concatenate([times, np.zeros(n, np.int64)]), then(np.diff(starts, append=len(symbol))), then(np.diff(at)), then(np.add.reduceat(has[symbol].astype(np.int64), starts)), then(np.add.reduceat(base[symbol], starts), np.float64), then(token_scores(model, code, symbol, starts), np.float64)]
-                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, kinds, strict=True)], schema=kinds)
+                yield lines(doc_id.take(pa.array(text)), h[text], word, times)
+                held.append((doc_id, h, np.diff(starts, append=len(symbol)), np.diff(at), np.add.reduceat(has[symbol].astype(np.int64), starts), np.add.reduceat(base[symbol], starts), symbol, starts))
+                total += len(symbol)
+                del raw, text, word, times
+                if total >= SCORED:
+                    yield scored(held)
+                    held, total = [], 0
+        if held:
+            yield scored(held)
 
     lines = rows.mapInArrow(parts, schema)
     n, c = F.col("times"), F.coalesce("c", F.lit(0))

@@ -549,6 +549,44 @@ def test_lm_tokens_of_many_texts_at_once(monkeypatch):
     assert (whole[0] == parts[0]).all() and dict(zip(whole[3].to_pylist(), whole[4].tolist())) == dict(zip(parts[3].to_pylist(), parts[4].tolist()))
 
 
+def test_lm_sorts_keys_with_their_places():
+    """Contexts are sorted as whole numbers with their places in the lowest bits, by places where that doesn't fit; both alike."""
+    rng = np.random.default_rng(2)
+    key = rng.integers(0, 300, 5000).astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    for bits in (9, 60):
+        got, place = lm_score._in_order(key.copy(), bits)
+        assert (got == key[order]).all() and (place == order).all()
+    assert lm_score._in_order(np.array([7], np.uint64), 3)[1].tolist() == [0]
+    assert len(set(lm_score._scattered(np.arange(1 << 12, dtype=np.uint64), 12).tolist())) == 1 << 12
+
+
+def test_lm_spelling_hashes_a_page_once():
+    """The bits of a half byte stand in one page of 16 slots, and each place of the tree has a slot of its own."""
+    s = lm_score.Spelling([bytes([a]) for a in range(33, 127)])
+    seen = {}
+    for bit, hit, slots in s.slots(lm_score.spell_bits(100)):
+        assert (hit == s.data >> bit & 1).all()
+        for k, slot in enumerate(slots):
+            seen.setdefault((k, bit // 4), []).append(slot)
+    for rows in seen.values():
+        assert len(rows) == 4 and all((r >> 4 == rows[0] >> 4).all() for r in rows)
+        assert all(((r & 15) >> k == 1).all() for k, r in enumerate(rows))
+
+
+def test_lm_words_beside_white_space():
+    texts_ = [b"", b" ", b" a", b"a ", b"\x0b a\t\tB\r\n", "a\u00a0b \u2003".encode(), b"a"]
+    data, at = np.frombuffer(b"".join(texts_), np.uint8), np.cumsum([0, *map(len, texts_)])
+    index, first, words = lm_score.indexed(data, at)
+    words = words.to_pylist()
+    assert b"" not in words and [[words[k] for k in index[a:b]] for a, b in zip(first, first[1:])] == [t.lower().split() for t in texts_]
+    import pyarrow as pa
+
+    known = pa.array([b"a"], pa.binary())
+    with_rare, alone = lm_score.tokens_of(data, at, known), lm_score.tokens_of(data, at, known, False)
+    assert len(alone) == 2 and all((x == y).all() for x, y in zip(with_rare, alone))
+
+
 def test_lm_pieces_of_long_texts():
     raw = ("ab  c\n" * 1000 + "x" * 5000 + " y").encode()
     assert b"".join(lm_score.pieces_of(raw, 100)) == raw and [w for p in lm_score.pieces_of(raw, 100) for w in p.split()] == raw.split()
