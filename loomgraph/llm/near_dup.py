@@ -113,17 +113,17 @@ def digests(sets: np.ndarray, at: np.ndarray) -> list[str]:
     return [f"{a:016x}{b:016x}" for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
-def set_table(rows: DataFrame, bands: int, per_band: int, ngram: int) -> DataFrame:
-    """rows: text and others that stay. Adds digest, n_grams, n_words and bands (array of long); the text goes."""
-    import pyarrow as pa
+#: Bytes of text whose words are hashed together; a process takes about 45 bytes for each.
+TOGETHER = 1 << 19
 
-    rest = [c for c in rows.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest) + ", digest string, n_grams long, n_words long, bands array<long>"
-    at_text = rows.columns.index("text")
+
+def _sets_made(rest: list[str], at_text: int, bands: int, per_band: int, ngram: int):
+    """A mapInArrow function: the columns ``rest`` and what set_table adds."""
+    import pyarrow as pa
 
     def made(batches):
         for whole in batches:
-            for lo, hi, data, offsets in slices(whole, at_text, 1 << 21):
+            for lo, hi, data, offsets in slices(whole, at_text, TOGETHER):
                 batch = whole.slice(lo, hi - lo)
                 found, at = shingle_sets(data, offsets, ngram)
                 hashes = band_hashes(found, at, bands, per_band).view(np.int64)
@@ -131,7 +131,14 @@ def set_table(rows: DataFrame, bands: int, per_band: int, ngram: int) -> DataFra
                 own = [batch.column(batch.schema.get_field_index(c)) for c in rest]
                 yield pa.record_batch([*own, pa.array(digests(found, at)), pa.array(np.diff(at)), pa.array(np.diff(words(data, offsets)[2])), last], [*rest, "digest", "n_grams", "n_words", "bands"])
 
-    return rows.mapInArrow(made, schema)
+    return made
+
+
+def set_table(rows: DataFrame, bands: int, per_band: int, ngram: int) -> DataFrame:
+    """rows: text and others that stay. Adds digest, n_grams, n_words and bands (array of long); the text goes."""
+    rest = [c for c in rows.columns if c != "text"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest) + ", digest string, n_grams long, n_words long, bands array<long>"
+    return rows.mapInArrow(_sets_made(rest, rows.columns.index("text"), bands, per_band, ngram), schema)
 
 
 def salted(rows: DataFrame, key: str, own: str, few: DataFrame) -> DataFrame:

@@ -211,6 +211,26 @@ def test_bands_reach_the_recall():
     assert near_dup.choose_bands(0.5, 0.9) != near_dup.choose_bands(0.9, 0.9)
 
 
+def test_sets_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    whole = pa.record_batch([pa.array(range(5000)), pa.array([prose(k % 50, 60 + k % 7) * 4 for k in range(5000)])], ["doc_id", "text"])
+    made = near_dup._sets_made(["doc_id"], 1, 18, 5, 5)
+    tracemalloc.start()
+    for _ in made([whole]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole.nbytes > 1 << 22 and peak < 40 << 20
+    few = whole.slice(3, 300)
+    together = pa.Table.from_batches(made([few]))
+    monkeypatch.setattr(near_dup, "TOGETHER", 1 << 12)
+    apart = list(made([few]))
+    assert len(apart) > 50 and pa.Table.from_batches(apart).combine_chunks().equals(together.combine_chunks())
+
+
 def test_gram_sets_are_exact():
     texts_ = [prose(k, n).encode() for k, n in ((1, 0), (2, 3), (3, 40), (3, 41), (4, 5))] + [b"", b"One two"]
     sets = near_dup.gram_sets(texts_, 5)
